@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["columns"]
+MODULES = ["columns", "relational"]
 
 
 def load():

@@ -406,7 +406,7 @@ RAW_PREFERENCE = (
     .otherwise(F.format_string('{"preferred_behavior":"use %d","applicability_conditions":["a","b"],"strength":"weird"}', "k")))
 
 
-@query("jsn2_payload_aliases", """SELECT event_id, concat('use ', k) AS behavior, CASE k % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.25 ELSE 0.5 END AS strength,
+@query("jsn2_payload_aliases", """SELECT event_id, concat('use ', k) AS behavior, CAST(CASE k % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS strength,
     CASE k % 3 WHEN 1 THEN 'at work' WHEN 2 THEN 'a|b' ELSE '' END AS conditions, k % 3 <> 2 AS consent FROM fx_memories""")
 def _(t):
     p = t.memories.select("event_id", pl.normalise(F.lit("preference"), RAW_PREFERENCE)["preference"].alias("p"))
