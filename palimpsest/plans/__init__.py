@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["columns", "relational"]
+MODULES = ["columns", "relational", "ingestion"]
 
 
 def load():

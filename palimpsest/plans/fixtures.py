@@ -306,7 +306,7 @@ def fx_layout_items(d):
     """Reading-order items of parsed pages, one per line of a document."""
     lines = ("posexplode(split(text, '\\n')) AS (seq, line)" if not isinstance(d, OracleDialect) else
              "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq")
-    return f"""SELECT doc_id, CAST(seq AS INT) AS seq, line AS text, CAST(seq / 40 AS INT) + 1 AS page,
+    return f"""SELECT doc_id, CAST(seq AS INT) AS seq, line AS text, CAST(floor(seq / 40) AS INT) + 1 AS page,
         CASE WHEN (doc_id + seq) % 11 = 0 THEN 'SectionHeaderItem' WHEN (doc_id + seq) % 7 = 0 THEN 'PictureItem'
              WHEN (doc_id + seq) % 5 = 0 THEN 'ListItem' ELSE 'TextItem' END AS item_type
         FROM (SELECT doc_id, {lines} FROM {d.table('documents')}) x"""

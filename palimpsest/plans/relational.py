@@ -441,7 +441,7 @@ def _(t):
     return graph.peers(t.relationships, t.memories).select("relationship_id", "memory_id", "peer_memory_id")
 
 
-@query("prj3_conflict_shape", "SELECT conflict_id, details, status, m.project_scope FROM fx_conflicts x JOIN fx_memories m ON m.memory_id = x.incoming_memory_id")
+@query("prj3_conflict_shape", "SELECT conflict_id, details, x.status, m.project_scope FROM fx_conflicts x JOIN fx_memories m ON m.memory_id = x.incoming_memory_id")
 def _(t):
     return lists.conflict_rows(lists.conflicts(t.conflicts, t.memories)).select("conflict_id", "details", "status", "project_scope")
 
@@ -749,7 +749,7 @@ def _(t):
     return ordered.top_per(t.access, ["memory_id"], [c("access_event_id").desc()], 5).select("memory_id", "access_event_id")
 
 
-@query("top4_injected_ids", """SELECT trace_id, string_agg(memory_id, '|' ORDER BY rank, a) AS ids FROM (SELECT trace_id, memory_id, min(struct_pack(rank := rank, a := access_event_id)) AS f, f.rank AS rank, f.a AS a
+@query("top4_injected_ids", """SELECT trace_id, string_agg(memory_id, '|' ORDER BY f.r, f.a) AS ids FROM (SELECT trace_id, memory_id, min(struct_pack(r := rank, a := access_event_id)) AS f
     FROM fx_access WHERE event_type = 'injected' GROUP BY trace_id, memory_id) GROUP BY 1""")
 def _(t):
     first = context.injected_memories(t.access, ["trace_id"])
