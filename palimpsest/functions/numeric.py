@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from palimpsest import constants as C
@@ -44,6 +46,10 @@ def points_bbox(points: Column) -> Column:
 
 def hashed_embedding(terms: Column, dimension: int = 64) -> Column:
     """Built-in encoder: counts of terms per hash bucket.  Plug in a model for real use."""
-    buckets = F.transform(terms, lambda t: F.pmod(F.crc32(F.encode(t, "UTF-8")), F.lit(dimension)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(
-        F.filter(buckets, lambda b: b == i)).cast("float"))
+    buckets = F.transform(terms, lambda t: F.conv(F.substring(F.md5(F.encode(t, "UTF-8")), 1, 4), 16, 10).cast("int") % dimension)
+
+    @F.pandas_udf("array<float>")
+    def counts(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda b: np.bincount(b, minlength=dimension).astype(np.float32))
+
+    return counts(buckets)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from palimpsest import constants as C
 from palimpsest.functions import payload as pl, scope as sc
@@ -59,24 +59,38 @@ def continuity(turns: DataFrame, messages: DataFrame, access: DataFrame, memorie
     return rehydrate(hits, events, turns, now)
 
 
-def search_memories(queries: DataFrame, points: DataFrame, now, k: int = C.MEMORY_TOP_K) -> DataFrame:
-    """Best memories over all places a chat can see.
-
-    Each place is searched for ``2k``; a memory found in two places keeps the
-    later one's hit; expired ones drop out before the cut to ``k``.
-    """
+def place_hits(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Hybrid top ``k`` of every place a chat can see; ``number`` is the place's turn."""
     places = queries.select("query_id", "text", "vector", F.explode(F.transform(sc.chat_keys(), lambda p, i: F.struct(
         p.alias("place"), i.alias("number")))).alias("p"))
     asked = places.select(F.concat_ws("#", "query_id", "p.number").alias("query_id"), "text", "vector", "p.place")
     corpus = points.select(F.col("memory_id").alias("id"), F.lit("memories").alias("collection"), F.col("memory_text").alias("text"),
                            "vector", F.explode(sc.index_keys()).alias("place"))
-    hits = hybrid.search_collections(asked, corpus, 2 * k)
-    split = F.split("query_id", "#")
-    numbered = hits.select(split[0].alias("query_id"), split[1].cast("int").alias("number"), F.col("id").alias("memory_id"), "rank", "score")
-    once = top_per(numbered, ["query_id", "memory_id"], [F.col("number").desc()])
+    hits = hybrid.search_collections(asked, corpus, k)
+    parts = F.split("query_id", "#")
+    return hits.select(parts[0].alias("query_id"), parts[1].cast("int").alias("number"), F.col("id").alias("memory_id"), "rank", "score")
+
+
+def merged_places(hits: DataFrame) -> DataFrame:
+    """One hit per memory; the one from the later place stands."""
+    return top_per(hits, ["query_id", "memory_id"], [F.col("number").desc()])
+
+
+def search_memories(queries: DataFrame, points: DataFrame, now, k: int = C.MEMORY_TOP_K) -> DataFrame:
+    """Best memories over all places of a chat; expired ones drop out before the cut to ``k``."""
+    once = merged_places(place_hits(queries, points, 2 * k)).withColumnRenamed("rank", "hit_rank")
     valid = points.where(sc.within_validity(F.col("valid_from"), F.col("valid_to"), now)).select("memory_id", "kind", "scope", "memory_text")
     order = [F.round("score", 9).desc(), F.col("number"), F.col("hit_rank"), F.col("memory_id")]
-    return top_per(once.withColumnRenamed("rank", "hit_rank").join(valid, "memory_id"), ["query_id"], order, k, "rank")
+    return top_per(once.join(valid, "memory_id"), ["query_id"], order, k, "rank")
+
+
+def reconciliation_candidates(exact: DataFrame, hints: DataFrame, memories: DataFrame, chats: DataFrame, now) -> DataFrame:
+    """Exact identifier candidates, then visible hinted events not among them."""
+    events = memories.where(F.col("kind") == "event")
+    fresh = hints.select("query_id", "memory_id").distinct().join(exact.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    seen = rehydrate(fresh, events, chats, now)
+    return (exact.select("query_id", "memory_id", F.lit("exact_identifier").alias("candidate_source"))
+            .unionByName(seen.select("query_id", "memory_id", F.lit("injected_context").alias("candidate_source"))))
 
 
 def memory_context(selected: DataFrame) -> DataFrame:
@@ -104,9 +118,13 @@ def assemble(queries: DataFrame, exact: DataFrame, previous: DataFrame, semantic
     order = [F.col("stage"), F.col("position"), F.col("memory_id")]
     first = top_per(union, ["query_id", "memory_id"], order)
     limit = C.EXACT_CANDIDATES + C.SEMANTIC_CANDIDATES
-    ranked = top_per(first, ["query_id"], order, 1_000_000, "candidate_rank")
-    # Only semantic candidates are subject to the limit.
-    return ranked.where((F.col("stage") < 3) | (F.col("candidate_rank") <= limit))
+    # Each stage was cut before, so a turn's candidates are few.
+    turn = W.partitionBy("query_id")
+    ranked = first.withColumn("candidate_rank", F.row_number().over(turn.orderBy(*order))).withColumn(
+        "_before", F.count_if(F.col("stage") < 3).over(turn))
+    # Only semantic candidates are subject to the limit, and the first of them always stays.
+    allowed = (F.col("stage") < 3) | (F.col("candidate_rank") <= F.greatest(F.lit(limit), F.col("_before") + 1))
+    return ranked.where(allowed).drop("_before")
 
 
 STAGE_NAMES = {1: C.STAGE_EXACT, 2: C.STAGE_PREVIOUS, 3: C.STAGE_SEMANTIC, 4: C.STAGE_GRAPH}

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["columns", "relational", "ingestion"]
+MODULES = ["columns", "relational", "ingestion", "retrieval"]
 
 
 def load():

@@ -196,6 +196,29 @@ def fx_subject_identifiers(d):
         GROUP BY owner_id, scope, scope_key, k % 4"""
 
 
+@view
+def fx_memory_vectors(d):
+    return f"""SELECT m.memory_id, v.embedding FROM fx_memories m
+        JOIN {d.table('embeddings')} v ON v.vec_id = m.event_id % (SELECT count(*) FROM {d.table('embeddings')})"""
+
+
+@view
+def fx_turn_vectors(d):
+    return f"""SELECT q.query_id, v.embedding FROM fx_turns q
+        JOIN {d.table('embeddings')} v ON v.vec_id = (q.conv_id * 8 + q.turn_index) % (SELECT count(*) FROM {d.table('embeddings')})"""
+
+
+@view
+def fx_memory_subjects(d):
+    """Subject of each event; some events belong to the subject of another identifier."""
+    return """SELECT m.memory_id, s.subject_id FROM (SELECT *, CASE WHEN scope = 'session' THEN concat('session:', session_id)
+              WHEN scope = 'project' AND project_id IS NOT NULL THEN concat('project:', project_id)
+              WHEN scope = 'project' THEN concat('project-name:', lower(project_scope)) ELSE scope END AS scope_key FROM fx_memories) m
+        JOIN fx_subject_identifiers s ON s.owner_id = m.owner_id AND s.scope = m.scope AND s.scope_key = m.scope_key
+          AND s.normalized_value = concat('ev', 100 + (m.k + m.event_id % 2) % 4)
+        WHERE m.kind = 'event'"""
+
+
 @view
 def fx_access(d):
     """Access log: which memories were retrieved for and injected into an answer."""
