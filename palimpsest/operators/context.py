@@ -113,7 +113,7 @@ def assemble(queries: DataFrame, exact: DataFrame, previous: DataFrame, semantic
     known = previous.join(naming, "query_id", "left_semi").select("query_id", "memory_id")
     found = rehydrate(semantic, memories, queries, now).join(known, ["query_id", "memory_id"], "left_anti")
     union = (part(exact, 1, F.col("rank"), none)
-             .unionByName(part(before, 2, F.col("rank") * 1_000_000_000 + F.col("access_event_id"), none))
+             .unionByName(part(before, 2, F.col("rank").cast("long") * 1_000_000_000 + F.col("access_event_id"), none))
              .unionByName(part(found, 3, F.col("rank"), F.col("score"))))
     order = [F.col("stage"), F.col("position"), F.col("memory_id")]
     first = top_per(union, ["query_id", "memory_id"], order)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["columns", "relational", "ingestion", "retrieval"]
+MODULES = ["columns", "relational", "ingestion", "retrieval", "lifecycle", "projections"]
 
 
 def load():

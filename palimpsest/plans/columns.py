@@ -60,7 +60,7 @@ def _(t):
 
 @query("key7_event_identity", f"SELECT memory_id, {S.identity()} AS identity_key FROM fx_memories WHERE kind = 'event'")
 def _(t):
-    events = with_payload(t.memories).where(c("kind") == "event")
+    events = t.records.where(c("kind") == "event")
     return events.select("memory_id", keys.event_identity(c("payload.event")).alias("identity_key"))
 
 
@@ -68,7 +68,7 @@ def _(t):
     concat_ws(chr(31), {S.domain()}, array_to_string({S.event_ids()}, chr(31))) END AS comparison_key
     FROM fx_memories WHERE kind = 'event'""")
 def _(t):
-    events = with_payload(t.memories).where(c("kind") == "event")
+    events = t.records.where(c("kind") == "event")
     return events.select("memory_id", keys.event_comparison_key(c("payload.event")).alias("comparison_key"))
 
 
@@ -209,7 +209,7 @@ def _(t):
 
 @query("txt16_memory_text", f"SELECT memory_id, {S.memory_text()} AS memory_text FROM fx_memories")
 def _(t):
-    return with_payload(t.memories).select("memory_id", pl.memory_text(c("kind"), c("payload")).alias("memory_text"))
+    return t.records.select("memory_id", pl.memory_text(c("kind"), c("payload")).alias("memory_text"))
 
 
 @query("txt17_text_metrics", f"""SELECT doc_id, CAST(vis AS BIGINT) AS char_count, CAST(nw AS BIGINT) AS word_count, round(al / greatest(vis, 1), 6) AS alnum_ratio,
@@ -400,16 +400,17 @@ def _(t):
         "event_id", "event_type", props.alias("props"), "user_id")).alias("js"))
 
 
-RAW_PREFERENCE = (
-    F.when(c("k") % 3 == 0, F.format_string('{"preference":{"phrase":"use %d","strength":"High","consent":"yes"}}', "k"))
-    .when(c("k") % 3 == 1, F.format_string('{"description":"use %d","strength":0.25,"applicability_conditions":"at work","consent":true}', "k"))
-    .otherwise(F.format_string('{"preferred_behavior":"use %d","applicability_conditions":["a","b"],"strength":"weird"}', "k")))
+def raw_preference():
+    return (
+        F.when(c("k") % 3 == 0, F.format_string('{"preference":{"phrase":"use %d","strength":"High","consent":"yes"}}', "k"))
+        .when(c("k") % 3 == 1, F.format_string('{"description":"use %d","strength":0.25,"applicability_conditions":"at work","consent":true}', "k"))
+        .otherwise(F.format_string('{"preferred_behavior":"use %d","applicability_conditions":["a","b"],"strength":"weird"}', "k")))
 
 
 @query("jsn2_payload_aliases", """SELECT event_id, concat('use ', k) AS behavior, CAST(CASE k % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS strength,
     CASE k % 3 WHEN 1 THEN 'at work' WHEN 2 THEN 'a|b' ELSE '' END AS conditions, k % 3 <> 2 AS consent FROM fx_memories""")
 def _(t):
-    p = t.memories.select("event_id", pl.normalise(F.lit("preference"), RAW_PREFERENCE)["preference"].alias("p"))
+    p = t.memories.select("event_id", pl.normalise(F.lit("preference"), raw_preference())["preference"].alias("p"))
     return p.select("event_id", c("p.preferred_behavior").alias("behavior"), c("p.strength").alias("strength"),
                     joined(c("p.applicability_conditions")).alias("conditions"), c("p.consent").alias("consent"))
 

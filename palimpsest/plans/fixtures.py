@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from palimpsest import schemas
+from palimpsest.plans.records import with_payload
 from palimpsest.plans.dialect import OracleDialect, SparkDialect
 
 NOW = "2024-01-20 00:00:00"
@@ -116,7 +117,7 @@ def fx_messages(d):
 def fx_turns(d):
     """User turns with their chat's visibility; some name an identifier."""
     return f"""SELECT m.message_id AS query_id, m.session_id, m.turn_index, s.owner_id, s.project_id, s.project_scope,
-        m.conv_id, concat(m.content, CASE WHEN m.conv_id % 2 = 0 THEN concat(' Please check EV-', 100 + m.conv_id % 4, '.')
+        m.conv_id, concat(m.content, CASE WHEN m.conv_id % 4 <> 3 THEN concat(' Please check EV-', 100 + m.conv_id % 2, '.')
                                 ELSE '' END) AS text
         FROM fx_messages m JOIN fx_sessions s ON s.session_id = m.session_id WHERE m.role = 'user'"""
 
@@ -129,7 +130,7 @@ def fx_memories(d):
         scheme=scheme, value=value, normalized_value=norm, mention=value, confidence=conf)
     claim = lambda a, v, n: d.struct(attribute=a, value=v, normalized_value=n, confidence="0.75")
     none_ref, none_claim = d.empty(schemas.IDENTIFIER), d.empty(schemas.CLAIM)
-    ext = ref("'external_reference'", "concat('EV-', 100 + k % 4)", "concat('ev', 100 + k % 4)", "0.9")
+    ext = ref("'external_reference'", "concat('EV-', 100 + k % 2)", "concat('ev', 100 + k % 2)", "0.9")
     inv = ref("'invoice_number'", "concat('INV-', k % 10)", "concat('inv', k % 10)", "0.8")
     return f"""SELECT {_id('mem-', 'event_id')} AS memory_id, event_id, user_id, k,
         concat('u', user_id) AS owner_id,
@@ -154,10 +155,10 @@ def fx_memories(d):
         concat('Account ', user_id) AS ent_name, 'account' AS ent_type, {d.array("concat('acct', user_id)")} AS ent_aliases,
         CASE k % 3 WHEN 0 THEN 'Delivery Delay' WHEN 1 THEN 'Shipment' ELSE 'price change' END AS ev_type_raw,
         concat('Order update ', k % 6, ' for the depot') AS ev_summary,
-        {d.array("concat('order EV-', 100 + k % 4)", "concat('Carrier ', k % 3)")} AS ev_entities,
+        {d.array("concat('order EV-', 100 + k % 2)", "concat('Carrier ', k % 3)")} AS ev_entities,
         {d.array("concat('Depot ', k % 2)")} AS ev_locations,
         CASE WHEN k % 5 < 4 THEN (CASE WHEN k % 2 = 0 THEN 'Friday' ELSE 'Monday' END) END AS ev_time,
-        CASE WHEN event_id % 7 = 0 THEN {none_ref} WHEN event_id % 4 = 1 THEN {d.array(ext, inv)}
+        CASE WHEN event_id % 4 = 0 THEN {none_ref} WHEN event_id % 4 = 1 THEN {d.array(ext, inv)}
              ELSE {d.array(ext)} END AS ev_refs,
         CASE WHEN event_id % 6 < 4 THEN {d.array(
             claim("' Amount'", "concat('USD ', k % 3)", "concat('usd ', k % 3)"),
@@ -174,12 +175,12 @@ def fx_memories(d):
 def fx_relationships(d):
     """Edges to the next memory of the same place, and some arbitrary ones."""
     return f"""SELECT event_id AS relationship_id, memory_id AS from_memory_id,
-        CASE WHEN event_id % 4 = 0 THEN {_id('mem-', '((event_id * 7 + 3) % (total + 1))')} ELSE next_id END AS to_memory_id,
+        CASE WHEN event_id % 4 = 0 THEN {_id('mem-', '((event_id * 7 + 3) % 1000)')} ELSE next_id END AS to_memory_id,
         CASE event_id % 5 WHEN 3 THEN 'contradiction' WHEN 4 THEN 'superseded_by' ELSE 'related' END AS relationship_type,
         created_at FROM (
           SELECT event_id, memory_id, created_at, lead(memory_id) OVER (PARTITION BY owner_id, scope,
             CASE WHEN scope = 'session' THEN session_id ELSE coalesce(project_id, project_scope) END,
-            project_id IS NULL ORDER BY event_id) AS next_id, (SELECT max(event_id) FROM {d.table('events')}) AS total
+            project_id IS NULL ORDER BY event_id) AS next_id
           FROM fx_memories) r
         WHERE event_id % 4 = 0 OR next_id IS NOT NULL"""
 
@@ -188,24 +189,24 @@ def fx_relationships(d):
 def fx_subject_identifiers(d):
     """Known identifiers of subjects, one subject per place and external reference."""
     return f"""SELECT concat('subj-', min(memory_id)) AS subject_id, owner_id, scope, scope_key,
-        'external_reference' AS scheme, concat('ev', 100 + k % 4) AS normalized_value FROM (
+        'external_reference' AS scheme, concat('ev', 100 + k % 2) AS normalized_value FROM (
           SELECT memory_id, owner_id, scope, k, CASE WHEN scope = 'session' THEN concat('session:', session_id)
               WHEN scope = 'project' AND project_id IS NOT NULL THEN concat('project:', project_id)
               WHEN scope = 'project' THEN concat('project-name:', lower(project_scope)) ELSE scope END AS scope_key
-          FROM fx_memories WHERE kind = 'event' AND event_id % 7 <> 0 AND event_id % 2 = 0) m
-        GROUP BY owner_id, scope, scope_key, k % 4"""
+          FROM fx_memories WHERE kind = 'event' AND event_id % 4 <> 0 AND event_id % 3 <> 0) m
+        GROUP BY owner_id, scope, scope_key, k % 2"""
 
 
 @view
 def fx_memory_vectors(d):
     return f"""SELECT m.memory_id, v.embedding FROM fx_memories m
-        JOIN {d.table('embeddings')} v ON v.vec_id = m.event_id % (SELECT count(*) FROM {d.table('embeddings')})"""
+        JOIN {d.table('embeddings')} v ON v.vec_id = m.event_id % 200"""
 
 
 @view
 def fx_turn_vectors(d):
     return f"""SELECT q.query_id, v.embedding FROM fx_turns q
-        JOIN {d.table('embeddings')} v ON v.vec_id = (q.conv_id * 8 + q.turn_index) % (SELECT count(*) FROM {d.table('embeddings')})"""
+        JOIN {d.table('embeddings')} v ON v.vec_id = (q.conv_id * 8 + q.turn_index) % 200"""
 
 
 @view
@@ -215,7 +216,7 @@ def fx_memory_subjects(d):
               WHEN scope = 'project' AND project_id IS NOT NULL THEN concat('project:', project_id)
               WHEN scope = 'project' THEN concat('project-name:', lower(project_scope)) ELSE scope END AS scope_key FROM fx_memories) m
         JOIN fx_subject_identifiers s ON s.owner_id = m.owner_id AND s.scope = m.scope AND s.scope_key = m.scope_key
-          AND s.normalized_value = concat('ev', 100 + (m.k + m.event_id % 2) % 4)
+          AND s.normalized_value = concat('ev', 100 + (m.k + m.event_id % 2) % 2)
         WHERE m.kind = 'event'"""
 
 
@@ -243,11 +244,10 @@ def fx_turn_access(d):
 @view
 def fx_conflicts(d):
     return f"""SELECT event_id AS conflict_id, memory_id AS incoming_memory_id,
-        {_id('mem-', '((event_id * 7 + 3) % (total + 1))')} AS existing_memory_id, 'claim_mismatch' AS conflict_type,
+        {_id('mem-', '((event_id * 7 + 3) % 1000)')} AS existing_memory_id, 'claim_mismatch' AS conflict_type,
         CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status,
         concat('note ', k) AS details, created_at
-        FROM (SELECT *, (SELECT max(event_id) FROM {d.table('events')}) AS total FROM fx_memories) m
-        WHERE kind = 'event'"""
+        FROM fx_memories WHERE kind = 'event'"""
 
 
 @view
@@ -382,7 +382,7 @@ class Tables:
     """The given tables and the views over them, as DataFrames."""
 
     def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._known = spark, folder.rstrip("/"), {}
 
     def table(self, name):
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -396,4 +396,13 @@ class Tables:
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.view("fx_" + name) if "fx_" + name in VIEWS else self.table(name)
+        if name not in self._known:
+            self._known[name] = self.view("fx_" + name) if "fx_" + name in VIEWS else self.table(name)
+        return self._known[name]
+
+    @property
+    def records(self):
+        """Memory records with their typed payload."""
+        if "records" not in self._known:
+            self._known["records"] = with_payload(self.memories)
+        return self._known["records"]

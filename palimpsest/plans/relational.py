@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from palimpsest import constants as C, schemas
 from palimpsest.functions import keys, scope as sc, text as tx
@@ -11,7 +11,6 @@ from palimpsest.operators import (
     routing, segments, sessions as ss, tables)
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
-from palimpsest.plans.records import with_payload
 from palimpsest.plans.registry import query
 from palimpsest.sources import readers
 
@@ -29,7 +28,7 @@ def text(column):
 
 # --- scans ----------------------------------------------------------------------------
 
-CUSTOMER = T.StructType.fromDDL("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
 @query("src1_table_scan", "SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -214,7 +213,7 @@ MEM_POINTS = "scope IN ('session','project') AND status = 'active' AND user_conf
 
 @query("snk7_upsert_memory_points", f"SELECT memory_id, {S.memory_text()} AS memory_text FROM fx_memories WHERE {MEM_POINTS}")
 def _(t):
-    memories = with_payload(t.memories)
+    memories = t.records
     stale = jobs.memory_points(memories.where(c("event_id") % 2 == 0).withColumns({"status": F.lit("active"), "user_confirmed": F.lit(True)}))
     return jobs.sync_memory_points(stale, memories).select("memory_id", "memory_text")
 
@@ -460,7 +459,7 @@ def _(t):
 
 @query("prj6_candidate_payload", f"SELECT memory_id, {S.memory_text()} AS memory_text, kind, scope, round(confidence, 6) AS confidence, 'semantic' AS candidate_source FROM fx_memories")
 def _(t):
-    found = with_payload(t.memories).withColumn("candidate_source", F.lit("semantic"))
+    found = t.records.withColumn("candidate_source", F.lit("semantic"))
     return context.candidate_rows(found).select("memory_id", "memory_text", "kind", "scope", F.round("confidence", 6).alias("confidence"), "candidate_source")
 
 
@@ -590,7 +589,7 @@ def _(t):
     f AS (SELECT d, i, min(struct_pack(a := created_at, b := memory_id)) AS h FROM ev GROUP BY d, i)
     SELECT memory_id, min(h).b AS existing_memory_id FROM ev JOIN f USING (d, i) WHERE h.b <> memory_id GROUP BY memory_id""")
 def _(t):
-    return ids.comparable_pairs(with_payload(t.memories).where(c("kind") == "event"))
+    return ids.comparable_pairs(t.records.where(c("kind") == "event"))
 
 
 @query("jn21_reuse_for_binding", "SELECT b.binding_id, e.evidence_id FROM fx_bindings b JOIN fx_evidence e USING (asset_id) JOIN (SELECT asset_id, min(binding_id) AS mb FROM fx_bindings GROUP BY 1) f ON f.asset_id = b.asset_id AND b.binding_id > f.mb")

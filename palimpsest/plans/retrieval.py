@@ -9,7 +9,6 @@ from palimpsest.functions import keys, numeric, payload as pl, scope as sc, text
 from palimpsest.operators import context as cx, evidence as ev, graph, hybrid, identifiers as ids, jobs, lifecycle as lc, ordered, search, subjects
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
-from palimpsest.plans.records import with_payload
 from palimpsest.plans.registry import query
 from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS, ts
 
@@ -41,8 +40,8 @@ POSITION = "list_position(['text', 'table', 'image', 'video_segment'], collectio
 
 
 def across_sql(p, k):
-    return f"""{p}ac AS (SELECT query_id, collection, id, score * CAST({WEIGHT} AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id
-        ORDER BY round(score * CAST({WEIGHT} AS DOUBLE), 9) DESC, {POSITION}, rank, id) AS rank FROM {p}fu QUALIFY rank <= {k})"""
+    return f"""{p}ac AS (SELECT query_id, collection, id, score, xr AS rank FROM (SELECT query_id, collection, id, score * CAST({WEIGHT} AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id
+        ORDER BY round(score * CAST({WEIGHT} AS DOUBLE), 9) DESC, {POSITION}, rank, id) AS xr FROM {p}fu QUALIFY xr <= {k}))"""
 
 
 # --- whole-corpus search ---------------------------------------------------------------------
@@ -80,8 +79,8 @@ def _(t):
     return encoded.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("doc_id", c("x.terms").alias("term"), c("x.weights").alias("weight"))
 
 
-@query("ret2_sparse_saturated", f"""SELECT doc_id, term, round(n * 2.2 / (n + 1.2 * (1 - 0.75 + 0.75 * total / 100.0)), 6) AS weight FROM (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total
-    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM documents) GROUP BY ALL)""")
+@query("ret2_sparse_saturated", f"""SELECT doc_id, term, round(n * 2.2 / (n + 1.2 * (1 - 0.75 + 0.75 * total / 100.0)), 6) AS weight FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM documents) GROUP BY doc_id, term))""")
 def _(t):
     encoded = search.encode_terms(t.documents, "text", k1=1.2, b=0.75, mean_terms=100)
     rows = encoded.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
@@ -126,7 +125,8 @@ def terms_of(x):
 RERANKED = f"""{CAND}, auth AS (SELECT x.*, e.content, e.page, e.source_name, e.media_uri, row_number() OVER (PARTITION BY x.query_id, x.evidence_id ORDER BY x.rank, x.binding_id) AS rn, q.text AS question FROM cand x
       JOIN fx_evidence e USING (evidence_id) JOIN fx_bindings b ON b.binding_id = x.binding_id AND b.asset_id = e.asset_id JOIN fx_queries q ON q.query_id = x.query_id AND {S.evidence_visible('b', 'q')}),
     rr AS (SELECT *, CAST(len(list_intersect({terms_of('question')}, {terms_of('content')})) AS DOUBLE) AS rerank_score FROM auth WHERE rn = 1),
-    top AS (SELECT query_id, evidence_id, binding_id, content, page, source_name, media_uri, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, evidence_id) AS rank FROM rr QUALIFY rank <= 6)"""
+    top AS (SELECT query_id, evidence_id, binding_id, content, page, source_name, media_uri, rerank_score, xr AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, evidence_id) AS xr FROM rr) WHERE xr <= 6)"""
 
 
 @query("ret7_retrieve", f"{RERANKED} SELECT query_id, string_agg(concat('[Source ', rank, ' (page ', page, ')]', chr(10), content), chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY 1")
@@ -236,8 +236,8 @@ MEM_ON = """q.owner_id = d.owner_id AND ((q.n = 0 AND d.scope = 'session' AND d.
 MEM = f"""{hybrid_sql('m', PLACES, MEM_D, MEM_ON, 10)},
     once AS (SELECT string_split(query_id, '#')[1] AS query_id, CAST(string_split(query_id, '#')[2] AS INT) AS n, id AS memory_id, rank, score FROM mfu
       QUALIFY row_number() OVER (PARTITION BY string_split(query_id, '#')[1], id ORDER BY CAST(string_split(query_id, '#')[2] AS INT) DESC) = 1),
-    sem AS (SELECT o.query_id, o.memory_id, o.score, r.kind, r.scope, {S.memory_text('r.')} AS memory_text, row_number() OVER (PARTITION BY o.query_id ORDER BY round(o.score, 9) DESC, o.n, o.rank, o.memory_id) AS rank
-      FROM once o JOIN fx_memories r USING (memory_id) WHERE {S.valid_at('r.')} QUALIFY rank <= 5)"""
+    sem0 AS (SELECT o.query_id, o.memory_id, o.score, r.kind, r.scope, {S.memory_text('r.')} AS memory_text, row_number() OVER (PARTITION BY o.query_id ORDER BY round(o.score, 9) DESC, o.n, o.rank, o.memory_id) AS xr
+      FROM once o JOIN fx_memories r USING (memory_id) WHERE {S.valid_at('r.')}), sem AS (SELECT * EXCLUDE (xr), xr AS rank FROM sem0 WHERE xr <= 5)"""
 
 
 def turn_queries(t):
@@ -245,7 +245,7 @@ def turn_queries(t):
 
 
 def memory_points(t):
-    return jobs.memory_points(with_payload(t.memories)).join(t.memory_vectors.withColumnRenamed("embedding", "vector"), "memory_id")
+    return jobs.memory_points(t.records).join(t.memory_vectors.withColumnRenamed("embedding", "vector"), "memory_id")
 
 
 @query("ret11_memory_search", f"WITH {MEM} SELECT query_id, memory_id, round(score, 9) AS score, rank FROM sem")
@@ -282,7 +282,7 @@ STAGES = f"""{REFS}, {VIS},
 
 
 def full_memories(t):
-    return with_payload(t.memories).join(t.memory_subjects, "memory_id", "left")
+    return t.records.join(t.memory_subjects, "memory_id", "left")
 
 
 def exact_candidates(t, limit=C.EXACT_CANDIDATES):
@@ -330,12 +330,12 @@ def _(t):
 @query("agg12_subject_counts", f"""SELECT m.memory_id, count(DISTINCT s.subject_id) AS subjects FROM (SELECT memory_id, owner_id, scope, {S.scope_key()} AS sk, unnest(ev_refs) AS r FROM fx_memories WHERE kind = 'event') m
     LEFT JOIN fx_subject_identifiers s ON s.owner_id = m.owner_id AND s.scope = m.scope AND s.scope_key = m.sk AND s.scheme = m.r.scheme AND s.normalized_value = m.r.normalized_value GROUP BY 1""")
 def _(t):
-    return subjects.known_subjects(with_payload(t.memories), t.subject_identifiers).select("memory_id", "subjects")
+    return subjects.known_subjects(t.records, t.subject_identifiers).select("memory_id", "subjects")
 
 
 # --- graph expansion ---------------------------------------------------------------------------------------
 
-CHAT_SEEDS = f"""seeds AS (SELECT q.session_id AS query_id, r.memory_id FROM fx_sessions q JOIN fx_memories r ON {S.visible('r', 'q')} WHERE {S.current('r.')} AND r.event_id % 3 = 0
+CHAT_SEEDS = f"""seeds AS (SELECT q.session_id AS query_id, r.memory_id FROM fx_sessions q JOIN fx_memories r ON {S.visible('r', 'q')} WHERE {S.current('r.')} AND r.event_id // 6 % 2 = 0
     QUALIFY row_number() OVER (PARTITION BY q.session_id ORDER BY r.memory_id) <= 50)"""
 
 
@@ -351,7 +351,7 @@ def hops_sql(seeds, chats, chat_id, limit):
 @query("jn15_graph_expansion", f"WITH {CHAT_SEEDS}, {hops_sql('seeds', 'fx_sessions', 'session_id', 4)} SELECT query_id, memory_id, rank FROM nb")
 def _(t):
     chats = t.sessions.withColumn("query_id", c("session_id"))
-    seeds = cx.rehydrate(chats.select("query_id", "owner_id").join(t.memories.where(c("event_id") % 3 == 0).select("owner_id", "memory_id"), "owner_id")
+    seeds = cx.rehydrate(chats.select("query_id", "owner_id").join(t.memories.where(F.floor(c("event_id") / 6) % 2 == 0).select("owner_id", "memory_id"), "owner_id")
                          .select("query_id", "memory_id"), t.memories, chats, NOW).withColumn("position", c("memory_id"))
     edges = graph.edges(t.relationships, t.memories, NOW)
     out = graph.expand(seeds, edges, graph.nodes(t.memories, NOW), chats)
@@ -384,7 +384,7 @@ def _(t):
 TURN_CANDS = f"""{MEM}, {STAGES}, {CONT}, naming AS (SELECT DISTINCT query_id FROM refs),
     semok AS (SELECT s.query_id, s.memory_id, s.rank, s.score FROM sem s JOIN fx_turns q USING (query_id) JOIN fx_memories r ON r.memory_id = s.memory_id AND {S.visible('r', 'q')}
       WHERE {S.current('r.')} AND NOT (s.query_id IN (SELECT query_id FROM naming) AND EXISTS (SELECT 1 FROM cont x WHERE x.query_id = s.query_id AND x.memory_id = s.memory_id))),
-    u AS (SELECT query_id, memory_id, 1 AS stage, rank AS pos FROM ex UNION ALL SELECT query_id, memory_id, 2, rank * 1000000000 + access_event_id FROM cont WHERE query_id NOT IN (SELECT query_id FROM naming)
+    u AS (SELECT query_id, memory_id, 1 AS stage, rank AS pos FROM ex UNION ALL SELECT query_id, memory_id, 2, CAST(rank AS BIGINT) * 1000000000 + access_event_id FROM cont WHERE query_id NOT IN (SELECT query_id FROM naming)
       UNION ALL SELECT query_id, memory_id, 3, rank FROM semok),
     f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, memory_id ORDER BY stage, pos) = 1),
     g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, pos, memory_id) AS candidate_rank, count(*) FILTER (stage < 3) OVER (PARTITION BY query_id) AS before FROM f),
@@ -442,7 +442,7 @@ def exact_as_candidates(t):
 
 
 def selected_memories(t):
-    texts = with_payload(t.memories).withColumn("memory_text", pl.memory_text(c("kind"), c("payload")))
+    texts = t.records.withColumn("memory_text", pl.memory_text(c("kind"), c("payload")))
     return cx.selections(supplied_plans(t), exact_as_candidates(t), texts)
 
 
@@ -478,7 +478,7 @@ def _(t):
     best AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY score DESC) AS r FROM sc WHERE n > 0 AND score >= 3)
     SELECT a AS memory_id, any_value(b) AS candidate_id, CAST(any_value(score) AS INT) AS score FROM best WHERE r = 1 GROUP BY a HAVING count(*) = 1""")
 def _(t):
-    events = with_payload(t.memories).where(c("kind") == "event").select(
+    events = t.records.where(c("kind") == "event").select(
         "memory_id", tx.subject_terms(F.array_join("payload.event.entities", " ")).alias("entity_terms"), tx.subject_terms(c("payload.event.summary")).alias("summary_terms"))
     r = t.relationships
     pairs = r.select(c("from_memory_id").alias("memory_id"), c("to_memory_id").alias("candidate_id"), "relationship_id").unionByName(
