@@ -8,6 +8,7 @@ from palimpsest import constants as C
 from palimpsest.functions import payload as pl, scope as sc
 from palimpsest.operators import graph, hybrid, identifiers as ids
 from palimpsest.operators.ordered import joined_in_order, last_before, top_per
+from palimpsest.session import cut_lineage
 
 
 def candidate_rows(found: DataFrame) -> DataFrame:
@@ -132,7 +133,11 @@ STAGE_NAMES = {1: C.STAGE_EXACT, 2: C.STAGE_PREVIOUS, 3: C.STAGE_SEMANTIC, 4: C.
 
 def with_graph(candidates: DataFrame, queries: DataFrame, memories: DataFrame, node_table: DataFrame, edge_table: DataFrame,
                now, limit: int = C.GRAPH_NEIGHBOURS) -> DataFrame:
-    """Candidates followed by their live one-hop neighbours."""
+    """Candidates followed by their live one-hop neighbours.
+
+    The few candidates of a turn are read three times, so they are written once.
+    """
+    candidates = cut_lineage(candidates)
     seeds = candidates.select("query_id", "memory_id", F.col("candidate_rank").alias("position"))
     near = graph.expand(seeds, edge_table, node_table, queries, limit)
     checked = rehydrate(near.select("query_id", "memory_id", "graph_rank"), memories, queries, now)

@@ -32,7 +32,9 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
 
 def search_collections(queries: DataFrame, corpus: DataFrame, k: int, **sparse_options) -> DataFrame:
     """Hybrid top ``k`` of every collection.  Both sides carry ``place``, ``text`` and ``vector``."""
-    return fuse(search.dense_top(queries, corpus, k), search.sparse_top(queries, corpus, k, **sparse_options), k)
+    broadcast = search.few(queries)
+    return fuse(search.dense_top(queries, corpus, k, broadcast),
+                search.sparse_top(queries, corpus, k, broadcast=broadcast, **sparse_options), k)
 
 
 def across_collections(hits: DataFrame, k: int) -> DataFrame:

@@ -124,9 +124,9 @@ def _sparse_scores(row) -> np.ndarray:
 
 
 def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], score, k: int, positive: bool,
-         order_name: str) -> DataFrame:
+         order_name: str, broadcast: bool | None) -> DataFrame:
     id_type = corpus.schema["id"].dataType
-    broadcast = few(queries)
+    broadcast = few(queries) if broadcast is None else broadcast
     lanes = 1 if broadcast else LANES
     # Rows of one place follow each other, so a task packs them into few blocks.
     q = _pack(queries.select("place", "query_id", *vector), ["place"], ["query_id", *vector], "q_")
@@ -156,19 +156,20 @@ def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], score, k: int
     return top_per(once, ["query_id", "collection"], [F.col("score").desc(), F.col("id")], k, order_name)
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def dense_top(queries: DataFrame, corpus: DataFrame, k: int, broadcast: bool | None = None) -> DataFrame:
     """Best ``k`` of each collection by cosine, with ``dense_rank``.
 
     ``queries(query_id, place, vector)``, ``corpus(id, place, collection, vector)``.
+    ``broadcast`` is the outcome of an earlier :func:`few` check, if there was one.
     """
-    return _top(queries, corpus, ["vector"], _dense_scores, k, False, "dense_rank")
+    return _top(queries, corpus, ["vector"], _dense_scores, k, False, "dense_rank", broadcast)
 
 
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75,
-               mean_terms: float | None = None) -> DataFrame:
+               mean_terms: float | None = None, broadcast: bool | None = None) -> DataFrame:
     """Best ``k`` of each collection by shared term weights, with ``sparse_rank``; no overlap, no hit.
 
     ``queries(query_id, place, text)``, ``corpus(id, place, collection, text)``.
     """
     encode = lambda df: encode_terms(df, "text", k1, b, mean_terms)
-    return _top(encode(queries), encode(corpus), ["terms", "weights"], _sparse_scores, k, True, "sparse_rank")
+    return _top(encode(queries), encode(corpus), ["terms", "weights"], _sparse_scores, k, True, "sparse_rank", broadcast)

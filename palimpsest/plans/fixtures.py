@@ -6,11 +6,13 @@ Each view re-reads whole tables, so work grows with them.  Derived attributes
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from palimpsest import schemas
-from palimpsest.plans.records import with_payload
 from palimpsest.plans.dialect import OracleDialect, SparkDialect
+from palimpsest.plans.records import FLAT_PREFIXES, with_payload
+from palimpsest.session import path_exists, shared_folder
 
 NOW = "2024-01-20 00:00:00"
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -350,14 +352,17 @@ def _dependencies(sql: str) -> list[str]:
     return [name for name in dict.fromkeys(re.findall(r"\bfx_\w+", sql)) if name in VIEWS]
 
 
-def _with_clause(sql: str, dialect) -> str:
-    """All views used by ``sql``, directly or not, as common table expressions."""
+def _with_clause(sql: str, dialect, stored: dict[str, str] | None = None) -> str:
+    """All views used by ``sql``, directly or not, as common table expressions.
+
+    ``stored`` names views that are read from a written table instead.
+    """
     ordered: dict[str, str] = {}
 
     def add(name):
         if name in ordered:
             return
-        body = VIEWS[name](dialect)
+        body = (stored or {}).get(name) or VIEWS[name](dialect)
         for needed in _dependencies(body):
             add(needed)
         ordered[name] = body
@@ -378,8 +383,16 @@ def oracle(sql: str) -> str:
     return f"WITH {views} {body}"
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 class Tables:
-    """The given tables and the views over them, as DataFrames."""
+    """The given tables and the views over them, as DataFrames.
+
+    Memory records are kept the way a deployment keeps them: as a Parquet
+    snapshot with the declared schema, derived once per application from the
+    events table.  Operators then read the columns they need.
+    """
 
     def __init__(self, spark, folder: str):
         self.spark, self.folder, self._known = spark, folder.rstrip("/"), {}
@@ -387,22 +400,38 @@ class Tables:
     def table(self, name):
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name):
+    def view(self, name, stored=None):
         dialect = SparkDialect(self.folder)
         body = VIEWS[name](dialect)
-        views = _with_clause(body, dialect)
+        views = _with_clause(body, dialect, stored)
         return self.spark.sql(f"WITH {views} {body}" if views else body)
 
+    def _snapshot(self) -> str:
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        path = _WRITTEN.get(key)
+        if path is None or not path_exists(self.spark, path + "/_SUCCESS"):
+            path = f"{shared_folder(self.spark)}/memory-records-{hashlib.md5(self.folder.encode()).hexdigest()}"
+            flat = self.view("fx_memories")
+            with_payload(flat, keep_flat=True).write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
+        return path
+
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._known:
-            self._known[name] = self.view("fx_" + name) if "fx_" + name in VIEWS else self.table(name)
+            self._known[name] = self._load(name)
         return self._known[name]
 
-    @property
-    def records(self):
-        """Memory records with their typed payload."""
-        if "records" not in self._known:
-            self._known["records"] = with_payload(self.memories)
-        return self._known["records"]
+    def _load(self, name):
+        if name == "memories":
+            return self.spark.read.parquet(self._snapshot()).drop("payload")
+        if name == "records":
+            typed = self.spark.read.parquet(self._snapshot())
+            return typed.select(*[column for column in typed.columns if not column.startswith(FLAT_PREFIXES)])
+        view = "fx_" + name
+        if view not in VIEWS:
+            return self.table(name)
+        uses_memories = "fx_memories" in _with_clause(VIEWS[view](SparkDialect(self.folder)), SparkDialect(self.folder))
+        stored = {"fx_memories": f"SELECT * FROM parquet.`{self._snapshot()}`"} if uses_memories else None
+        return self.view(view, stored)

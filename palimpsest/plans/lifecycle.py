@@ -21,7 +21,7 @@ def ts(column):
 
 
 def snapshot(t):
-    return with_history(t.memories)
+    return with_history(t.records)
 
 
 def events_split(t):

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import evidence as ev, graph, jobs, keyed
+from palimpsest import ext
+from palimpsest.functions import scope as sc
+from palimpsest.operators import context as cx, evidence as ev, graph, jobs, keyed
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
+from palimpsest.plans.lifecycle import events_split
 from palimpsest.plans.registry import query
 from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS, NOW_SQL, PROJ
-from palimpsest.functions import scope as sc
+from palimpsest.session import shared_folder
+from palimpsest.streaming import outbox as ob
 
 c = F.col
 QUEUE_NOW = "2000-01-01 00:00:00"
@@ -117,3 +124,120 @@ def _(t):
     nodes, edges = graph.rebuild(t.memories, t.relationships, NOW)
     part = lambda df, name, key: df.select(F.lit(name).alias("part"), c(key).cast("string").alias("id"))
     return part(jobs.memory_points(t.records), "point", "memory_id").unionByName(part(nodes, "node", "memory_id")).unionByName(part(edges, "edge", "relationship_id"))
+
+
+# --- extension points -----------------------------------------------------------------------
+
+@query("ext1_parser", """SELECT path, seq, line AS content FROM (SELECT concat('/in/', doc_id) AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents)""")
+def _(t):
+    files = t.documents.select(F.concat(F.lit("/in/"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    make = lambda: lambda path, content: [(line, None) for line in content.decode("utf-8").split("\n")]
+    return ext.parse_files(files, make).select("path", c("seq").cast("long").alias("seq"), "content")
+
+
+@query("ext2_encoder", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS first, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS second FROM documents")
+def _(t):
+    encode = ext.encoder(lambda: lambda texts: np.array([[len(x), x.count("e"), 0.0] for x in texts]), 2)
+    vectors = t.documents.select("doc_id", encode(c("text")).alias("v"))
+    return vectors.select("doc_id", c("v")[0].cast("double").alias("first"), c("v")[1].cast("double").alias("second"))
+
+
+@query("ext3_pair_scorer", f"SELECT q.query_id, p.point_id, CAST(length(q.text) - length(p.content) AS DOUBLE) AS score FROM fx_queries q JOIN fx_points p ON {S.evidence_visible('p', 'q')}")
+def _(t):
+    scorer = ext.pair_scorer(lambda: lambda pairs: np.array([len(a) - len(b) for a, b in pairs]))
+    places = t.queries.select("query_id", "text", F.explode(sc.evidence_chat_keys()).alias("place"))
+    pairs = t.points.withColumn("place", sc.binding_key()).join(places, "place")
+    return pairs.select("query_id", "point_id", scorer(c("text"), c("content")).alias("score"))
+
+
+@query("ext4_supplied_decisions", "SELECT memory_id, 'update' AS outcome, CAST(k AS DOUBLE) AS confidence FROM fx_memories")
+def _(t):
+    rows = t.memories.select("memory_id", F.lit("update").alias("outcome"), F.lit(None).alias("existing_memory_id"), F.array().alias("matched_identifier_values"),
+                             F.lit(None).alias("changed_claims"), c("k").alias("confidence"), F.lit("r").alias("reason"), F.lit(1).alias("ignored"))
+    return ext.decisions(rows, "reconciliation_decisions").select("memory_id", "outcome", "confidence")
+
+
+@query("ext5_semantic_retriever", f"SELECT q.query_id, m.memory_id FROM fx_turns q JOIN (SELECT owner_id, min(memory_id) AS memory_id FROM fx_memories GROUP BY 1) m USING (owner_id) JOIN fx_memories r ON r.memory_id = m.memory_id AND {S.visible('r', 'q')} WHERE {S.current('r.')}")
+def _(t):
+    """Any function from queries to ranked memories can take the place of vector search."""
+    def retriever(queries):
+        first = t.memories.groupBy("owner_id").agg(F.min("memory_id").alias("memory_id"))
+        return queries.join(first, "owner_id").select("query_id", "memory_id", F.lit(1).alias("rank"), F.lit(0.5).alias("score"))
+    return cx.rehydrate(retriever(t.turns), t.memories, t.turns, NOW).select("query_id", "memory_id")
+
+
+# --- streams, run until everything is read -----------------------------------------------------
+
+def folder(t):
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def stream_of(t, name):
+    """The given table as a stream of its file."""
+    return ob.read_changes(t.spark, t.folder, t.table(name).schema, name_filter=f"{name}.parquet")
+
+
+def finished(t, started, path):
+    started.awaitTermination()
+    return t.spark.read.parquet(path)
+
+
+@query("str1_outbox_drain", "SELECT concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) AS memory_id, CASE WHEN l_linestatus = 'F' THEN 'graph' ELSE 'vector' END AS target, bool_and(m.memory_id IS NULL) AS failed FROM lineitem LEFT JOIN fx_memories m ON m.memory_id = concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) GROUP BY 1, 2")
+def _(t):
+    requests = stream_of(t, "lineitem").select(
+        F.concat(F.lit("mem-"), F.lpad(c("l_orderkey").cast("string"), 9, "0")).alias("memory_id"),
+        F.when(c("l_linestatus") == "F", "graph").otherwise("vector").alias("target"), c("l_shipdate").alias("updated_at"))
+    known = t.memories.select("memory_id", F.lit(True).alias("known"))
+    project = lambda wanted: wanted.join(known, "memory_id", "left").select("memory_id", "target", c("known").isNull().alias("failed"))
+    out = folder(t)
+    return finished(t, ob.drain_jobs(requests, project, out, out + "-checkpoint"), out).select("memory_id", "target", "failed")
+
+
+@query("str2_once_per_turn", "SELECT DISTINCT concat('turn', event_id % 997) AS source_turn_id FROM events")
+def _(t):
+    requests = stream_of(t, "events").select(F.concat(F.lit("turn"), c("event_id") % 997).alias("source_turn_id"), F.lit("v1").alias("extraction_version"),
+                                             c("ts").cast("timestamp").alias("requested_at"))
+    out = folder(t)
+    return finished(t, ob.run(ob.once_per_turn(requests, "60 days"), ob.into_folder(out), out + "-checkpoint"), out).select("source_turn_id")
+
+
+@query("str3_expiry", f"SELECT event_id, 'expired' AS status FROM events WHERE event_id % 6 IN (1, 2, 3) AND event_id % 3 = 0 AND ts + INTERVAL 168 HOUR <= {NOW_SQL}")
+def _(t):
+    e = c("event_id")
+    rows = stream_of(t, "events").select("event_id", e.cast("string").alias("memory_id"), F.when((e % 6).isin(1, 2, 3), "active").otherwise("candidate").alias("status"),
+                                         F.when(e % 3 == 0, c("ts") + F.make_dt_interval(hours=F.lit(168))).alias("valid_to"))
+    out = folder(t)
+    return finished(t, ob.run(rows, ob.expire_batches(NOW, out), out + "-checkpoint"), out).select("event_id", "status")
+
+
+@query("str4_capture")
+def _(t):
+    """Arriving events captured against the live ones; equals the batch result."""
+    old, new = events_split(t)
+    source, out = folder(t), folder(t)
+    new.write.parquet(source)
+    arrivals = ob.read_changes(t.spark, source, new.schema, files_per_trigger=1_000_000)
+    started = ob.capture_stream(arrivals, out + "-live", out, out + "-checkpoint", lambda: old)
+    return finished(t, started, out).select("memory_id", "outcome")
+
+
+@query("str5_turn_index", "SELECT concat('c', conv_id) AS session_id, count(*) AS messages, max(n) AS last_turn FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1")
+def _(t):
+    messages = stream_of(t, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("session_id"), F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("message_id"))
+    out = folder(t)
+    numbered = finished(t, ob.run(ob.number_turns(messages), ob.into_folder(out), out + "-checkpoint"), out)
+    return numbered.groupBy("session_id").agg(F.count("*").alias("messages"), F.max("turn_index").alias("last_turn"))
+
+
+@query("str6_latest_status", "SELECT o_custkey AS binding_id, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS run_id FROM orders GROUP BY 1")
+def _(t):
+    runs = stream_of(t, "orders").select(c("o_custkey").alias("binding_id"), c("o_orderkey").alias("run_id"), c("o_orderstatus").alias("status"), c("o_orderdate").alias("created_at"))
+    out = folder(t)
+    return finished(t, ob.run(ob.latest_status(runs), ob.into_folder(out), out + "-checkpoint", "update"), out).select("binding_id", "run_id")
+
+
+@query("str7_latency_feed", "SELECT run_id, stage, round(sum(duration_ms), 3) AS total_ms, count(*) AS jobs FROM fx_latency GROUP BY 1, 2")
+def _(t):
+    log = stream_of(t, "events").select(c("value").alias("duration_ms"), c("event_type").alias("stage"), F.concat(F.lit("run"), c("user_id") % 40).alias("run_id"))
+    out = folder(t)
+    return finished(t, ob.run(ob.stage_totals(log), ob.into_folder(out, "complete"), out + "-checkpoint", "complete"), out)

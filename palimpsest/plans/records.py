@@ -10,8 +10,8 @@ from palimpsest.functions import text as tx
 FLAT_PREFIXES = ("know_", "pref_", "sol_", "ent_", "ev_")
 
 
-def with_payload(memories: DataFrame) -> DataFrame:
-    """Memory records with the payload union in place of the flat columns."""
+def with_payload(memories: DataFrame, keep_flat: bool = False) -> DataFrame:
+    """Memory records with the payload union in place of (or next to) the flat columns."""
     c = F.col
     none_map, none = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
     values = {
@@ -25,12 +25,12 @@ def with_payload(memories: DataFrame) -> DataFrame:
     payload = F.struct(*[
         F.when(c("kind") == kind, value.cast(f"struct<{schemas.PAYLOAD_BRANCHES[kind]}>")).alias(kind)
         for kind, value in values.items()])
-    keep = [name for name in memories.columns if not name.startswith(FLAT_PREFIXES)]
+    keep = [name for name in memories.columns if keep_flat or not name.startswith(FLAT_PREFIXES)]
     return memories.select(*keep, payload.alias("payload"))
 
 
-def with_history(memories: DataFrame) -> DataFrame:
+def with_history(records: DataFrame) -> DataFrame:
     """The record columns the lifecycle operators write."""
-    return with_payload(memories).withColumns({
+    return records.withColumns({
         "subject_id": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string"),
         "identity_key": F.lit(None).cast("string"), "extraction_model": F.lit(""), "extraction_version": F.lit("")})

@@ -28,15 +28,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared work folder, ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only
-    where none is set, as in local tests.  Reliable checkpoints survive the loss
-    of an executor.
+    A temporary folder is made only where none is set, as in local tests.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        current = context._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder; reliable checkpoints survive the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
