@@ -11,6 +11,11 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(value) for value in values])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def casefold(c: Column) -> Column:
     """Lower case with the folds that ``lower`` leaves alone (sharp s, final sigma, long s)."""
     folded = F.lower(c)

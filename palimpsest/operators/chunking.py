@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest import constants as C
 from palimpsest.functions import keys, text as tx
+from palimpsest.operators.ordered import explode_computed
+from palimpsest.session import spread
 
 
 def units(text: Column, max_tokens: int) -> Column:
     """Text pieces with their token cost: paragraphs, else sentences, else words."""
-    pieces = F.flatten(F.transform(tx.paragraphs(text), lambda p: F.when(
-        tx.token_count(p) <= max_tokens, F.array(p)).otherwise(tx.sentences(p))))
-    unit = lambda piece, cost: F.struct(piece.alias("text"), cost.cast("int").alias("tokens"))
+    counted = lambda piece: F.struct(piece.alias("text"), tx.token_count(piece).cast("int").alias("tokens"))
+    word = lambda w: F.struct(w.alias("text"), tx.token_count(F.concat(w, F.lit(" "))).cast("int").alias("tokens"))
+    pieces = F.flatten(F.transform(F.transform(tx.paragraphs(text), counted), lambda p: F.when(
+        p["tokens"] <= max_tokens, F.array(p)).otherwise(F.transform(tx.sentences(p["text"]), counted))))
     return F.flatten(F.transform(pieces, lambda s: F.when(
-        tx.token_count(s) <= max_tokens, F.array(unit(s, tx.token_count(s)))).otherwise(
-        F.transform(tx.words(s), lambda w: unit(w, tx.token_count(F.concat(w, F.lit(" "))))))))
+        s["tokens"] <= max_tokens, F.array(s)).otherwise(F.transform(tx.words(s["text"]), word))))
 
 
 def tail(text: Column, count: int) -> Column:
@@ -24,21 +26,30 @@ def tail(text: Column, count: int) -> Column:
     return F.when(F.size(found) <= count, text).otherwise(F.array_join(F.slice(found, -count, count), ""))
 
 
+STATE = "struct<chunks:array<string>,parts:array<string>,used:int,carry:string>"
+
+
 def chunk(pieces: Column, max_tokens: int, overlap: int) -> Column:
     """Fold units into chunks; each new chunk starts with the tail of the one before."""
     strings = "array<string>"
     start = F.struct(F.array().cast(strings).alias("chunks"), F.array().cast(strings).alias("parts"),
-                     F.lit(0).alias("used"), F.lit("").alias("carry"))
+                     F.lit(0).alias("used"), F.lit("").alias("carry")).cast(STATE)
     whole = lambda acc: tx.strip_blanks(F.concat(acc["carry"], F.lit(" "), F.array_join(acc["parts"], " ")))
 
+    def carried(found, text):
+        """(carry, its tokens) given the tokens of a closed chunk."""
+        kept = F.slice(found, -F.least(F.size(found), F.lit(overlap)), F.lit(overlap))
+        return F.struct(F.when(F.size(found) <= overlap, text).otherwise(F.array_join(kept, "")).alias("carry"),
+                        F.least(F.size(found), F.lit(overlap)).alias("used"))
+
     def step(acc, unit):
         full = (acc["used"] + unit["tokens"] > max_tokens) & (F.size(acc["parts"]) > 0)
-        carried = tail(whole(acc), overlap)
-        return F.struct(
-            F.when(full, F.concat(acc["chunks"], F.array(whole(acc)))).otherwise(acc["chunks"]).alias("chunks"),
-            F.when(full, F.array(unit["text"])).otherwise(F.concat(acc["parts"], F.array(unit["text"]))).alias("parts"),
-            (F.when(full, tx.token_count(carried)).otherwise(acc["used"]) + unit["tokens"]).alias("used"),
-            F.when(full, carried).otherwise(acc["carry"]).alias("carry"))
+        close = lambda text: tx.let(tx.let(tx.tokens(text), lambda found: carried(found, text)), lambda tail_: F.struct(
+            F.concat(acc["chunks"], F.array(text)).alias("chunks"), F.array(unit["text"]).alias("parts"),
+            (tail_["used"] + unit["tokens"]).alias("used"), tail_["carry"].alias("carry")))
+        grow = F.struct(acc["chunks"].alias("chunks"), F.concat(acc["parts"], F.array(unit["text"])).alias("parts"),
+                        (acc["used"] + unit["tokens"]).alias("used"), acc["carry"].alias("carry"))
+        return F.when(full, tx.let(whole(acc), close)).otherwise(grow).cast(STATE)
 
     return F.aggregate(pieces, start, step, lambda acc: F.when(
         F.size(acc["parts"]) > 0, F.concat(acc["chunks"], F.array(whole(acc)))).otherwise(acc["chunks"]))
@@ -46,7 +57,7 @@ def chunk(pieces: Column, max_tokens: int, overlap: int) -> Column:
 
 def split_text(df: DataFrame, text: str = "content", max_tokens: int = C.CHUNK_TOKENS, overlap: int = C.OVERLAP_TOKENS) -> DataFrame:
     """Add ``chunks``, the chunk texts of each row."""
-    pieces = df.withColumn("_units", units(F.col(text), max_tokens))
+    pieces = spread(df).withColumn("_units", units(F.col(text), max_tokens))
     return pieces.withColumn("chunks", chunk(F.col("_units"), max_tokens, overlap)).drop("_units")
 
 
@@ -54,9 +65,9 @@ def chunk_rows(blocks: DataFrame, max_tokens: int = C.CHUNK_TOKENS, overlap: int
     """One row per chunk.  Blocks that fit keep their id and text; others get child ids."""
     split = split_text(blocks, "content", max_tokens, overlap)
     fits = (F.size("chunks") == 1) & (tx.token_count(F.get("chunks", F.lit(0))) <= max_tokens)
-    parts = split.withColumn("_fits", fits).select(
-        *[name for name in split.columns if name not in ("chunks", "content", "chunk_id")],
-        F.col("chunk_id").alias("parent_id"), F.col("content").alias("_whole"), "_fits", F.posexplode("chunks").alias("position", "_part"))
+    kept = [name for name in split.columns if name not in ("chunks", "content", "chunk_id")]
+    parts = explode_computed(split.withColumn("_fits", fits), [
+        *kept, F.col("chunk_id").alias("parent_id"), F.col("content").alias("_whole"), "_fits"], F.col("chunks"), "position", "_part")
     return parts.select(
         *[name for name in parts.columns if not name.startswith("_")],
         F.when(F.col("_fits"), F.col("parent_id")).otherwise(keys.child_id(F.col("parent_id"), F.col("position"))).alias("chunk_id"),
@@ -108,5 +119,5 @@ def section_rows(items: DataFrame, key: str) -> DataFrame:
     """Section blocks of every document; a document's own items are folded in order."""
     row = F.struct("seq", "item_type", "text", F.col("page").cast("int").alias("page"))
     grouped = items.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("items"))
-    blocks = grouped.select(key, F.posexplode(section_blocks(F.col("items"))).alias("seq", "b"))
+    blocks = explode_computed(grouped, [key], section_blocks(F.col("items")), "seq", "b")
     return blocks.select(key, "seq", "b.page", "b.content")

@@ -69,3 +69,13 @@ def joined_in_order(df: DataFrame, keys: list[str], order: list[Column], text: C
     """Texts of a bounded group (a document's blocks, a prompt's sources) joined in order."""
     rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], text.alias("text"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["text"]), separator).alias(name))
+
+
+def explode_computed(df: DataFrame, keep: list, array: Column, position: str, item: str) -> DataFrame:
+    """One row per element of an array that is costly to compute.
+
+    A plain explode makes the optimiser test the array for emptiness first,
+    which computes it again; the outer form computes it once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, item))
+    return rows.where(F.col(position).isNotNull())

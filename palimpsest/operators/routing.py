@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest import constants as C
 from palimpsest.functions import keys, numeric, text as tx
 from palimpsest.operators import quality
+from palimpsest.session import spread
 
 
 def accepted_ocr(lines: Column) -> Column:
@@ -20,7 +21,7 @@ def preflight(pages: DataFrame, min_chars: int = C.NATIVE_MIN_CHARS) -> DataFram
     usable = tx.usable_native_text(tx.text_metrics(F.col("native_text")), min_chars)
     route = (F.when(F.col("read_failed"), "uncertain").when(usable, "native")
              .when(F.col("visual_ratio") < C.BLANK_VISUAL_RATIO, "blank").otherwise("ocr"))
-    return pages.withColumn("route", route)
+    return spread(pages).withColumn("route", route)
 
 
 def fallback_measures(pages: DataFrame) -> DataFrame:
@@ -66,15 +67,25 @@ def quality_gate(pages: DataFrame) -> DataFrame:
 
 
 def document_routes(pages: DataFrame, ratio: float = C.FALLBACK_PAGE_RATIO, min_chars: int = C.NATIVE_MIN_CHARS) -> DataFrame:
-    """Strategy per document: native or mixed text, or a full parse with its reason."""
-    first = preflight(pages, min_chars)
-    measures = fallback_measures(first)
-    gate = quality_gate(settle_ocr(first)).select("asset_id", "quality_ok")
+    """Strategy per document: native or mixed text, or a full parse with its reason.
+
+    Pages shrink to their routes and lengths before the one aggregation.
+    """
+    first = preflight(pages, min_chars).withColumn("first_route", F.col("route"))
+    native = F.col("route") == "native"
+    held = F.length(tx.strip_blanks(F.when(native, F.col("native_text")).otherwise(F.coalesce("ocr_text", F.lit("")))))
+    slim = settle_ocr(first).select("asset_id", "page", "first_route", "route", held.alias("chars"))
+    was, used = (lambda *names: F.col("first_route").isin(*names)), F.col("route").isin("native", "ocr")
+    measured = slim.groupBy("asset_id").agg(
+        F.count_if(~was("blank")).alias("nonblank"), F.count_if(was("ocr", "uncertain")).alias("weak"),
+        F.bool_or(was("uncertain")).alias("any_uncertain"), F.bool_or(was("ocr")).alias("any_ocr"), F.count_if(used).alias("expected"),
+        F.count_distinct(F.when(used, F.col("page"))).alias("represented"), F.sum(F.when(used, F.col("chars")).otherwise(0)).alias("chars"))
+    passed = (F.col("represented") == F.col("expected")) & ((F.col("expected") == 0) | (F.col("chars") >= C.QUALITY_MIN_CHARS))
     reason = (F.when(F.col("any_uncertain"), "uncertain_page")
-              .when((F.col("nonblank") > 0) & (F.col("fallback_ratio") >= ratio), "low_native_coverage")
-              .when(~F.col("quality_ok"), "post_extract_quality_failure"))
+              .when((F.col("nonblank") > 0) & (numeric.floored_ratio(F.col("weak"), F.col("nonblank")) >= ratio), "low_native_coverage")
+              .when(~passed, "post_extract_quality_failure"))
     strategy = F.when(reason.isNotNull(), "full_parse").when(F.col("any_ocr"), "mixed").otherwise("native")
-    return measures.join(gate, "asset_id").select("asset_id", strategy.alias("strategy"), reason.alias("reason"))
+    return measured.select("asset_id", strategy.alias("strategy"), reason.alias("reason"))
 
 
 def image_evidence(images: DataFrame, keep: list[str]) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from palimpsest import constants as C
 from palimpsest.functions import text as tx
 from palimpsest.operators.ordered import top_per
+from palimpsest.session import spread
 
 BROADCAST_QUERIES = 5_000
 LANES = 32
@@ -162,7 +163,7 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int, broadcast: bool | N
     ``queries(query_id, place, vector)``, ``corpus(id, place, collection, vector)``.
     ``broadcast`` is the outcome of an earlier :func:`few` check, if there was one.
     """
-    return _top(queries, corpus, ["vector"], _dense_scores, k, False, "dense_rank", broadcast)
+    return _top(queries, spread(corpus), ["vector"], _dense_scores, k, False, "dense_rank", broadcast)
 
 
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75,
@@ -171,5 +172,5 @@ def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None =
 
     ``queries(query_id, place, text)``, ``corpus(id, place, collection, text)``.
     """
-    encode = lambda df: encode_terms(df, "text", k1, b, mean_terms)
+    encode = lambda df: encode_terms(spread(df), "text", k1, b, mean_terms)
     return _top(encode(queries), encode(corpus), ["terms", "weights"], _sparse_scores, k, True, "sparse_rank", broadcast)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest import constants as C
 from palimpsest.functions import text as tx
+from palimpsest.operators.ordered import explode_computed
 
 SEGMENTS = "array<struct<start:double,end:double,text:string>>"
 
@@ -44,6 +45,6 @@ def merge(segments: Column, max_words: int = C.SEGMENT_WORDS, max_seconds: float
 
 def merged_rows(recordings: DataFrame, key: str, name: Column) -> DataFrame:
     """One evidence block per merged window, with its time range in the header."""
-    windows = recordings.select(key, name.alias("name"), F.posexplode(merge(F.col("segments"))).alias("seq", "w"))
+    windows = explode_computed(recordings, [key, name.alias("name")], merge(F.col("segments")), "seq", "w")
     return windows.select(key, "seq", "w.start", "w.end", tx.segment_header(
         F.col("name"), F.col("w.start"), F.col("w.end"), F.col("w.text")).alias("content"))

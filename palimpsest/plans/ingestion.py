@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keys, numeric, text as tx
 from palimpsest.operators import chunking, evidence as ev, keyed, quality, routing, segments, tables
+from palimpsest.operators.ordered import explode_computed
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
 from palimpsest.plans.registry import query
@@ -55,7 +56,7 @@ def text_blocks(t):
 
 @query("chk1_chunk_text", f"""SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS pos FROM ({chunks_sql('documents', 'text', 'doc_id', 512, 50)})""")
 def _(t):
-    split = chunking.split_text(text_blocks(t)).select("doc_id", F.posexplode("chunks").alias("pos", "chunk"))
+    split = explode_computed(chunking.split_text(text_blocks(t)), ["doc_id"], c("chunks"), "pos", "chunk")
     return split.select("doc_id", c("pos").cast("long").alias("pos"), "chunk")
 
 

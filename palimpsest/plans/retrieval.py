@@ -10,7 +10,8 @@ from palimpsest.operators import context as cx, evidence as ev, graph, hybrid, i
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
 from palimpsest.plans.registry import query
-from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS, ts
+from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS
+from palimpsest.session import spread
 
 c = F.col
 TERM = "'[\\p{L}\\p{N}]+'"
@@ -75,14 +76,14 @@ def _(t):
 
 @query("ret2_sparse_encode", f"SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM documents) GROUP BY ALL")
 def _(t):
-    encoded = search.encode_terms(t.documents, "text")
+    encoded = search.encode_terms(spread(t.documents), "text")
     return encoded.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("doc_id", c("x.terms").alias("term"), c("x.weights").alias("weight"))
 
 
 @query("ret2_sparse_saturated", f"""SELECT doc_id, term, round(n * 2.2 / (n + 1.2 * (1 - 0.75 + 0.75 * total / 100.0)), 6) AS weight FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n
     FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM documents) GROUP BY doc_id, term))""")
 def _(t):
-    encoded = search.encode_terms(t.documents, "text", k1=1.2, b=0.75, mean_terms=100)
+    encoded = search.encode_terms(spread(t.documents), "text", k1=1.2, b=0.75, mean_terms=100)
     rows = encoded.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
     return rows.select("doc_id", c("x.terms").alias("term"), F.round("x.weights", 6).alias("weight"))
 

@@ -50,3 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores before work that is heavy per row.
+
+    A small table is read by fewer tasks than there are cores.  Inputs large
+    enough to give every core a split of its own stay where they are, so nothing
+    is shuffled at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * split_bytes else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest import constants as C, schemas
 from palimpsest.functions import keys, text as tx
+from palimpsest.operators.ordered import explode_computed
 
 
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
@@ -89,7 +90,7 @@ def parse_captions(files: DataFrame, key: str = "path") -> DataFrame:
         tx.seconds(*[stamp(b, i) for i in (5, 6, 7, 8)]).alias("end"), F.array_join(cue_lines(b), " ").alias("text")))
     spoken = files.select(key, F.filter(cues, lambda q: q["text"] != "").alias("cues"))
     changed = F.filter("cues", lambda q, i: (i == 0) | ~q["text"].eqNullSafe(F.get("cues", i - 1)["text"]))
-    return spoken.select(key, F.posexplode(changed).alias("seq", "cue")).select(key, "seq", "cue.*")
+    return explode_computed(spoken, [key], changed, "seq", "cue").select(key, "seq", "cue.*")
 
 
 def read_latency(spark: SparkSession, path: str) -> DataFrame:
