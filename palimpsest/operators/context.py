@@ -107,16 +107,17 @@ def assemble(queries: DataFrame, exact: DataFrame, previous: DataFrame, semantic
     not when vector search finds it again.  At most ten remain before the graph.
     """
     naming = queries.where(F.size("references") > 0).select("query_id")
-    part = lambda df, stage, order, score: df.select(
-        "query_id", "memory_id", F.lit(stage).alias("stage"), order.cast("long").alias("position"), score.cast("double").alias("score"))
+    part = lambda df, stage, minor, score: df.select(
+        "query_id", "memory_id", F.lit(stage).alias("stage"), F.col("rank").alias("position"), minor.cast("long").alias("minor"),
+        score.cast("double").alias("score"))
     none = F.lit(None)
     before = previous.join(naming, "query_id", "left_anti")
     known = previous.join(naming, "query_id", "left_semi").select("query_id", "memory_id")
     found = rehydrate(semantic, memories, queries, now).join(known, ["query_id", "memory_id"], "left_anti")
-    union = (part(exact, 1, F.col("rank"), none)
-             .unionByName(part(before, 2, F.col("rank").cast("long") * 1_000_000_000 + F.col("access_event_id"), none))
-             .unionByName(part(found, 3, F.col("rank"), F.col("score"))))
-    order = [F.col("stage"), F.col("position"), F.col("memory_id")]
+    union = (part(exact, 1, none, none)
+             .unionByName(part(before, 2, F.col("access_event_id"), none))
+             .unionByName(part(found, 3, none, F.col("score"))))
+    order = [F.col("stage"), F.col("position"), F.col("minor"), F.col("memory_id")]
     first = top_per(union, ["query_id", "memory_id"], order)
     limit = C.EXACT_CANDIDATES + C.SEMANTIC_CANDIDATES
     # Each stage was cut before, so a turn's candidates are few.
@@ -125,7 +126,7 @@ def assemble(queries: DataFrame, exact: DataFrame, previous: DataFrame, semantic
         "_before", F.count_if(F.col("stage") < 3).over(turn))
     # Only semantic candidates are subject to the limit, and the first of them always stays.
     allowed = (F.col("stage") < 3) | (F.col("candidate_rank") <= F.greatest(F.lit(limit), F.col("_before") + 1))
-    return ranked.where(allowed).drop("_before")
+    return ranked.where(allowed).drop("_before", "minor")
 
 
 STAGE_NAMES = {1: C.STAGE_EXACT, 2: C.STAGE_PREVIOUS, 3: C.STAGE_SEMANTIC, 4: C.STAGE_GRAPH}

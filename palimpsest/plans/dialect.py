@@ -38,6 +38,9 @@ class SparkDialect:
     def map(self, k, v):
         return f"map({k}, {v})"
 
+    def each_up_to(self, n):
+        return f"explode(sequence(0, CAST({n} AS INT)))"
+
 
 class OracleDialect(SparkDialect):
     def __init__(self):
@@ -69,3 +72,6 @@ class OracleDialect(SparkDialect):
 
     def map(self, k, v):
         return f"MAP([{k}], [{v}])"
+
+    def each_up_to(self, n):
+        return f"unnest(range(CAST({n} AS INT) + 1))"

@@ -64,13 +64,11 @@ def fx_evidence(d):
 @view
 def fx_runs(d):
     """Up to three ingestion runs per binding."""
-    return f"""SELECT concat('run-', b.doc_id, '-', n.r_regionkey) AS run_id, {d.sha256('b.text')} AS asset_id,
-        b.doc_id AS binding_id, 'pdf' AS modality,
-        CASE (b.doc_id + n.r_regionkey) % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing'
-             ELSE 'pending' END AS status,
-        CAST(b.n_chars % 17 AS INT) AS chunk_count, CAST(NULL AS STRING) AS error,
-        {d.minutes(EPOCH, 'b.doc_id % 1000 * 10 + n.r_regionkey')} AS created_at
-        FROM {d.table('documents')} b JOIN {d.table('region')} n ON n.r_regionkey <= b.doc_id % 3"""
+    return f"""SELECT concat('run-', doc_id, '-', n) AS run_id, asset_id, doc_id AS binding_id, 'pdf' AS modality,
+        CASE (doc_id + n) % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'pending' END AS status,
+        CAST(n_chars % 17 AS INT) AS chunk_count, CAST(NULL AS STRING) AS error,
+        {d.minutes(EPOCH, 'doc_id % 1000 * 10 + n')} AS created_at
+        FROM (SELECT doc_id, n_chars, {d.sha256('text')} AS asset_id, {d.each_up_to('doc_id % 3')} AS n FROM {d.table('documents')}) b"""
 
 
 @view
@@ -235,7 +233,7 @@ def fx_access(d):
 @view
 def fx_turn_access(d):
     """Memories injected into each assistant answer of a chat."""
-    return f"""SELECT row_number() OVER (ORDER BY m.message_id, r.event_id) AS access_event_id, m.trace_id, m.session_id,
+    return f"""SELECT r.event_id * 10 + m.turn_index AS access_event_id, m.trace_id, m.session_id,
         r.memory_id, CASE WHEN r.event_id % 5 = 0 THEN 'retrieved' ELSE 'injected' END AS event_type,
         CAST(r.event_id % 4 + 1 AS INT) AS rank, m.created_at
         FROM fx_messages m JOIN fx_sessions s ON s.session_id = m.session_id
