@@ -26,6 +26,7 @@ from palimpsest.operators.ordered import top_per
 from palimpsest.session import spread
 
 BROADCAST_QUERIES = 5_000
+BROADCAST_BYTES = 64 << 20
 LANES = 32
 BLOCK_ROWS = 2_000
 EVERYWHERE = "all"
@@ -54,26 +55,39 @@ def encode_terms(df: DataFrame, text: str, k1: float | None = None, b: float = 0
     return out.drop("_sorted", "_ends")
 
 
-def few(df: DataFrame, limit: int = BROADCAST_QUERIES) -> bool:
-    """Does ``df`` have at most ``limit`` rows?  Reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+def few(df: DataFrame, rows: int = BROADCAST_QUERIES, size: int = BROADCAST_BYTES) -> bool:
+    """Is ``df`` small enough to broadcast, in rows and in bytes?  Reads no more than ``rows`` rows and one."""
+    cost = F.lit(64)
+    if "text" in df.columns:
+        # A term vector takes a few times the text it comes from.
+        cost = cost + 4 * F.coalesce(F.octet_length("text"), F.lit(0))
+    if "vector" in df.columns:
+        cost = cost + 8 * F.coalesce(F.size("vector"), F.lit(0))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).first()
+    return seen["rows"] <= rows and seen["bytes"] <= size
 
 
 def _pack(df: DataFrame, keys: list[str], values: list[str], prefix: str) -> DataFrame:
-    """Rows of each task grouped into blocks by key, columns as lists."""
+    """Neighbouring rows of equal key as blocks, columns as lists."""
     fields = {field.name: field.dataType for field in df.schema}
     schema = T.StructType([T.StructField(name, fields[name]) for name in keys]
                           + [T.StructField(prefix + name, T.ArrayType(fields[name])) for name in values])
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
-                for start in range(0, len(rows), BLOCK_ROWS):
-                    part = rows.iloc[start:start + BLOCK_ROWS]
-                    out.append((*key, *[part[name].tolist() for name in values]))
-            if out:
-                yield pd.DataFrame(out, columns=schema.names)
+            if not len(batch):
+                continue
+            changed = np.arange(len(batch)) % BLOCK_ROWS == 0
+            for name in keys:
+                column = batch[name].to_numpy()
+                changed[1:] |= column[1:] != column[:-1]
+            starts = np.flatnonzero(changed)
+            ends = [*starts[1:], len(batch)]
+            out = {name: batch[name].to_numpy()[starts] for name in keys}
+            for name in values:
+                column = batch[name].tolist()
+                out[prefix + name] = [column[start:end] for start, end in zip(starts, ends)]
+            yield pd.DataFrame(out)
 
     return df.select(*keys, *values).mapInPandas(blocks, schema)
 
@@ -130,7 +144,7 @@ def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], score, k: int
     broadcast = few(queries) if broadcast is None else broadcast
     lanes = 1 if broadcast else LANES
     # Rows of one place follow each other, so a task packs them into few blocks.
-    q = _pack(queries.select("place", "query_id", *vector), ["place"], ["query_id", *vector], "q_")
+    q = _pack(queries.select("place", "query_id", *vector).sortWithinPartitions("place"), ["place"], ["query_id", *vector], "q_")
     d = _pack(corpus.select("place", "collection", "id", *vector).sortWithinPartitions("place", "collection"),
               ["place", "collection"], ["id", *vector], "d_")
     q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
@@ -163,7 +177,7 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int, broadcast: bool | N
     ``queries(query_id, place, vector)``, ``corpus(id, place, collection, vector)``.
     ``broadcast`` is the outcome of an earlier :func:`few` check, if there was one.
     """
-    return _top(queries, spread(corpus), ["vector"], _dense_scores, k, False, "dense_rank", broadcast)
+    return _top(queries, spread(corpus, "place", "collection", "id"), ["vector"], _dense_scores, k, False, "dense_rank", broadcast)
 
 
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75,
@@ -172,5 +186,6 @@ def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None =
 
     ``queries(query_id, place, text)``, ``corpus(id, place, collection, text)``.
     """
-    encode = lambda df: encode_terms(spread(df), "text", k1, b, mean_terms)
-    return _top(encode(queries), encode(corpus), ["terms", "weights"], _sparse_scores, k, True, "sparse_rank", broadcast)
+    encode = lambda df: encode_terms(df, "text", k1, b, mean_terms)
+    broadcast = few(queries) if broadcast is None else broadcast
+    return _top(encode(queries), encode(spread(corpus, "place", "collection", "id")), ["terms", "weights"], _sparse_scores, k, True, "sparse_rank", broadcast)

@@ -52,9 +52,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *order: str) -> DataFrame:
     """Deal the rows of a small input out to all cores before work that is heavy per row.
 
+    With ``order`` the rows are dealt in ranges, so that neighbours stay together.
+
     A small table is read by fewer tasks than there are cores.  Inputs large
     enough to give every core a split of its own stay where they are, so nothing
     is shuffled at scale.
@@ -63,4 +65,6 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * split_bytes else df
+    if estimate >= cores * split_bytes:
+        return df
+    return df.repartitionByRange(cores, *order) if order else df.repartition(cores)
