@@ -139,36 +139,40 @@ def normalise_entity(raw: Column) -> Column:
 
 def normalise_event(raw: Column) -> Column:
     """Event payload with renamed lists mapped back, labels and values normalised, defaults set."""
-    body = F.from_json(raw, f"struct<{schemas.PAYLOAD_BRANCHES['event']}>")
-    alias = lambda name, other, ddl: F.coalesce(
-        body[name], F.from_json(F.get_json_object(raw, f"$.{other}"), f"array<{ddl}>"), F.array().cast(f"array<{ddl}>"))
-    raw_label = F.trim(F.coalesce(body["event_type"], F.lit("")))
-    references = F.transform(alias("identifier_references", "identifier_refs", schemas.IDENTIFIER), lambda r: F.struct(
-        F.coalesce(r["scheme"], F.lit("external_reference")).alias("scheme"), r["value"].alias("value"),
-        F.coalesce(F.nullif(r["normalized_value"], F.lit("")), tx.identifier_key(r["value"])).alias("normalized_value"),
-        r["mention"].alias("mention"), F.coalesce(r["confidence"], F.lit(0.75)).alias("confidence")))
-    claims = F.transform(alias("claims", "event_claims", schemas.CLAIM), lambda c: F.struct(
-        c["attribute"].alias("attribute"), c["value"].alias("value"),
-        F.coalesce(F.nullif(c["normalized_value"], F.lit("")), tx.name_key(c["value"])).alias("normalized_value"),
-        F.coalesce(c["confidence"], F.lit(0.75)).alias("confidence")))
     none = F.array().cast("array<string>")
-    return F.struct(
-        tx.event_label(raw_label).alias("event_type"),
-        F.coalesce(body["event_type_raw"], raw_label).alias("event_type_raw"), body["summary"].alias("summary"),
-        F.coalesce(body["entities"], none).alias("entities"), F.coalesce(body["locations"], none).alias("locations"),
-        body["temporal_scope"].alias("temporal_scope"), references.alias("identifier_references"),
-        claims.alias("claims"))
+
+    def build(body):
+        renamed = lambda name, other, ddl: F.coalesce(
+            body[name], F.from_json(F.get_json_object(raw, f"$.{other}"), f"array<{ddl}>"), F.array().cast(f"array<{ddl}>"))
+        label = F.trim(F.coalesce(body["event_type"], F.lit("")))
+        references = F.transform(renamed("identifier_references", "identifier_refs", schemas.IDENTIFIER), lambda r: F.struct(
+            F.coalesce(r["scheme"], F.lit("external_reference")).alias("scheme"), r["value"].alias("value"),
+            F.coalesce(F.nullif(r["normalized_value"], F.lit("")), tx.identifier_key(r["value"])).alias("normalized_value"),
+            r["mention"].alias("mention"), F.coalesce(r["confidence"], F.lit(0.75)).alias("confidence")))
+        claims = F.transform(renamed("claims", "event_claims", schemas.CLAIM), lambda c: F.struct(
+            c["attribute"].alias("attribute"), c["value"].alias("value"),
+            F.coalesce(F.nullif(c["normalized_value"], F.lit("")), tx.name_key(c["value"])).alias("normalized_value"),
+            F.coalesce(c["confidence"], F.lit(0.75)).alias("confidence")))
+        return F.struct(
+            tx.event_label(label).alias("event_type"), F.coalesce(body["event_type_raw"], label).alias("event_type_raw"),
+            body["summary"].alias("summary"), F.coalesce(body["entities"], none).alias("entities"),
+            F.coalesce(body["locations"], none).alias("locations"), body["temporal_scope"].alias("temporal_scope"),
+            references.alias("identifier_references"), claims.alias("claims"))
+
+    return tx.let(F.from_json(raw, f"struct<{schemas.PAYLOAD_BRANCHES['event']}>"), build)
 
 
 def normalise(kind: Column, raw: Column) -> Column:
     """Supplied JSON payload -> the typed union, only the branch of ``kind`` set."""
-    body = unwrap(kind, raw)
-    plain = lambda name: F.from_json(body, f"struct<{schemas.PAYLOAD_BRANCHES[name]}>")
-    branches = {"knowledge": plain("knowledge"), "preference": normalise_preference(body),
-                "solution": plain("solution"), "entity": normalise_entity(body), "event": normalise_event(body)}
-    return F.struct(*[
-        F.when(kind == name, branch).cast(f"struct<{schemas.PAYLOAD_BRANCHES[name]}>").alias(name)
-        for name, branch in branches.items()])
+    def build(body):
+        plain = lambda name: F.from_json(body, f"struct<{schemas.PAYLOAD_BRANCHES[name]}>")
+        branches = {"knowledge": plain("knowledge"), "preference": normalise_preference(body),
+                    "solution": plain("solution"), "entity": normalise_entity(body), "event": normalise_event(body)}
+        return F.struct(*[
+            F.when(kind == name, branch).cast(f"struct<{schemas.PAYLOAD_BRANCHES[name]}>").alias(name)
+            for name, branch in branches.items()])
+
+    return tx.let(unwrap(kind, raw), build)
 
 
 def _between(c: Column, low: int, high: int) -> Column:
