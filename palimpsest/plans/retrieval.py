@@ -48,7 +48,6 @@ def across_sql(p, k):
 # --- whole-corpus search ---------------------------------------------------------------------
 
 ALL_Q = "SELECT query_id, text, embedding AS v FROM fx_queries"
-ALL_D = "SELECT doc_id AS id, 'documents' AS collection, text, (SELECT embedding FROM embeddings WHERE vec_id = doc_id) AS v FROM documents"
 ALL_D = "SELECT doc_id AS id, 'documents' AS collection, text, e.embedding AS v FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id"
 ALL = hybrid_sql("g", ALL_Q, ALL_D, "true", 20)
 
@@ -58,7 +57,8 @@ def global_queries(t):
 
 
 def global_vectors(t):
-    return t.embeddings.select(c("vec_id").alias("id"), F.lit("documents").alias("collection"), c("embedding").alias("vector"), F.lit(search.EVERYWHERE).alias("place"))
+    of_documents = t.embeddings.join(t.documents.select(c("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return of_documents.select(c("vec_id").alias("id"), F.lit("documents").alias("collection"), c("embedding").alias("vector"), F.lit(search.EVERYWHERE).alias("place"))
 
 
 def global_texts(t):
