@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents, prepare
+from palimpsest.llm.common import documents
 from palimpsest.llm.exact import exact_groups
+from palimpsest.llm.substrings import drop_repeated_passages
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents without the passages of 20 words that also start earlier."""
+    cut = drop_repeated_passages(documents(spark, folder))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, part: total + part["after"] - part["first"])
+    return cut.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Sequences of a document are compared as the 20 words in one string; words hold no blank, so the string is unambiguous.
+SQL_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(generate_series(1, len(words) - 19)) AS start, words FROM d WHERE len(words) >= 20),
+h AS (SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS seq FROM w),
+r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY seq ORDER BY doc_id, start) AS nth FROM h),
+x AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + 19)) AS place FROM r WHERE nth > 1),
+g AS (SELECT doc_id, list(place) AS places FROM x GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+    CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda v, i: NOT list_contains(places, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,8 +44,8 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 
 
 def queries() -> dict:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {"op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": SQL_OP7}
+    return {"op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7}
