@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import documents
 from palimpsest.llm.exact import exact_groups
+from palimpsest.llm.language import predict_languages
 from palimpsest.llm.substrings import drop_repeated_passages
+from palimpsest.llm.token_counts import token_counts
 
 
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +21,8 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 # Sequences of a document are compared as the 20 words in one string; words hold no blank, so the string is unambiguous.
 SQL_OP4 = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
 w AS (SELECT doc_id, unnest(generate_series(1, len(words) - 19)) AS start, words FROM d WHERE len(words) >= 20),
 h AS (SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS seq FROM w),
 r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY seq ORDER BY doc_id, start) AS nth FROM h),
@@ -43,8 +46,19 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 """
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """String-kernel language of every document."""
+    return predict_languages(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document under the unigram model of a public piece vocabulary."""
+    return token_counts(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
+    return {"op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup,
+            "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict:
