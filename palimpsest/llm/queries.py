@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents
+from palimpsest.llm.common import documents, prepare
 from palimpsest.llm.exact import exact_groups
 from palimpsest.llm.language import predict_languages
 from palimpsest.llm.substrings import drop_repeated_passages
 from palimpsest.llm.token_counts import token_counts
+from palimpsest.llm.warc import read_archives, write_archives
+from palimpsest.session import shared_folder
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to WARC archives in the shared folder and read back along their boundary chains."""
+    path = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    write_archives(prepare(spark).read.parquet(f"{folder}/pages.parquet"), path)
+    records = read_archives(spark, path)
+    row_id = lambda name: F.regexp_extract(name, "<urn:row:(.*)>", 1).cast("long")
+    revisit = F.col("type") == "revisit"
+    return records.select(
+        row_id("record_id").alias("page_id"), F.when(revisit, F.col("payload_length").cast("long")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("digest", ":", -1)).otherwise(F.col("sha256")).alias("payload_digest"),
+        F.col("type").alias("record_type"), F.when(revisit, row_id("refers_to")).alias("refers_to"))
+
+
+SQL_OP3 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN g USING (payload_digest)
+"""
 
 
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,9 +82,9 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup,
+    return {"op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup,
             "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7}
+    return {"op3_warc": SQL_OP3, "op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7}
