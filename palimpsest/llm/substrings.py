@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ CHUNK_WINDOWS, RANGE_WINDOWS = 2 << 20, 4 << 20
 MOST_BUCKETS = 1 << 16
 _NULL_ID = (1 << 63) - 1
 _ZSTD = "zstd"
-_ROW = "bucket int, kind int, id bigint, tag bigint, starts array<int>, size int, windows binary, content binary, gone boolean"
+_ROW = "bucket int, kind int, id bigint, tag bigint, size int, windows binary, content binary, gone boolean"
 _PLACE = np.dtype([("doc", "<u4"), ("start", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("tag", "<i8")])
 
@@ -54,11 +55,11 @@ def _pack(keys: np.ndarray, places: np.ndarray, docs: np.ndarray) -> bytes:
     steps = np.diff(keys, prepend=np.uint64(0))
     raw = (np.array([len(keys), len(used)], "<u4").tobytes() + _packed(steps) + _packed(places["doc"].copy()) + _packed(places["start"].copy())
            + docs[used].tobytes())
-    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, _ZSTD, asbytes=True)
+    return _squeeze(raw)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], "<u8")[0]), codec=_ZSTD, asbytes=True)
+    raw = _restore(blob)
     n, d = np.frombuffer(raw[:8], "<u4").tolist()
     at = 8
     keys = np.cumsum(_unpacked(raw[at:at + 8 * n], "<u8"), dtype=np.uint64)
@@ -82,23 +83,41 @@ def _sorted(keys: np.ndarray, *then: np.ndarray) -> np.ndarray:
     return order
 
 
-def _marks(bucket, ids, tags, starts) -> Iterator[pa.RecordBatch]:
-    """Marked windows as one row a document."""
+def _squeeze(raw: bytes) -> bytes:
+    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, _ZSTD, asbytes=True)
+
+
+def _restore(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], "<u8")[0]), codec=_ZSTD, asbytes=True)
+
+
+def _homes(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which a document meets its marks."""
+    return (W.mixed(W.mixed(ids.astype(np.uint64)) ^ tags.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _marks(ids, tags, starts, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marked windows packed by the bucket of their document."""
     if not len(ids):
         return
-    order = np.lexsort((starts, tags, ids))
-    ids, tags, starts = ids[order], tags[order], starts[order]
-    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
-    for at in range(0, len(first), 20_000):
-        part = first[at:at + 20_000]
-        stop = first[at + 20_000] if at + 20_000 < len(first) else len(ids)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[part, stop] - part[0], pa.int32()), pa.array(starts[part[0]:stop].astype(np.int32)))
-        yield _batch(len(part), bucket=np.full(len(part), bucket, np.int32), id=ids[part], tag=tags[part], starts=lists)
+    homes = _homes(ids, tags, buckets)
+    order = np.lexsort((starts, tags, ids, homes))
+    homes, ids, tags, starts = homes[order], ids[order].astype("<i8"), tags[order].astype("<i8"), starts[order].astype("<u4")
+    first = np.flatnonzero(np.r_[True, homes[1:] != homes[:-1]])
+    for at in range(0, len(first), 512):
+        part, last = first[at:at + 512], np.r_[first, len(ids)][at + 1:at + 513]
+        blobs = [_squeeze(np.array([b - a], "<u8").tobytes() + _packed(ids[a:b]) + _packed(tags[a:b]) + _packed(starts[a:b])) for a, b in zip(part, last)]
+        yield _batch(len(part), bucket=homes[part], kind=np.ones(len(part), np.int32), windows=blobs)
+
+
+def _unmark(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = _restore(blob)
+    n = int(np.frombuffer(raw[:8], "<u8")[0])
+    return _unpacked(raw[8:8 + 8 * n], "<i8"), _unpacked(raw[8 + 8 * n:8 + 16 * n], "<i8"), _unpacked(raw[8 + 16 * n:], "<u4")
 
 
 def _batch(n: int, **columns) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "id": pa.int64(), "tag": pa.int64(), "starts": pa.list_(pa.int32()),
-             "size": pa.int32(), "windows": pa.binary(), "content": pa.binary(), "gone": pa.bool_()}
+    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "id": pa.int64(), "tag": pa.int64(), "size": pa.int32(), "windows": pa.binary(), "content": pa.binary(), "gone": pa.bool_()}
     columns.setdefault("kind", np.zeros(n, np.int32))
     return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kind) if c in columns
                                        else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
@@ -131,7 +150,7 @@ def _window_task(width: int, buckets: int):
         own, lead = places[again], places[head[again]]
         twin = (docs[own["doc"]] == docs[lead["doc"]]) & (own["start"] == lead["start"])
         own = own[~twin]
-        yield from _marks(int(docs["tag"][0]) % buckets, docs["id"][own["doc"]], docs["tag"][own["doc"]], own["start"])
+        yield from _marks(docs["id"][own["doc"]], docs["tag"][own["doc"]], own["start"], buckets)
         keys, names, places = keys[~again], names[~again], places[~again]
         order = np.argsort(names, kind="stable")
         keys, names, places = keys[order], names[order], places[order]
@@ -181,17 +200,22 @@ def _window_task(width: int, buckets: int):
     return work
 
 
-def _repeat_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeat_task(buckets: int):
     """Per bucket: marks of every occurrence but the earliest of each key; marks of the chunks pass through."""
-    for bucket, stream in grouped(batches, "bucket"):
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, stream in grouped(batches, "bucket"):
+            yield from bucket(stream)
+
+    def bucket(stream):
         with tempfile.TemporaryFile(dir=scratch()) as file:
             sizes, total = [], 0
             for batch in stream:
-                known = batch.filter(batch.column("windows").is_null())
+                known = batch.filter(pc.equal(batch.column("kind"), 1))
                 if known.num_rows:
                     yield known
                 for blob, size in zip(batch.column("windows"), batch.column("size").to_pylist(), strict=True):
-                    if blob.is_valid:
+                    if size is not None:
                         sizes.append(file.write(blob.as_buffer()))
                         total += size
             ranges = max(1, -(-total // RANGE_WINDOWS))
@@ -213,16 +237,21 @@ def _repeat_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 later, head = order[again], order[np.maximum.accumulate(np.where(again, 0, np.arange(len(keys))))[again]]
                 twin = (ids[later] == ids[head]) & (tags[later] == tags[head]) & (starts[later] == starts[head])
                 later = later[~twin]
-                yield from _marks(bucket, ids[later], tags[later], starts[later])
+                yield from _marks(ids[later], tags[later], starts[later], buckets)
+
+    return work
 
 
-def _content_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        ids, tags, gone = _identify(batch)
-        data, bounds = text_buffer(batch.column("text"))
-        view, bounds = memoryview(np.ascontiguousarray(data)), bounds.tolist()
-        rows = [np.array([b - a], "<u8").tobytes() + pa.compress(view[a:b], _ZSTD, asbytes=True) if b > a else b"" for a, b in zip(bounds, bounds[1:])]
-        yield _batch(len(ids), kind=np.ones(len(ids), np.int32), id=ids, tag=tags, content=rows, gone=gone)
+def _content_task(buckets: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            ids, tags, gone = _identify(batch)
+            data, bounds = text_buffer(batch.column("text"))
+            view, bounds = memoryview(np.ascontiguousarray(data)), bounds.tolist()
+            rows = [_squeeze(view[a:b]) if b > a else b"" for a, b in zip(bounds, bounds[1:])]
+            yield _batch(len(ids), bucket=_homes(ids, tags, buckets), kind=np.full(len(ids), 2, np.int32), id=ids, tag=tags, content=rows, gone=gone)
+
+    return work
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -242,38 +271,52 @@ def _cut_task(width: int):
                                            pa.array([r[3] for r in rows], pa.string())], names=["id", "n_words", "removed", "kept"])
 
     def work(batches):
-        rows, held, mark, key = [], 0, [], None
-        for batch in batches:
-            columns = [batch.column(c) for c in ("kind", "id", "tag", "gone")]
-            starts, contents = batch.column("starts"), batch.column("content")
-            for at, (kind, id_, tag, gone) in enumerate(zip(*[c.to_pylist() for c in columns], strict=True)):
-                if (id_, tag) != key:
-                    key, mark = (id_, tag), []
-                if kind == 0:
-                    mark.append(starts[at].values.to_numpy(zero_copy_only=False))
-                    continue
-                blob = contents[at].as_py()
-                text = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], "<u8")[0]), codec=_ZSTD, asbytes=True) if blob else b""
-                found, cut = text.split(), []
-                kept = found
-                if mark:
-                    cut, kept, last = intervals(np.concatenate(mark), width), [], 0
-                    for a, b in cut:
-                        kept += found[last:a]
-                        last = b
-                    kept += found[last:]
-                text = b" ".join(kept)
-                rows.append((None if gone else id_, len(found), cut, text))
-                held += len(text)
-                if held > 4 << 20 or len(rows) >= 1000:
-                    yield out(rows)
-                    rows, held = [], 0
+        rows, held = [], 0
+        for _, stream in grouped(batches, "bucket"):
+            blobs, marks = [], None
+            for batch in stream:
+                kinds = batch.column("kind").to_pylist()
+                blobs += [batch.column("windows")[at].as_py() for at, kind in enumerate(kinds) if kind == 1]
+                contents = batch.column("content")
+                for at, (kind, id_, tag, gone) in enumerate(zip(kinds, *[batch.column(c).to_pylist() for c in ("id", "tag", "gone")], strict=True)):
+                    if kind == 1:
+                        continue
+                    if marks is None:  # marks sort before contents
+                        marks, blobs = _by_document(blobs), []
+                    blob = contents[at].as_py()
+                    text = _restore(blob) if blob else b""
+                    found, cut = text.split(), []
+                    kept = found
+                    if (id_, tag) in marks:
+                        cut, kept, last = intervals(marks[id_, tag], width), [], 0
+                        for a, b in cut:
+                            kept += found[last:a]
+                            last = b
+                        kept += found[last:]
+                    text = b" ".join(kept)
+                    rows.append((None if gone else id_, len(found), cut, text))
+                    held += len(text)
+                    if held > 4 << 20 or len(rows) >= 1000:
+                        yield out(rows)
+                        rows, held = [], 0
         if rows:
             yield out(rows)
 
     return work
 
 
+def _by_document(blobs: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
+    if not blobs:
+        return {}
+    parts = [_unmark(blob) for blob in blobs]
+    ids, tags, starts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((tags, ids))
+    ids, tags, starts = ids[order], tags[order], starts[order]
+    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    last = np.r_[first[1:], len(ids)]
+    return {(i, t): starts[a:b] for i, t, a, b in zip(ids[first].tolist(), tags[first].tolist(), first.tolist(), last.tolist())}
+
+
 def drop_repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
     """One row for each row: ``id, n_words, removed, kept``.
 
@@ -288,8 +331,8 @@ def drop_repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column
     # about a million windows a bucket: compressed text has a word for every four bytes
     buckets = min(MOST_BUCKETS, 1 << max(4, (scan_bytes(rows) // (4 << 20)).bit_length()))
     windows = rows.mapInArrow(_window_task(width, buckets), _ROW)
-    marks = dealt(windows, None, "bucket").mapInArrow(_repeat_task, _ROW)
-    contents = rows.mapInArrow(_content_task, _ROW)
-    needed = ["id", "tag", "kind", "starts", "content", "gone"]
-    met = dealt(contents.select(needed).unionByName(marks.select(needed)), None, "id", "tag", order=("kind",))
+    marks = dealt(windows, None, "bucket").mapInArrow(_repeat_task(buckets), _ROW)
+    contents = rows.mapInArrow(_content_task(buckets), _ROW)
+    needed = ["bucket", "kind", "id", "tag", "windows", "content", "gone"]
+    met = dealt(contents.select(needed).unionByName(marks.select(needed)), None, "bucket", order=("kind",))
     return met.mapInArrow(_cut_task(width), "id bigint, n_words bigint, removed array<struct<first:bigint,after:bigint>>, kept string")
