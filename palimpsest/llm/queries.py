@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import documents, prepare
 from palimpsest.llm.exact import exact_groups
 from palimpsest.llm.language import predict_languages
+from palimpsest.llm.packing import retrieval_packs
 from palimpsest.llm.substrings import drop_repeated_passages
 from palimpsest.llm.token_counts import token_counts
 from palimpsest.llm.warc import read_archives, write_archives
 from palimpsest.session import shared_folder
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into windows of 4096 ids with their BM25 neighbours."""
+    return retrieval_packs(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to WARC archives in the shared folder and read back along their boundary chains."""
     path = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
@@ -82,7 +88,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup,
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup,
             "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
