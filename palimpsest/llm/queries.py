@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import documents, prepare
+from palimpsest.llm.embeddings import near_vectors
 from palimpsest.llm.exact import exact_groups
 from palimpsest.llm.language import predict_languages
 from palimpsest.llm.packing import retrieval_packs
@@ -77,6 +78,22 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 """
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of one label with cosine 0.93 or more, linked and grouped."""
+    return near_vectors(prepare(spark).read.parquet(f"{folder}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+SQL_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN d USING (a)
+"""
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """String-kernel language of every document."""
     return predict_languages(documents(spark, folder)).withColumnRenamed("id", "doc_id")
@@ -89,8 +106,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op7_exact_dedup": op7_exact_dedup,
-            "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+            "op8_embedding_dedup": op8_embedding_dedup, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": SQL_OP3, "op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7}
+    return {"op3_warc": SQL_OP3, "op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7, "op8_embedding_dedup": SQL_OP8}
