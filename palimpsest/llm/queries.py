@@ -11,6 +11,7 @@ from palimpsest.llm.common import documents, prepare
 from palimpsest.llm.embeddings import near_vectors
 from palimpsest.llm.exact import exact_groups
 from palimpsest.llm.language import predict_languages
+from palimpsest.llm.mixing import mixture
 from palimpsest.llm.near import near_classes
 from palimpsest.llm.packing import retrieval_packs
 from palimpsest.llm.substrings import drop_repeated_passages
@@ -72,6 +73,11 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_classes(documents(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of all documents in a temperature mixture of their sources."""
+    return mixture(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Grace hash deduplication of all documents: one row a document with the row that stays."""
     return exact_groups(documents(spark, folder)).withColumnRenamed("id", "doc_id")
@@ -111,7 +117,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op7_exact_dedup": op7_exact_dedup,
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_source_mixing": op6_source_mixing, "op7_exact_dedup": op7_exact_dedup,
             "op8_embedding_dedup": op8_embedding_dedup, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
