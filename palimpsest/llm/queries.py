@@ -14,12 +14,18 @@ from palimpsest.llm.language import predict_languages
 from palimpsest.llm.mixing import mixture
 from palimpsest.llm.near import near_classes
 from palimpsest.llm.packing import retrieval_packs
+from palimpsest.llm.scoring import pseudo_likelihoods
 from palimpsest.llm.substrings import drop_repeated_passages
 from palimpsest.llm.token_counts import token_counts
 from palimpsest.llm.warc import read_archives, write_archives
 from palimpsest.session import shared_folder
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a window network trained on all of them."""
+    return pseudo_likelihoods(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into windows of 4096 ids with their BM25 neighbours."""
     return retrieval_packs(documents(spark, folder)).withColumnRenamed("id", "doc_id")
@@ -117,7 +123,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_source_mixing": op6_source_mixing, "op7_exact_dedup": op7_exact_dedup,
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_source_mixing": op6_source_mixing, "op7_exact_dedup": op7_exact_dedup,
             "op8_embedding_dedup": op8_embedding_dedup, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
