@@ -148,3 +148,14 @@ def predict_languages(df: DataFrame, id_column: str = "doc_id", text_column: str
     found = learn(df, id_column, text_column, lang_column, **bounds)
     scored = identify(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), found)
     return scored.select(F.col("whole.c0").alias("id"), held_out(F.col("whole.c0")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **bounds) -> DataFrame:
+    """The rows of ``df`` whose language is determined, whole and with all their columns, whatever these are called.
+
+    Without any labelled row to learn from nothing can be rejected but texts without a letter.
+    """
+    found = learn(df, id_column, text_column, lang_column, **bounds) or (["any"], np.zeros((SLOTS, 1), np.float32))
+    whole = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("kept"), F.col(text_column).cast("string").alias("text"))
+    scored = identify(whole, found).where(F.col("lang_pred") != UNDETERMINED)
+    return scored.select(*[F.col(f"whole.c0.c{i}").alias(c) for i, c in enumerate(df.columns)])
