@@ -63,7 +63,7 @@ def _unit_task(ids_kind):
             rows = []
             for id_, label, vector in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("vector").to_pylist(), strict=True):
                 unit = None
-                if label is not None and vector and None not in vector:
+                if id_ is not None and label is not None and vector and None not in vector:
                     x = np.array(vector, np.float64)
                     with np.errstate(over="ignore"):
                         x = x / np.abs(x).max() if np.isfinite(x).all() and np.abs(x).max() > 0 else None
@@ -176,9 +176,9 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str =
                  projections: int = PROJECTIONS, reach: float = REACH, misses: float = MISSES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, n_links, component_id, kept`` of each row.
 
-    Vectors of one label (and one length) link when their cosine is at least ``threshold``.  A null label, null, empty or zero
+    Vectors of one label (and one length) link when their cosine is at least ``threshold``.  A null id or label, null, empty or zero
     vectors and vectors with null or non-finite components link with nothing.  Rows that repeat a vector under a label
-    link with each other.  Ids are integers; rows that repeat an id share its component, and each counts as a vector of its own.
+    link with each other.  Ids are integers; rows that repeat an id with other vectors share its component and the links of all of them.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = prepare(df.sparkSession)
