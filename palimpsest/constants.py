@@ -30,6 +30,8 @@ MEMORY_TOP_K = 5
 EXACT_CANDIDATES = 5
 SEMANTIC_CANDIDATES = 5
 EXACT_FALLBACK_CONFIDENCE = 0.80
+MAX_PLANNED = 10
+PLAN_RELATIONS = ["supports", "updates", "duplicates", "related", "uncertain"]
 GRAPH_SEEDS = 50
 GRAPH_NEIGHBOURS = 4
 RECENT_MESSAGES = 10

@@ -157,14 +157,18 @@ def candidate_counts(candidates: DataFrame) -> DataFrame:
 def validate_plans(plans: DataFrame, candidates: DataFrame) -> DataFrame:
     """Plans with ``problem``, null when they may be used.
 
-    A plan must select candidates only, each once, and describe only what it
-    selects.  ``plans(query_id, selected_memory_ids, relationships)``.
+    A plan must select candidates only, each once, describe only what it selects
+    with known relations and confidences from 0 to 1, and stay within the bounds
+    of both lists; a plan beyond them is not cut but not used at all.  ``plans(query_id, selected_memory_ids, relationships)``.
     """
     picked = plans.select("query_id", F.explode(F.array_distinct("selected_memory_ids")).alias("memory_id"))
     outside = picked.join(candidates.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
     strangers = outside.select("query_id", F.lit(True).alias("outside")).distinct()
     hinted = F.transform("relationships", lambda h: h["memory_id"])
-    problem = (F.when(F.size(F.array_distinct("selected_memory_ids")) < F.size("selected_memory_ids"), "selected twice")
+    odd = F.exists("relationships", lambda h: ~F.coalesce(h["relation"].isin(C.PLAN_RELATIONS) & h["confidence"].between(0, 1), F.lit(False)))
+    problem = (F.when((F.size("selected_memory_ids") > C.MAX_PLANNED) | (F.size("relationships") > C.MAX_PLANNED), "too long")
+               .when(odd, "unknown relation or confidence")
+               .when(F.size(F.array_distinct("selected_memory_ids")) < F.size("selected_memory_ids"), "selected twice")
                .when(F.col("outside"), "outside the candidates")
                .when(F.size(F.array_except(hinted, F.col("selected_memory_ids"))) > 0, "relation of an unselected memory"))
     return plans.join(strangers, "query_id", "left").withColumn("problem", problem).drop("outside")
@@ -188,7 +192,9 @@ def selections(plans: DataFrame, candidates: DataFrame, memories: DataFrame) ->
         "query_id", "memory_id", F.col("position").cast("int").alias("order"), "kind", "scope", "memory_text",
         F.lit("exact_fallback").alias("selection_source"), F.lit("supports").alias("selection_relation"),
         F.col("confidence").alias("selection_confidence"))
-    return top_per(by_plan.unionByName(fallback), ["query_id"], [F.col("order"), F.col("memory_id")], 100, "rank")
+    # Valid plans and exact candidates are few by their own rules, so ranking a turn needs no cut.
+    in_turn = W.partitionBy("query_id").orderBy("order", "memory_id")
+    return by_plan.unionByName(fallback).withColumn("rank", F.row_number().over(in_turn))
 
 
 def update_targets(selected: DataFrame) -> DataFrame:

@@ -97,12 +97,18 @@ def complete_runs(runs: DataFrame, results: DataFrame, now) -> DataFrame:
 
 
 def upsert_evidence(evidence: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new snapshot, violations, projection requests).  Evidence never changes once written."""
-    known = evidence.select("evidence_id", F.col("content_hash").alias("known_hash"))
-    checked = incoming.join(known, "evidence_id", "left")
-    violations = checked.where(F.col("known_hash").isNotNull() & (F.col("known_hash") != F.col("content_hash")))
-    accepted = checked.where(F.col("known_hash").isNull() | (F.col("known_hash") == F.col("content_hash")))
-    fresh = accepted.where(F.col("known_hash").isNull()).drop("known_hash")
+    """(new snapshot, violations, projection requests).  Evidence never changes once written.
+
+    An id with two contents, in the snapshot and the batch together, is a
+    violation; nothing of it is written or projected.
+    """
+    hashes = evidence.select("evidence_id", "content_hash", F.lit(True).alias("old")).unionByName(
+        incoming.select("evidence_id", "content_hash", F.lit(False).alias("old")))
+    state = hashes.groupBy("evidence_id").agg(F.min("content_hash").alias("one"), F.max("content_hash").alias("other"), F.bool_or("old").alias("known"))
+    checked = incoming.join(state, "evidence_id")
+    violations = checked.where(F.col("one") != F.col("other")).select("evidence_id")
+    accepted = checked.where(F.col("one") == F.col("other"))
+    fresh = accepted.where(~F.col("known")).drop("one", "other", "known")
     first = top_per(fresh, ["evidence_id"], [F.col("content_hash")])
     return (evidence.unionByName(first.select(*evidence.columns)), violations.select("evidence_id"),
             accepted.select("evidence_id", "binding_id"))
@@ -141,6 +147,19 @@ def revalidate(references: DataFrame, evidence: DataFrame, bindings: DataFrame,
             .join(evidence.select(*columns), ["evidence_id", "asset_id"]))
 
 
+def authorise(candidates: DataFrame, evidence: DataFrame, bindings: DataFrame, chats: DataFrame) -> DataFrame:
+    """Candidates that the authority tables confirm, with the authority's columns, best rank of each evidence.
+
+    Rank and score travel through the joins, so the candidates are computed once.
+    """
+    allowed = visible_bindings(bindings, chats).select("query_id", "binding_id", "asset_id")
+    columns = ["evidence_id", "asset_id", "modality", "representation", "content", "source_name", "media_uri", "page"]
+    merged = (candidates.select("query_id", "evidence_id", "binding_id", "rank", "score").join(allowed, ["query_id", "binding_id"])
+              .join(evidence.select(*columns), ["evidence_id", "asset_id"]))
+    first = top_per(merged, ["query_id", "evidence_id"], [F.col("rank"), F.col("binding_id")])
+    return first.withColumn("modality", quality.retrieval_modality(F.col("modality")))
+
+
 def merge_candidates(candidates: DataFrame, authorised: DataFrame) -> DataFrame:
     """Authority columns replace index columns; unauthorised and repeated evidence is dropped."""
     index = candidates.select("query_id", "evidence_id", "binding_id", "rank", "score")

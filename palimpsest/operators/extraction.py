@@ -9,10 +9,17 @@ from palimpsest.functions import keys, payload as pl
 from palimpsest.operators import lifecycle as lc, quality
 
 
+def overlong_turns(candidates: DataFrame) -> DataFrame:
+    """Turns with more candidates than a batch may hold; the whole batch is refused and the turn can be claimed again."""
+    counts = candidates.groupBy("source_turn_id").agg(F.count("*").alias("candidates"))
+    return counts.where(F.col("candidates") > C.MAX_EXTRACTED)
+
+
 def numbered(candidates: DataFrame) -> DataFrame:
-    """Candidates of a turn numbered in arrival order, at most twenty; a turn yields few."""
+    """Candidates of the turns that are not refused, numbered in arrival order; a turn has no more than a batch may hold."""
+    accepted = candidates.join(overlong_turns(candidates).select("source_turn_id"), "source_turn_id", "left_anti")
     in_turn = W.partitionBy("source_turn_id").orderBy("candidate_no")
-    return candidates.withColumn("number", F.row_number().over(in_turn)).where(F.col("number") <= C.MAX_EXTRACTED)
+    return accepted.withColumn("number", F.row_number().over(in_turn))
 
 
 def valid_candidates(candidates: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +57,10 @@ def extract(candidates: DataFrame, turns: DataFrame, extractions: DataFrame, ver
     open_turns = turns.join(claimed.select("source_turn_id"), "source_turn_id", "left_semi")
     valid, invalid = valid_candidates(candidates, open_turns)
     records = as_records(valid)
-    return {"claimed": claimed, "events": records.where(F.col("kind") == "event"),
+    asked = candidates.join(open_turns.select("source_turn_id"), "source_turn_id", "left_semi")
+    refused = overlong_turns(asked).select("source_turn_id", F.lit(version).alias("extraction_version"), F.lit("failed").alias("status"),
+                                           F.format_string("%d candidates", "candidates").alias("reason"))
+    return {"claimed": claimed, "refused": refused, "events": records.where(F.col("kind") == "event"),
             "records": records.where(F.col("kind") != "event"), "invalid": invalid}
 
 

@@ -90,16 +90,15 @@ def retrieve(queries: DataFrame, points: DataFrame, evidence: DataFrame, binding
              n: int = C.RERANK_TOP_N, scorer=overlap_score) -> DataFrame:
     """Candidates, re-authorised against the authority tables, reranked and cut."""
     candidates = retrieve_candidates(queries, points, k)
-    allowed = ev.revalidate(candidates, evidence, bindings, queries)
-    return rerank(queries, ev.merge_candidates(candidates, allowed), n, scorer)
+    return rerank(queries, ev.authorise(candidates, evidence, bindings, queries), n, scorer)
 
 
 def sub_questions(queries: DataFrame, plans: DataFrame) -> DataFrame:
-    """Up to three sub-queries per compound question, otherwise the question itself."""
+    """Two or three sub-queries per compound question; with a plan of any other length the question itself."""
     joined = queries.join(plans.select("query_id", "subqueries"), "query_id", "left")
     valid = tx.valid_subqueries(F.coalesce("subqueries", F.array().cast("array<string>")), F.col("text"))
-    use = tx.is_compound(F.col("text")) & (F.size(valid) >= 2)
-    parts = joined.withColumn("part", F.explode(F.transform(F.when(use, valid).otherwise(F.array("text")), lambda s, i: F.struct(
+    use = tx.is_compound(F.col("text")) & F.size("subqueries").between(2, C.MAX_SUBQUERIES) & (F.size(valid) >= 2)
+    parts = joined.withColumn("part", F.explode(F.transform(F.when(F.coalesce(use, F.lit(False)), valid).otherwise(F.array("text")), lambda s, i: F.struct(
         i.alias("number"), s.alias("text")))))
     return parts.withColumn("text", F.col("part.text")).withColumn("number", F.col("part.number")).drop("part", "subqueries")
 
@@ -112,5 +111,4 @@ def retrieve_decomposed(queries: DataFrame, plans: DataFrame, points: DataFrame,
     hits = retrieve_candidates(parts, points, k).withColumn("number", F.element_at(F.split("query_id", "#"), -1).cast("int"))
     whole = hits.withColumn("query_id", F.element_at(F.split("query_id", "#"), 1)).withColumn("rank", F.col("number") * k + F.col("rank"))
     unique = first_hits(whole, ["query_id", "evidence_id", "binding_id"])
-    allowed = ev.revalidate(unique, evidence, bindings, queries)
-    return rerank(queries, ev.merge_candidates(unique, allowed), n, scorer)
+    return rerank(queries, ev.authorise(unique, evidence, bindings, queries), n, scorer)

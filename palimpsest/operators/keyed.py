@@ -16,8 +16,13 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per(df, keys, order, 1)
 
 
-def upsert(snapshot: DataFrame, delta: DataFrame, keys: list[str], keep_first=()) -> DataFrame:
-    """Insert new keys, overwrite the other columns of known keys; one shuffle by key."""
+def upsert(snapshot: DataFrame, delta: DataFrame, keys: list[str], keep_first=(), newest: list[Column] | None = None) -> DataFrame:
+    """Insert new keys, overwrite the other columns of known keys; one shuffle by key.
+
+    A key has one row in ``delta``; where it may have several, ``newest`` orders
+    them and the first one counts.
+    """
+    delta = latest(delta, keys, newest) if newest else delta
     s, d = snapshot.withColumn("_old", F.lit(True)).alias("s"), delta.withColumn("_new", F.lit(True)).alias("d")
     both = s.join(d, keys, "full_outer")
     columns = []
@@ -33,8 +38,14 @@ def upsert(snapshot: DataFrame, delta: DataFrame, keys: list[str], keep_first=()
     return both.select(*columns)
 
 
+def repeated_keys(delta: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with several rows, for callers that have no order to choose by."""
+    return delta.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
 def upsert_memories(snapshot: DataFrame, delta: DataFrame) -> DataFrame:
-    return upsert(snapshot, delta, ["memory_id"], FIRST_VALUE_COLUMNS)
+    """Upsert of memories; of several rows for one memory the last update counts."""
+    return upsert(snapshot, delta, ["memory_id"], FIRST_VALUE_COLUMNS, [F.col("updated_at").desc()])
 
 
 def delete(snapshot: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest import constants as C
 from palimpsest.functions import keys, payload as pl, scope as sc, temporal
+from palimpsest.operators import keyed
 from palimpsest.operators.ordered import top_per
 
 Changes = namedtuple("Changes", "records audit rejects")
@@ -100,6 +101,32 @@ def captured_records(incoming: DataFrame, outcomes: DataFrame) -> DataFrame:
         "user_confirmed": F.when(conflict, F.lit(False)).otherwise(F.col("user_confirmed"))}).drop("outcome")
 
 
+def capture_writes(incoming: DataFrame, outcomes: DataFrame, now, event_type: str = "captured") -> dict[str, DataFrame]:
+    """Everything that :func:`capture_events` leads to: records, open conflicts, audit rows and projection requests.
+
+    A duplicate only leaves an audit row at the record it repeats; a conflict is
+    written as a candidate, opens a conflict and is noted at both records.
+    Conflict ids follow from the two records, so a repeated batch repeats them.
+    """
+    records = captured_records(incoming, outcomes)
+    told = outcomes.join(incoming.select("memory_id", "owner_id", "source_turn_id"), "memory_id")
+    conflict = F.col("outcome") == "conflict"
+    conflict_id = F.xxhash64("memory_id", "existing_memory_id")
+    conflicts = told.where(conflict).select(
+        conflict_id.alias("conflict_id"), F.col("memory_id").alias("incoming_memory_id"), "existing_memory_id", F.lit("claim_mismatch").alias("conflict_type"),
+        F.lit("open").alias("status"), F.to_json(F.struct("changed_claims")).alias("details"), sc.at(now).alias("created_at"))
+    row = lambda memory, name, details: F.struct(memory.alias("memory_id"), F.lit(name).alias("event_type"), details.alias("details"))
+    seen = row(F.col("existing_memory_id"), "duplicate_detected", F.to_json(F.struct("identity_key", "source_turn_id")))
+    own = row(F.col("memory_id"), "conflict_candidate_created", F.lit("{}"))
+    other = row(F.col("existing_memory_id"), "conflict_detected",
+                F.to_json(F.struct("changed_claims", conflict_id.alias("conflict_id"), F.col("memory_id").alias("incoming_memory_id"))))
+    created = row(F.col("memory_id"), event_type, F.lit("{}"))
+    rows = F.when(F.col("outcome") == "duplicate", F.array(seen)).when(conflict, F.array(own, other)).otherwise(F.array(created))
+    audit = told.select("owner_id", F.explode(rows).alias("r")).select(
+        "r.memory_id", "r.event_type", F.col("owner_id").alias("actor_id"), "r.details", sc.at(now).alias("created_at"))
+    return {"records": records, "conflicts": conflicts, "audit": audit, "jobs": keyed.job_rows(records, sc.at(now))}
+
+
 def latest_conflicts(conflicts: DataFrame) -> DataFrame:
     """Newest conflict of each (incoming, existing) pair."""
     return top_per(conflicts, ["incoming_memory_id", "existing_memory_id"], [F.col("conflict_id").desc()])

@@ -52,12 +52,13 @@ def recent(df: DataFrame, keys: list[str], position: str, item: Column, n: int,
            span: int = 1000) -> DataFrame:
     """The up to ``n`` items before each row, oldest first, by dense ``position``.
 
-    Buckets of ``span`` positions overlap by ``n``: the tail of a bucket is also
-    given to the next one, where it only serves as context.
+    ``position`` must be gapless within a group, as :func:`ordinal` makes it.  Each
+    row also goes to every later bucket of ``span`` positions that it is within
+    ``n`` positions of, where it only serves as context.
     """
     position_col = F.col(position)
     own = F.floor(position_col / span)
-    copies = F.when(F.pmod(position_col, F.lit(span)) >= span - n, F.array(own, own + 1)).otherwise(F.array(own))
+    copies = F.sequence(own, F.floor((position_col + n) / span))
     spread = df.withColumn("_item", item).withColumn("_own", own).withColumn("_bucket", F.explode(copies))
     frame = W.partitionBy(*keys, "_bucket").orderBy(position).rowsBetween(-n, -1)
     return (spread.withColumn(name, F.collect_list("_item").over(frame))

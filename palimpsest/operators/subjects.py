@@ -41,19 +41,20 @@ def bind_once(events: DataFrame, subject_identifiers: DataFrame) -> DataFrame:
                         .when(F.col("subjects") == 1, F.col("subject_id")).alias("subject_id"), "subjects")
 
 
-def bind_in_order(events: DataFrame, subject_identifiers: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def bind_in_order(events: DataFrame, subject_identifiers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(event bindings, all subject identifiers) with events taking effect in arrival order.
 
     Each round settles every event that no unsettled earlier event can influence:
     for all of its identifiers it is either the earliest unsettled holder, or the
     identifier is already registered, and registrations never change.  Events of
     different identifiers settle together, so the number of rounds is the depth
-    of the chain of events that introduce identifiers, not the group size.
+    of the chain of events that introduce identifiers, not the group size.  The
+    earliest unsettled event is always ready, so every round settles some.
     """
     rows = cut_lineage(identifier_rows(events))
     registered = cut_lineage(subject_identifiers.select(*KEY, "subject_id"))
-    bound = None
-    for _ in range(max_rounds):
+    bound = cut_lineage(rows.limit(0).select("memory_id", F.lit(None).cast("string").alias("subject_id"), F.lit(0).cast("long").alias("subjects")))
+    while not rows.isEmpty():
         state = rows.join(registered, KEY, "left")
         # Only identifiers that are not registered yet make an event wait.
         firsts = state.where(F.col("subject_id").isNull()).groupBy(*KEY).agg(F.min("position").alias("first"))
@@ -63,8 +64,8 @@ def bind_in_order(events: DataFrame, subject_identifiers: DataFrame, max_rounds:
         settled = cut_lineage(ready.select("memory_id", F.when(F.col("subjects") == 0, new_subject_id(F.col("memory_id")))
                                            .when(F.col("subjects") == 1, F.col("known")).alias("subject_id"), "subjects"))
         if settled.isEmpty():
-            break
-        bound = settled if bound is None else bound.unionByName(settled)
+            raise RuntimeError("no event can be settled")
+        bound = cut_lineage(bound.unionByName(settled))
         fresh = rows.join(settled.where(F.col("subject_id").isNotNull()).withColumnRenamed("subject_id", "new_id"), "memory_id")
         added = fresh.join(registered, KEY, "left_anti").select(*KEY, F.col("new_id").alias("subject_id"))
         registered = cut_lineage(registered.unionByName(added))

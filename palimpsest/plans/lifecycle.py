@@ -58,6 +58,44 @@ def _(t):
     return out.select("memory_id", "status", c("user_confirmed").alias("confirmed"))
 
 
+@query("lif1_conflicts", f"WITH {CAPTURE} SELECT memory_id AS incoming_memory_id, existing AS existing_memory_id, 'claim_mismatch' AS conflict_type, 'open' AS status, changed FROM cap WHERE outcome = 'conflict'")
+def _(t):
+    old, new = events_split(t)
+    out = lc.capture_writes(new, lc.capture_events(old, new), NOW)["conflicts"]
+    return out.select("incoming_memory_id", "existing_memory_id", "conflict_type", "status", F.get_json_object("details", "$.changed_claims").alias("changed"))
+
+
+@query("lif1_audit", f"""WITH {CAPTURE}, m AS (SELECT cap.*, owner_id, source_turn_id FROM cap JOIN fx_memories USING (memory_id)), rows AS (
+      SELECT existing AS memory_id, 'duplicate_detected' AS event_type, owner_id AS actor_id, source_turn_id AS told FROM m WHERE outcome = 'duplicate'
+      UNION ALL SELECT memory_id, CASE WHEN outcome = 'conflict' THEN 'conflict_candidate_created' ELSE 'captured' END, owner_id, '' FROM m WHERE outcome <> 'duplicate'
+      UNION ALL SELECT existing, 'conflict_detected', owner_id, memory_id FROM m WHERE outcome = 'conflict') SELECT memory_id, event_type, actor_id, told FROM rows""")
+def _(t):
+    old, new = events_split(t)
+    out = lc.capture_writes(new, lc.capture_events(old, new), NOW)["audit"]
+    field = lambda name: F.get_json_object("details", f"$.{name}")
+    return out.select("memory_id", "event_type", "actor_id", F.coalesce(field("source_turn_id"), field("incoming_memory_id"), F.lit("")).alias("told"))
+
+
+@query("lif1_jobs", f"WITH {CAPTURE} SELECT memory_id, unnest(['vector', 'graph']) AS target FROM cap WHERE outcome <> 'duplicate'")
+def _(t):
+    old, new = events_split(t)
+    return lc.capture_writes(new, lc.capture_events(old, new), NOW)["jobs"].select("memory_id", "target")
+
+
+@query("lif7_resolve_captured", f"""WITH {CAPTURE}, x AS (SELECT cap.memory_id, existing, a.owner_id = b.owner_id AS same, a.event_id % 2 = 0 AS keep FROM cap JOIN fx_memories a ON a.memory_id = cap.memory_id JOIN fx_memories b ON b.memory_id = cap.existing WHERE outcome = 'conflict')
+    SELECT memory_id AS incoming_memory_id, CASE WHEN keep THEN 'keep_existing' ELSE 'supersede_existing' END AS action FROM x WHERE same""")
+def _(t):
+    """The conflicts that capture opened, resolved by their owners."""
+    old, new = events_split(t)
+    writes = lc.capture_writes(new, lc.capture_events(old, new), NOW)
+    action = F.when(c("event_id") % 2 == 0, "keep_existing").otherwise("supersede_existing")
+    commands = writes["conflicts"].join(t.memories.select(c("memory_id").alias("incoming_memory_id"), "owner_id", "event_id"), "incoming_memory_id").select(
+        "conflict_id", action.alias("action"), c("owner_id").alias("actor_id"))
+    after = keyed.upsert_memories(snapshot(t), writes["records"].select(*[n for n in snapshot(t).columns if n in writes["records"].columns]))
+    closed = lc.resolve_conflicts(after, writes["conflicts"], commands, NOW)["conflicts"]
+    return closed.join(writes["conflicts"].select("conflict_id", "incoming_memory_id"), "conflict_id").select("incoming_memory_id", "action")
+
+
 OUTCOMES = ["new", "duplicate", "update", "related", "uncertain", "merge"]
 
 
@@ -273,30 +311,39 @@ def _(t):
     return lc.claim_extractions(known, asked).select("source_turn_id")
 
 
-def supplied_candidates(t):
+def in_turns(t):
+    """Memories in turns of fifteen; every seventh turn has thirty, more than a batch may hold."""
+    block = F.floor(c("event_id") / 15)
+    return t.memories.withColumn("source_turn_id", F.concat(F.lit("turn"), F.when(block % 7 == 1, block - 1).otherwise(block)))
+
+
+def supplied_candidates(memories):
     raw = F.when(c("kind") == "event", F.format_string('{"event_type":"%s","summary":"%s","identifier_refs":[{"value":"EV-%d"}],"event_claims":[{"attribute":"Status","value":"Open"}]}', "ev_type_raw", "ev_summary", c("k"))
                  ).when(c("kind") == "preference", F.format_string('{"phrase":"%s","consent":"yes","strength":"high"}', "pref_behavior")
                         ).when(c("kind") == "knowledge", F.format_string('{"subject":"%s","predicate":"","object":"x"}', "know_subject")
                                ).when(c("kind") == "entity", F.format_string('{"name":"%s","entity_type":"account"}', "ent_name")
                                       ).otherwise(F.format_string('{"problem_signature":"%s","steps":["a"]}', "sol_problem"))
-    return t.memories.select("source_turn_id", c("event_id").alias("candidate_no"), "kind", "confidence", "evidence_refs", raw.alias("payload"))
+    return memories.select("source_turn_id", c("event_id").alias("candidate_no"), "kind", "confidence", "evidence_refs", raw.alias("payload"))
 
 
-def extraction_turns(t):
-    return t.memories.groupBy("source_turn_id").agg(F.min("owner_id").alias("owner_id"), F.min("session_id").alias("session_id"), F.min("project_id").alias("project_id"), F.min("project_scope").alias("project_scope"),
+def extraction_turns(memories):
+    return memories.groupBy("source_turn_id").agg(F.min("owner_id").alias("owner_id"), F.min("session_id").alias("session_id"), F.min("project_id").alias("project_id"), F.min("project_scope").alias("project_scope"),
                                                     F.min("created_at").alias("captured_at")).withColumns({"user_content": F.lit("done in 2 days"), "turn_refs": F.array(F.lit("ev-1"))})
 
 
-@query("lif19_extract", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_turn_id ORDER BY event_id) AS number FROM fx_memories QUALIFY number <= 20), f AS (SELECT source_turn_id, min(created_at) AS cap FROM fx_memories GROUP BY 1)
-    SELECT source_turn_id, number, kind, CASE WHEN kind = 'knowledge' THEN 'invalid' WHEN (kind = 'event' AND confidence >= 0.75) OR (kind = 'preference' AND confidence >= 0.9) THEN 'active' ELSE 'candidate' END AS status FROM n""")
+@query("lif19_extract", """WITH b AS (SELECT *, event_id // 15 AS block FROM fx_memories), m AS (SELECT * REPLACE (concat('turn', CASE WHEN block % 7 = 1 THEN block - 1 ELSE block END) AS source_turn_id) FROM b),
+    n AS (SELECT *, row_number() OVER (PARTITION BY source_turn_id ORDER BY event_id) AS number, count(*) OVER (PARTITION BY source_turn_id) AS size FROM m)
+    SELECT DISTINCT source_turn_id, 0 AS number, '' AS kind, 'refused' AS status FROM n WHERE size > 20 UNION ALL SELECT source_turn_id, number, kind, CASE WHEN kind = 'knowledge' THEN 'invalid' WHEN (kind = 'event' AND confidence >= 0.75) OR (kind = 'preference' AND confidence >= 0.9) THEN 'active' ELSE 'candidate' END AS status FROM n WHERE size <= 20""")
 def _(t):
+    memories = in_turns(t)
     nothing = t.memories.limit(0).select("source_turn_id", F.lit("v1").alias("extraction_version"), "status")
-    out = extraction.extract(supplied_candidates(t), extraction_turns(t), nothing, "v1")
-    numbers = extraction.numbered(supplied_candidates(t)).select("source_turn_id", "kind", "number")
+    out = extraction.extract(supplied_candidates(memories), extraction_turns(memories), nothing, "v1")
+    numbers = extraction.numbered(supplied_candidates(memories)).select("source_turn_id", "kind", "number")
     keyed_numbers = numbers.withColumn("memory_id", keys.uuid5(F.concat_ws(":", F.lit("extracted"), "source_turn_id", "number")))
     records = out["events"].unionByName(out["records"]).select("memory_id", "status")
     good = keyed_numbers.join(records, "memory_id").select("source_turn_id", c("number").cast("long").alias("number"), "kind", "status")
-    return good.unionByName(out["invalid"].select("source_turn_id", c("number").cast("long").alias("number"), "kind", F.lit("invalid").alias("status")))
+    refused = out["refused"].select("source_turn_id", F.lit(0).cast("long").alias("number"), F.lit("").alias("kind"), F.lit("refused").alias("status"))
+    return good.unionByName(out["invalid"].select("source_turn_id", c("number").cast("long").alias("number"), "kind", F.lit("invalid").alias("status"))).unionByName(refused)
 
 
 @query("lif20_target_update", f"""SELECT a.memory_id, a.kind = 'event' AND len(list_intersect(list_transform(a.ev_claims, lambda c: trim(lower(c.attribute))), list_transform(b.ev_claims, lambda c: trim(lower(c.attribute))))) > 0

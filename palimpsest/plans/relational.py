@@ -133,7 +133,10 @@ def memory_delta(t):
       round(CASE WHEN d.memory_id IS NOT NULL THEN 1.0 ELSE m.confidence END, 6) AS confidence, coalesce(m.kind, 'event') AS kind,
       d.memory_id IS NULL AND m.valid_to IS NOT NULL AS bounded FROM fx_memories m FULL JOIN d ON d.memory_id = m.memory_id""")
 def _(t):
-    out = keyed.upsert_memories(t.memories, memory_delta(t))
+    delta = memory_delta(t)
+    # older rows for some of the same keys, which the newer ones override
+    older = delta.where(c("event_id") % 9 == 0).withColumns({"status": F.lit("expired"), "confidence": F.lit(0.1), "updated_at": c("updated_at") - F.expr("INTERVAL 1 DAY")})
+    out = keyed.upsert_memories(t.memories, older.unionByName(delta))
     return out.select("memory_id", "status", F.round("confidence", 6).alias("confidence"), "kind",
                       c("valid_to").isNotNull().alias("bounded"))
 
@@ -176,14 +179,17 @@ def hashed_evidence(t):
 
 
 @query("snk4_upsert_evidence", """WITH inc AS (SELECT e.evidence_id, b.binding_id, e.first_doc FROM fx_evidence e JOIN fx_bindings b USING (asset_id))
-    SELECT 'stored' AS what, evidence_id AS id FROM fx_evidence WHERE first_doc % 2 = 0 OR first_doc % 5 <> 0 OR first_doc % 10 = 5
+    SELECT 'stored' AS what, evidence_id AS id FROM fx_evidence WHERE first_doc % 10 <> 5
     UNION ALL SELECT 'violation', evidence_id FROM inc WHERE first_doc % 10 = 0
-    UNION ALL SELECT 'job', concat(evidence_id, '@', binding_id) FROM inc WHERE first_doc % 10 <> 0""")
+    UNION ALL SELECT 'violation', evidence_id FROM inc, range(2) WHERE first_doc % 10 = 5
+    UNION ALL SELECT 'job', concat(evidence_id, '@', binding_id) FROM inc WHERE first_doc % 5 <> 0""")
 def _(t):
     base = hashed_evidence(t)
     snapshot = base.where(c("first_doc") % 2 == 0)
     incoming = base.join(t.bindings.select("asset_id", "binding_id"), "asset_id").withColumn(
         "content_hash", F.when(c("first_doc") % 10 == 0, F.lit("other")).otherwise(c("content_hash")))
+    # a second content for some new ids
+    incoming = incoming.unionByName(incoming.where(c("first_doc") % 10 == 5).withColumn("content_hash", F.lit("second")))
     stored, violations, jobs = ev.upsert_evidence(snapshot, incoming)
     return (stored.select(F.lit("stored").alias("what"), c("evidence_id").alias("id"))
             .unionByName(violations.select(F.lit("violation").alias("what"), c("evidence_id").alias("id")))

@@ -154,11 +154,13 @@ def subquery_plans(t):
     half = F.floor(F.length("text") / 2).cast("int")
     parts = F.array(F.substring(c("text"), F.lit(1), half), F.substring(c("text"), half + 1, F.length("text")))
     asked = t.queries.withColumn("text", F.concat("text", F.lit(" compare this? Why?")))
-    return asked, t.queries.select("query_id", parts.alias("subqueries"))
+    # a plan of four is not a plan, so its question is asked as it is
+    whole = F.when(c("item_id") % 4 == 3, F.concat(parts, parts)).otherwise(parts)
+    return asked, t.queries.select("query_id", whole.alias("subqueries"))
 
 
-DEC_Q = f"""SELECT concat(query_id, '#', i) AS query_id, query_id AS base, i, {S.collapse('part')} AS text, embedding AS v, owner_id, session_id, project_id FROM (
-    SELECT *, unnest([0, 1]) AS i, CASE WHEN i = 0 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INT)) ELSE substr(text, CAST(floor(length(text) / 2) AS INT) + 1) END AS part FROM fx_queries)"""
+DEC_Q = f"""SELECT concat(query_id, '#', i) AS query_id, query_id AS base, i, CASE WHEN item_id % 4 = 3 THEN part ELSE {S.collapse('part')} END AS text, embedding AS v, owner_id, session_id, project_id FROM (
+    SELECT *, unnest(CASE WHEN item_id % 4 = 3 THEN [0] ELSE [0, 1] END) AS i, CASE WHEN item_id % 4 = 3 THEN concat(text, ' compare this? Why?') WHEN i = 0 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INT)) ELSE substr(text, CAST(floor(length(text) / 2) AS INT) + 1) END AS part FROM fx_queries)"""
 DEC = f"""WITH {hybrid_sql('s', DEC_Q, SCOPED_D, S.evidence_visible('d', 'q'), 20)}, {across_sql('s', 20)},
     cand0 AS (SELECT string_split(a.query_id, '#')[1] AS query_id, p.evidence_id, p.binding_id, CAST(string_split(a.query_id, '#')[2] AS INT) * 20 + a.rank AS rank, a.score FROM sac a JOIN fx_points p ON p.point_id = a.id),
     cand AS (SELECT * FROM cand0 QUALIFY row_number() OVER (PARTITION BY query_id, evidence_id, binding_id ORDER BY rank) = 1)"""
@@ -428,13 +430,15 @@ def supplied_plans(t):
     selected = F.when(bad == 0, F.concat("ids", "ids")).when(bad == 1, F.array(F.lit("mem-unknown"))).otherwise(c("ids"))
     relation = F.when(bad == 2, "updates").otherwise("related")
     hint = lambda m: F.struct(m.alias("memory_id"), relation.alias("relation"), F.when(F.length("text") % 2 == 0, 0.95).otherwise(0.5).alias("confidence"))
-    return asked.select("query_id", selected.alias("selected_memory_ids"), F.array(hint(F.get("ids", F.lit(0)))).alias("relationships"))
+    # one in five plans has more hints than a plan may have
+    hints = F.array_repeat(hint(F.get("ids", F.lit(0))), F.when(bad == 3, 11).otherwise(1))
+    return asked.select("query_id", selected.alias("selected_memory_ids"), hints.alias("relationships"))
 
 
 PLANS = f"""{STAGES}, pl AS (SELECT query_id, list(memory_id ORDER BY memory_id) AS ids, any_value(length(text) % 5) AS bad, any_value(length(text) % 2) AS odd FROM ex JOIN (SELECT query_id, text FROM fx_turns) USING (query_id) GROUP BY query_id),
     sel AS (SELECT p.query_id, p.memory_id, p.i AS rank, 'planner' AS source, CASE WHEN p.i = 1 THEN CASE WHEN bad = 2 THEN 'updates' ELSE 'related' END ELSE 'related' END AS relation,
-        CASE WHEN p.i = 1 THEN CASE WHEN odd = 0 THEN 0.95 ELSE 0.5 END ELSE NULL END AS hint FROM (SELECT query_id, bad, odd, unnest(ids) AS memory_id, generate_subscripts(ids, 1) AS i FROM pl WHERE bad >= 2) p
-      UNION ALL SELECT e.query_id, e.memory_id, row_number() OVER (PARTITION BY e.query_id ORDER BY e.rank), 'exact_fallback', 'supports', NULL FROM ex e JOIN pl USING (query_id) JOIN fx_memories m ON m.memory_id = e.memory_id WHERE bad < 2 AND m.confidence >= 0.8),
+        CASE WHEN p.i = 1 THEN CASE WHEN odd = 0 THEN 0.95 ELSE 0.5 END ELSE NULL END AS hint FROM (SELECT query_id, bad, odd, unnest(ids) AS memory_id, generate_subscripts(ids, 1) AS i FROM pl WHERE bad IN (2, 4)) p
+      UNION ALL SELECT e.query_id, e.memory_id, row_number() OVER (PARTITION BY e.query_id ORDER BY e.rank), 'exact_fallback', 'supports', NULL FROM ex e JOIN pl USING (query_id) JOIN fx_memories m ON m.memory_id = e.memory_id WHERE bad NOT IN (2, 4) AND m.confidence >= 0.8),
     sel2 AS (SELECT s.*, coalesce(hint, m.confidence) AS conf FROM sel s JOIN fx_memories m USING (memory_id))"""
 
 
