@@ -64,12 +64,11 @@ def place_hits(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """Hybrid top ``k`` of every place a chat can see; ``number`` is the place's turn."""
     places = queries.select("query_id", "text", "vector", F.explode(F.transform(sc.chat_keys(), lambda p, i: F.struct(
         p.alias("place"), i.alias("number")))).alias("p"))
-    asked = places.select(F.concat_ws("#", "query_id", "p.number").alias("query_id"), "text", "vector", "p.place")
+    asked = hybrid.numbered_questions(places.select("query_id", "p.number", "text", "vector", "p.place"))
     corpus = points.select(F.col("memory_id").alias("id"), F.lit("memories").alias("collection"), F.col("memory_text").alias("text"),
                            "vector", F.explode(sc.index_keys()).alias("place"))
     hits = hybrid.search_collections(asked, corpus, k)
-    parts = F.split("query_id", "#")
-    return hits.select(parts[0].alias("query_id"), parts[1].cast("int").alias("number"), F.col("id").alias("memory_id"), "rank", "score")
+    return hits.select(hybrid.question_id().alias("query_id"), hybrid.question_number().alias("number"), F.col("id").alias("memory_id"), "rank", "score")
 
 
 def merged_places(hits: DataFrame) -> DataFrame:

@@ -32,9 +32,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
 
 def search_collections(queries: DataFrame, corpus: DataFrame, k: int, **sparse_options) -> DataFrame:
     """Hybrid top ``k`` of every collection.  Both sides carry ``place``, ``text`` and ``vector``."""
-    broadcast = search.few(queries)
-    return fuse(search.dense_top(queries, corpus, k, broadcast),
-                search.sparse_top(queries, corpus, k, broadcast=broadcast, **sparse_options), k)
+    return fuse(search.dense_top(queries, corpus, k), search.sparse_top(queries, corpus, k, **sparse_options), k)
 
 
 def across_collections(hits: DataFrame, k: int) -> DataFrame:
@@ -103,12 +101,28 @@ def sub_questions(queries: DataFrame, plans: DataFrame) -> DataFrame:
     return parts.withColumn("text", F.col("part.text")).withColumn("number", F.col("part.number")).drop("part", "subqueries")
 
 
+def numbered_questions(parts: DataFrame) -> DataFrame:
+    """Sub-questions as queries of their own: the id of the question after the number and a stroke."""
+    return parts.withColumn("query_id", F.concat_ws("|", F.format_string("%03d", "number"), "query_id"))
+
+
+def whole_questions(hits: DataFrame, k: int) -> DataFrame:
+    """Hits of sub-questions as hits of their question, those of an earlier sub-question first; ids may hold any sign."""
+    return hits.withColumns({"rank": question_number() * k + F.col("rank"), "query_id": question_id()})
+
+
+def question_number() -> Column:
+    return F.substring_index("query_id", "|", 1).cast("int")
+
+
+def question_id() -> Column:
+    return F.expr("substring(query_id, locate('|', query_id) + 1)")
+
+
 def retrieve_decomposed(queries: DataFrame, plans: DataFrame, points: DataFrame, evidence: DataFrame, bindings: DataFrame,
                         k: int = C.HYBRID_CANDIDATES, n: int = C.RERANK_TOP_N, scorer=overlap_score) -> DataFrame:
     """Candidates of all sub-queries, first hit of each evidence, one rerank against the question."""
-    parts = sub_questions(queries, plans).withColumn("question_id", F.col("query_id")).withColumn(
-        "query_id", F.concat_ws("#", "query_id", "number"))
-    hits = retrieve_candidates(parts, points, k).withColumn("number", F.element_at(F.split("query_id", "#"), -1).cast("int"))
-    whole = hits.withColumn("query_id", F.element_at(F.split("query_id", "#"), 1)).withColumn("rank", F.col("number") * k + F.col("rank"))
+    parts = numbered_questions(sub_questions(queries, plans))
+    whole = whole_questions(retrieve_candidates(parts, points, k), k)
     unique = first_hits(whole, ["query_id", "evidence_id", "binding_id"])
     return rerank(queries, ev.authorise(unique, evidence, bindings, queries), n, scorer)

@@ -42,7 +42,11 @@ def claimable(jobs: DataFrame, now, lease_seconds: int = C.LEASE_SECONDS, target
 
 def claim(jobs: DataFrame, now, limit: int, worker: str, lease_seconds: int = C.LEASE_SECONDS, targets=None) -> DataFrame:
     """The oldest claimable jobs, marked as running for ``worker``."""
-    picked = claimable(jobs, now, lease_seconds, targets).orderBy("updated_at", "job_id").limit(limit)
+    return take(claimable(jobs, now, lease_seconds, targets).orderBy("updated_at", "job_id").limit(limit), now, worker)
+
+
+def take(picked: DataFrame, now, worker: str) -> DataFrame:
+    """Jobs marked as running for ``worker``."""
     return picked.withColumns({
         "status": F.lit("running"), "attempts": F.col("attempts") + 1, "locked_at": sc.at(now),
         "locked_by": F.lit(worker), "updated_at": sc.at(now)})

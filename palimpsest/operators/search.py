@@ -1,15 +1,13 @@
 """Exact dense and sparse top-k for many queries at once.
 
-Queries and corpus meet in an equi-join on the place both may see.  Before the
-join either side is packed into blocks of rows, so a joined row is one block of
-queries against one block of documents: a matrix product in a task.  A block
-emits only the best ``k`` documents per query, so scored pairs are never
-shuffled and never leave the task.
-
-The packed queries are broadcast when a count shows that they are few.
-Otherwise both sides are shuffled on (place, lane): corpus blocks are dealt to
-lanes and queries are copied to every lane, which splits a place that holds a
-large part of the corpus.
+Queries and corpus meet in the places that both may see.  A place is cut into as
+many buckets as its size asks for; its documents are dealt to them, its queries
+go to each.  Both sides are shuffled once on (place, bucket) and stream through a
+task bucket by bucket: the queries of a bucket stand before its documents, whose
+blocks are scored by one matrix product each.  A task keeps the best ``k`` of each
+query over all its buckets and emits these at the end, so scored pairs are never
+shuffled.  There is one plan for all sizes; many small places share a task, and a
+large one is split.
 """
 
 from __future__ import annotations
@@ -23,12 +21,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from palimpsest import constants as C
 from palimpsest.functions import text as tx
 from palimpsest.operators.ordered import top_per
-from palimpsest.session import spread
 
-BROADCAST_QUERIES = 5_000
-BROADCAST_BYTES = 64 << 20
-LANES = 32
-BLOCK_ROWS = 2_000
+# Documents of a place in one bucket, about; documents scored at once; results a task holds before it lets them go.
+BUCKET_ROWS = 20_000
+BLOCK_ROWS = 1_000
+HELD_RESULTS = 500_000
 EVERYWHERE = "all"
 
 
@@ -55,43 +52,6 @@ def encode_terms(df: DataFrame, text: str, k1: float | None = None, b: float = 0
     return out.drop("_sorted", "_ends")
 
 
-def few(df: DataFrame, rows: int = BROADCAST_QUERIES, size: int = BROADCAST_BYTES) -> bool:
-    """Is ``df`` small enough to broadcast, in rows and in bytes?  Reads no more than ``rows`` rows and one."""
-    cost = F.lit(64)
-    if "text" in df.columns:
-        # A term vector takes a few times the text it comes from.
-        cost = cost + 4 * F.coalesce(F.octet_length("text"), F.lit(0))
-    if "vector" in df.columns:
-        cost = cost + 8 * F.coalesce(F.size("vector"), F.lit(0))
-    seen = df.limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).first()
-    return seen["rows"] <= rows and seen["bytes"] <= size
-
-
-def _pack(df: DataFrame, keys: list[str], values: list[str], prefix: str) -> DataFrame:
-    """Neighbouring rows of equal key as blocks, columns as lists."""
-    fields = {field.name: field.dataType for field in df.schema}
-    schema = T.StructType([T.StructField(name, fields[name]) for name in keys]
-                          + [T.StructField(prefix + name, T.ArrayType(fields[name])) for name in values])
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            changed = np.arange(len(batch)) % BLOCK_ROWS == 0
-            for name in keys:
-                column = batch[name].to_numpy()
-                changed[1:] |= column[1:] != column[:-1]
-            starts = np.flatnonzero(changed)
-            ends = [*starts[1:], len(batch)]
-            out = {name: batch[name].to_numpy()[starts] for name in keys}
-            for name in values:
-                column = batch[name].tolist()
-                out[prefix + name] = [column[start:end] for start, end in zip(starts, ends)]
-            yield pd.DataFrame(out)
-
-    return df.select(*keys, *values).mapInPandas(blocks, schema)
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, positive: bool) -> np.ndarray:
     """Positions of the best ``k`` scores; equal scores go by id."""
     if positive:
@@ -105,87 +65,159 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, positive: bool) -> np.nda
     return allowed[order][:k]
 
 
-def _dense_scores(row) -> np.ndarray:
-    def unit(vectors):
-        matrix = np.stack([np.asarray(v, dtype=np.float32) for v in vectors]).astype(np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return matrix / np.where(norms == 0, 1.0, norms)
-    return np.round(unit(row.q_vector) @ unit(row.d_vector).T, 6)
+def _dense_queries(rows: pd.DataFrame):
+    return _unit(rows["vector"])
 
 
-def _sparse_scores(row) -> np.ndarray:
-    """Term-weight products of a query block and a document block over the queries' vocabulary."""
-    vocabulary = np.unique(np.concatenate([np.asarray(t, dtype=str) for t in row.q_terms] or [np.array([], dtype=str)]))
-    if not len(vocabulary):
-        return np.zeros((len(row.q_query_id), len(row.d_id)))
+def _unit(vectors) -> np.ndarray:
+    matrix = np.stack([np.asarray(v, dtype=np.float32) for v in vectors]).astype(np.float64)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0, 1.0, norms)
+
+
+def _dense_scores(queries: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    return np.round(queries @ _unit(rows["vector"]).T, 6)
+
+
+def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, row, weight) of every term of every row, by row."""
+    lengths = [len(t) for t in rows["terms"]]
+    if not sum(lengths):
+        return np.array([], dtype=str), np.array([], dtype=np.int64), np.array([])
+    return (np.concatenate([np.asarray(t, dtype=str) for t in rows["terms"]]), np.repeat(np.arange(len(lengths)), lengths),
+            np.concatenate([np.asarray(w, dtype=np.float64) for w in rows["weights"]]))
 
-    def matrix(term_lists, weight_lists):
-        lengths = [len(t) for t in term_lists]
-        terms = np.concatenate([np.asarray(t, dtype=str) for t in term_lists]) if sum(lengths) else np.array([], dtype=str)
-        weights = np.concatenate([np.asarray(w, dtype=np.float64) for w in weight_lists]) if sum(lengths) else np.array([])
-        owners = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-        hit = vocabulary[at] == terms
-        flat = np.bincount(owners[hit] * len(vocabulary) + at[hit], weights=weights[hit], minlength=len(lengths) * len(vocabulary))
-        return flat.reshape(len(lengths), len(vocabulary))
 
-    queries = matrix(row.q_terms, row.q_weights)
-    scores = np.empty((len(row.q_query_id), len(row.d_id)))
-    step = max(1, 4_000_000 // len(vocabulary))
-    for start in range(0, len(row.d_id), step):
-        part = slice(start, start + step)
-        scores[:, part] = queries @ matrix(row.d_terms[part], row.d_weights[part]).T
-    return np.round(scores, 6)
+def _sparse_queries(rows: pd.DataFrame):
+    """The queries' terms, where each one's postings begin, and the postings by term."""
+    terms, owners, weights = _postings(rows)
+    order = np.argsort(terms, kind="stable")
+    vocabulary, starts = np.unique(terms[order], return_index=True)
+    return vocabulary, np.append(starts, len(terms)), owners[order], weights[order], len(rows)
 
 
-def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], score, k: int, positive: bool,
-         order_name: str, broadcast: bool | None) -> DataFrame:
+def _sparse_scores(queries, rows: pd.DataFrame) -> np.ndarray:
+    """Products of shared terms: only postings of terms that some query has are paired."""
+    vocabulary, starts, owners, weights, count = queries
+    scores = np.zeros(count * len(rows))
+    terms, docs, doc_weights = _postings(rows)
+    if len(vocabulary) and len(terms):
+        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        hit = vocabulary[at] == terms
+        at, docs, doc_weights = at[hit], docs[hit], doc_weights[hit]
+        holders = starts[at + 1] - starts[at]
+        # pairs of a bounded number of postings at once
+        cuts = np.flatnonzero(np.diff(np.cumsum(holders) // 2_000_000)) + 1
+        for part in np.split(np.arange(len(at)), cuts):
+            each = holders[part]
+            pair = np.repeat(starts[at[part]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            np.add.at(scores, owners[pair] * len(rows) + np.repeat(docs[part], each), weights[pair] * np.repeat(doc_weights[part], each))
+    return np.round(scores.reshape(count, len(rows)), 6)
+
+
+class _Best:
+    """The best ``k`` documents of each (query, collection) seen so far."""
+
+    def __init__(self, k: int, positive: bool):
+        self.k, self.positive, self.found, self.held = k, positive, {}, 0
+
+    def add(self, queries: np.ndarray, collection, ids: np.ndarray, scores: np.ndarray) -> None:
+        for i, query in enumerate(queries):
+            picked = _best(scores[i], ids, self.k, self.positive)
+            if not len(picked):
+                continue
+            old = self.found.get((query, collection))
+            new_scores, new_ids = scores[i][picked], ids[picked]
+            if old is not None:
+                self.held -= len(old[0])
+                new_scores, new_ids = np.concatenate([old[0], new_scores]), np.concatenate([old[1], new_ids])
+                # a row that a query sees from two places counts once
+                order = np.lexsort((new_ids, -new_scores))
+                _, first = np.unique(new_ids[order], return_index=True)
+                order = order[np.sort(first)][:self.k]
+                new_scores, new_ids = new_scores[order], new_ids[order]
+            self.found[query, collection] = (new_scores, new_ids)
+            self.held += len(new_ids)
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        if self.found:
+            sizes = [len(ids) for _, ids in self.found.values()]
+            yield pd.DataFrame({"query_id": np.repeat(np.array([q for q, _ in self.found], dtype=object), sizes),
+                                "collection": np.repeat(np.array([c for _, c in self.found], dtype=object), sizes),
+                                "id": np.concatenate([ids for _, ids in self.found.values()]),
+                                "score": np.concatenate([scores for scores, _ in self.found.values()])})
+        self.found, self.held = {}, 0
+
+
+def _runs(values: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Stretches of equal neighbouring rows."""
+    changed = np.zeros(len(values[0]), bool)
+    changed[0] = True
+    for column in values:
+        changed[1:] |= column[1:] != column[:-1]
+    starts = np.flatnonzero(changed)
+    return list(zip(starts, [*starts[1:], len(changed)]))
+
+
+def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], prepare, score, k: int, positive: bool, order_name: str) -> DataFrame:
     id_type = corpus.schema["id"].dataType
-    broadcast = few(queries) if broadcast is None else broadcast
-    lanes = 1 if broadcast else LANES
-    # Rows of one place follow each other, so a task packs them into few blocks.
-    q = _pack(queries.select("place", "query_id", *vector).sortWithinPartitions("place"), ["place"], ["query_id", *vector], "q_")
-    d = _pack(corpus.select("place", "collection", "id", *vector).sortWithinPartitions("place", "collection"),
-              ["place", "collection"], ["id", *vector], "d_")
-    q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    d = d.withColumn("lane", F.pmod(F.xxhash64(F.get("d_id", F.lit(0))), F.lit(lanes)).cast("int"))
-    joined = d.join(F.broadcast(q) if broadcast else q, ["place", "lane"])
+    sizes = corpus.groupBy("place").agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("buckets"))
+    q = (queries.select("place", "query_id", *vector).join(sizes, "place")
+         .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1))))
+    d = corpus.select("place", "collection", "id", *vector).join(sizes, "place")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")))
+    nothing = F.lit(None)
+    both = (q.select("place", "bucket", F.lit(0).alias("side"), "query_id", nothing.cast("string").alias("collection"), nothing.cast(id_type).alias("id"), *vector)
+            .unionByName(d.select("place", "bucket", F.lit(1).alias("side"), nothing.cast(queries.schema["query_id"].dataType).alias("query_id"), "collection", "id", *vector)))
+    met = both.repartition("place", "bucket").sortWithinPartitions("place", "bucket", "side", "collection")
     schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("collection", T.StringType()),
                            T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
 
-    def best_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, here, asked, ready = _Best(k, positive), None, [], None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                scores, ids = score(row), np.asarray(row.d_id)
-                picked = [_best(scores[i], ids, k, positive) for i in range(len(row.q_query_id))]
-                counts = [len(p) for p in picked]
-                if sum(counts):
-                    at = np.concatenate(picked)
-                    owner = np.repeat(np.arange(len(picked)), counts)
-                    yield pd.DataFrame({"query_id": np.asarray(row.q_query_id, dtype=object)[owner], "collection": row.collection,
-                                        "id": ids[at], "score": scores[owner, at]})
-
-    found = joined.select("collection", "d_id", "q_query_id", *[p + v for v in vector for p in ("q_", "d_")]).mapInPandas(best_of_blocks, schema)
+            if not len(batch):
+                continue
+            columns = [batch[name].to_numpy() for name in ("place", "bucket", "side", "collection")]
+            for start, end in _runs(columns):
+                place = (columns[0][start], columns[1][start])
+                if place != here:
+                    here, asked, ready = place, [], None
+                if columns[2][start] == 0:
+                    asked.append(batch.iloc[start:end])
+                    continue
+                if not asked:
+                    continue
+                if ready is None:
+                    rows = pd.concat(asked) if len(asked) > 1 else asked[0]
+                    ready = (rows["query_id"].to_numpy(), prepare(rows))
+                for at in range(start, end, BLOCK_ROWS):
+                    part = batch.iloc[at:min(at + BLOCK_ROWS, end)]
+                    best.add(ready[0], columns[3][start], part["id"].to_numpy().astype(batch["id"].dtype if id_type == T.StringType() else np.int64),
+                             score(ready[1], part))
+                if best.held > HELD_RESULTS:
+                    yield from best.frames()
+        yield from best.frames()
+
+    found = met.mapInPandas(best_of_task, schema)
     # The same row can be visible from two places of one query.
     once = found.groupBy("query_id", "collection", "id").agg(F.max("score").alias("score"))
     return top_per(once, ["query_id", "collection"], [F.col("score").desc(), F.col("id")], k, order_name)
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int, broadcast: bool | None = None) -> DataFrame:
+def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of each collection by cosine, with ``dense_rank``.
 
-    ``queries(query_id, place, vector)``, ``corpus(id, place, collection, vector)``.
-    ``broadcast`` is the outcome of an earlier :func:`few` check, if there was one.
+    ``queries(query_id, place, vector)``, ``corpus(id, place, collection, vector)``; rows without a vector take no part.
     """
-    return _top(queries, spread(corpus, "place", "collection", "id"), ["vector"], _dense_scores, k, False, "dense_rank", broadcast)
+    has = F.col("vector").isNotNull()
+    return _top(queries.where(has), corpus.where(has), ["vector"], _dense_queries, _dense_scores, k, False, "dense_rank")
 
 
-def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75,
-               mean_terms: float | None = None, broadcast: bool | None = None) -> DataFrame:
+def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75, mean_terms: float | None = None) -> DataFrame:
     """Best ``k`` of each collection by shared term weights, with ``sparse_rank``; no overlap, no hit.
 
     ``queries(query_id, place, text)``, ``corpus(id, place, collection, text)``.
     """
     encode = lambda df: encode_terms(df, "text", k1, b, mean_terms)
-    broadcast = few(queries) if broadcast is None else broadcast
-    return _top(encode(queries), encode(spread(corpus, "place", "collection", "id")), ["terms", "weights"], _sparse_scores, k, True, "sparse_rank", broadcast)
+    return _top(encode(queries), encode(corpus), ["terms", "weights"], _sparse_queries, _sparse_scores, k, True, "sparse_rank")

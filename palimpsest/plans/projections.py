@@ -12,7 +12,7 @@ from palimpsest.functions import scope as sc
 from palimpsest.operators import context as cx, evidence as ev, graph, jobs, keyed
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
-from palimpsest.plans.lifecycle import events_split
+from palimpsest.plans.lifecycle import CAPTURE, events_split
 from palimpsest.plans.registry import query
 from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS, NOW_SQL, PROJ
 from palimpsest.session import shared_folder
@@ -177,20 +177,34 @@ def stream_of(t, name):
     return ob.read_changes(t.spark, t.folder, t.table(name).schema, name_filter=f"{name}.parquet")
 
 
+def files_of(t, df, number):
+    """``df`` as a stream of several files, one a batch, in the order of ``number`` (0, 1, ...)."""
+    path = folder(t)
+    for part in range(FILES):
+        df.where(number == part).coalesce(1).write.mode("append").parquet(path)
+    return ob.read_changes(t.spark, path, df.schema, files_per_trigger=1)
+
+
+FILES = 4
+
+
 def finished(t, started, path):
     started.awaitTermination()
     return t.spark.read.parquet(path)
 
 
-@query("str1_outbox_drain", "SELECT concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) AS memory_id, CASE WHEN l_linestatus = 'F' THEN 'graph' ELSE 'vector' END AS target, bool_and(m.memory_id IS NULL) AS failed FROM lineitem LEFT JOIN fx_memories m ON m.memory_id = concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) GROUP BY 1, 2")
+@query("str1_outbox_drain", "SELECT concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) AS memory_id, CASE WHEN l_linestatus = 'F' THEN 'graph' ELSE 'vector' END AS target, CASE WHEN bool_and(m.memory_id IS NULL) THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bool_and(m.memory_id IS NULL) THEN 'no record' ELSE '' END AS error, 1 AS attempts FROM lineitem LEFT JOIN fx_memories m ON m.memory_id = concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) GROUP BY 1, 2")
 def _(t):
-    requests = stream_of(t, "lineitem").select(
+    """Requests for one key come in several batches; the result has one finished job a key."""
+    requests = t.lineitem.select(
         F.concat(F.lit("mem-"), F.lpad(c("l_orderkey").cast("string"), 9, "0")).alias("memory_id"),
-        F.when(c("l_linestatus") == "F", "graph").otherwise("vector").alias("target"), c("l_shipdate").alias("updated_at"))
+        F.when(c("l_linestatus") == "F", "graph").otherwise("vector").alias("target"), c("l_shipdate").cast("timestamp").alias("updated_at"), "l_linenumber")
+    stream = files_of(t, requests, F.pmod("l_linenumber", F.lit(FILES))).drop("l_linenumber")
     known = t.memories.select("memory_id", F.lit(True).alias("known"))
-    project = lambda wanted: wanted.join(known, "memory_id", "left").select("memory_id", "target", c("known").isNull().alias("failed"))
+    project = lambda taken: taken.join(known, "memory_id", "left").select("job_id", F.when(c("known").isNull(), "no record").alias("failure"))
     out = folder(t)
-    return finished(t, ob.drain_jobs(requests, project, out, out + "-checkpoint"), out).select("memory_id", "target", "failed")
+    ob.drain_jobs(stream, project, out, out + "-checkpoint", "w1", NOW).awaitTermination()
+    return ob.current(t.spark, out, jobs.JOB_KEY).select("memory_id", "target", "status", F.coalesce("error", F.lit("")).alias("error"), c("attempts").cast("int").alias("attempts"))
 
 
 @query("str2_once_per_turn", "SELECT DISTINCT concat('turn', event_id % 997) AS source_turn_id FROM events")
@@ -210,30 +224,35 @@ def _(t):
     return finished(t, ob.run(rows, ob.expire_batches(NOW, out), out + "-checkpoint"), out).select("event_id", "status")
 
 
-@query("str4_capture")
+@query("str4_capture", f"WITH {CAPTURE} SELECT memory_id, outcome, existing FROM cap")
 def _(t):
-    """Arriving events captured against the live ones; equals the batch result."""
+    """Events that arrive in several batches, captured against the live ones and earlier batches; equals the batch result."""
     old, new = events_split(t)
-    source, out = folder(t), folder(t)
-    new.write.parquet(source)
-    arrivals = ob.read_changes(t.spark, source, new.schema, files_per_trigger=1_000_000)
-    started = ob.capture_stream(arrivals, out + "-live", out, out + "-checkpoint", lambda: old)
-    return finished(t, started, out).select("memory_id", "outcome")
+    new = new.withColumn("status", F.lit("candidate"))  # as events arrive
+    bounds = new.select(F.percentile_approx("created_at", [i / FILES for i in range(1, FILES)]).alias("b")).first()["b"] or []
+    number = sum([(c("created_at") > F.lit(b)).cast("int") for b in bounds], F.lit(0))
+    out = folder(t)
+    ob.capture_stream(files_of(t, new, number), old, out + "-live", out, out + "-checkpoint").awaitTermination()
+    return ob.current(t.spark, out, ["memory_id"]).select("memory_id", "outcome", F.coalesce("existing_memory_id", F.lit("")).alias("existing"))
 
 
-@query("str5_turn_index", "SELECT concat('c', conv_id) AS session_id, count(*) AS messages, max(n) AS last_turn FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1")
+@query("str5_turn_index", "SELECT concat('c', conv_id) AS session_id, concat('m-', conv_id, '-', turn) AS message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_index FROM conversations")
 def _(t):
-    messages = stream_of(t, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("session_id"), F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("message_id"))
+    messages = t.conversations.select(F.concat(F.lit("c"), "conv_id").alias("session_id"), F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("message_id"),
+                                      F.timestamp_seconds(c("turn") * 60).alias("created_at"), "turn")
+    stream = files_of(t, messages, F.least(F.floor(c("turn") / 3), F.lit(FILES - 1))).drop("turn")
     out = folder(t)
-    numbered = finished(t, ob.run(ob.number_turns(messages), ob.into_folder(out), out + "-checkpoint"), out)
-    return numbered.groupBy("session_id").agg(F.count("*").alias("messages"), F.max("turn_index").alias("last_turn"))
+    ob.number_turns(stream, out, out + "-checkpoint", span_seconds=240).awaitTermination()
+    return ob.current(t.spark, out, ["session_id", "message_id"]).select("session_id", "message_id", "turn_index")
 
 
-@query("str6_latest_status", "SELECT o_custkey AS binding_id, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS run_id FROM orders GROUP BY 1")
+@query("str6_latest_status", "SELECT o_custkey AS binding_id, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS run_id, max_by(o_orderstatus, struct_pack(a := o_orderdate, b := o_orderkey)) AS status FROM orders GROUP BY 1")
 def _(t):
-    runs = stream_of(t, "orders").select(c("o_custkey").alias("binding_id"), c("o_orderkey").alias("run_id"), c("o_orderstatus").alias("status"), c("o_orderdate").alias("created_at"))
+    runs = t.orders.select(c("o_custkey").alias("binding_id"), c("o_orderkey").alias("run_id"), c("o_orderstatus").alias("status"), c("o_orderdate").alias("created_at"))
     out = folder(t)
-    return finished(t, ob.run(ob.latest_status(runs), ob.into_folder(out), out + "-checkpoint", "update"), out).select("binding_id", "run_id")
+    stream = files_of(t, runs, F.pmod("run_id", F.lit(FILES)))
+    ob.run(ob.latest_status(stream), ob.into_folder(out), out + "-checkpoint", "update").awaitTermination()
+    return ob.current(t.spark, out, ["binding_id"]).select("binding_id", "run_id", "status")
 
 
 @query("str7_latency_feed", "SELECT run_id, stage, round(sum(duration_ms), 3) AS total_ms, count(*) AS jobs FROM fx_latency GROUP BY 1, 2")

@@ -176,10 +176,8 @@ def _(t):
 @query("set4_subquery_union", f"{DEC} SELECT query_id, evidence_id, binding_id, CAST(rank AS BIGINT) AS rank FROM cand")
 def _(t):
     asked, plans = subquery_plans(t)
-    parts = hybrid.sub_questions(asked, plans).withColumn("query_id", F.concat_ws("#", "query_id", "number"))
-    hits = hybrid.retrieve_candidates(parts, t.points)
-    pieces = F.split("query_id", "#")
-    merged = hits.withColumns({"rank": (pieces[1].cast("int") * 20 + c("rank")).cast("long"), "query_id": pieces[0]})
+    hits = hybrid.retrieve_candidates(hybrid.numbered_questions(hybrid.sub_questions(asked, plans)), t.points)
+    merged = hybrid.whole_questions(hits, 20).withColumn("rank", c("rank").cast("long"))
     return hybrid.first_hits(merged, ["query_id", "evidence_id", "binding_id"]).select("query_id", "evidence_id", "binding_id", "rank")
 
 

@@ -8,15 +8,15 @@ Checkpoint and output folders are arguments and belong on shared storage.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest import constants as C
-from palimpsest.operators import lifecycle as lc, listings
+from palimpsest import constants as C, schemas
+from palimpsest.operators import jobs, lifecycle as lc, listings
 from palimpsest.operators.keyed import latest
+from palimpsest.operators.ordered import ordinal
+from palimpsest.session import path_exists
 
 logger = logging.getLogger(__name__)
 
@@ -47,17 +47,31 @@ def into_folder(path: str, mode: str = "append") -> Callable[[DataFrame, int], N
     return write
 
 
+def before(spark: SparkSession, path: str, number: int, empty: DataFrame) -> DataFrame:
+    """What the batches before ``number`` wrote; a repeated batch does not see its own earlier attempt."""
+    if not path_exists(spark, path):
+        return empty
+    return spark.read.schema(empty.withColumn("batch", F.lit(0).cast("long")).schema).parquet(path).where(F.col("batch") < number).drop("batch")
+
+
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The keyed table that the batches below ``path`` amount to: for each key the row of the last batch that wrote it."""
+    return latest(spark.read.parquet(path), keys, [F.col("batch").cast("long").desc()]).drop("batch")
+
+
 # --- outbox -------------------------------------------------------------------------
 
-def drain_jobs(requests: DataFrame, project: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Drain projection requests: newest request per key, projected once, results kept.
+def drain_jobs(requests: DataFrame, project: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, worker: str, now):
+    """Drain projection requests in bounded batches until nothing is left.
 
-    ``project`` turns claimed requests into results ``(job key, failure)``.
-    Failures stay in the results and can be requeued.
+    Every batch is queued (one job per key), taken by ``worker``, projected and
+    finished.  ``project`` turns taken jobs into ``(job_id, failure)``; a failure
+    stays with its job, which can be requeued.  :func:`current` over
+    ``jobs.JOB_KEY`` reads the jobs back, one row a key.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        wanted = latest(batch, ["memory_id", "target"], [F.col("updated_at").desc()])
-        project(wanted).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        taken = jobs.take(jobs.enqueue(batch.sparkSession.createDataFrame([], schemas.schema("memory_projection_jobs")), batch), now, worker)
+        jobs.finish(taken, project(taken), F.lit(worker), now).write.mode("overwrite").parquet(f"{path}/batch={number}")
     return run(requests, handle, checkpoint)
 
 
@@ -95,44 +109,45 @@ def expire_batches(now: str, path: str) -> Callable[[DataFrame, int], None]:
 
 # --- capture -------------------------------------------------------------------------------
 
-def capture_stream(events: DataFrame, live_path: str, outcome_path: str, checkpoint: str, read_live: Callable[[], DataFrame]):
-    """Capture arriving events against the live ones; one writer, batch after batch.
+def capture_stream(events: DataFrame, snapshot: DataFrame, live_path: str, outcome_path: str, checkpoint: str):
+    """Capture arriving events against the live ones of ``snapshot`` and of all earlier batches; one writer.
 
     Within a batch :func:`lifecycle.capture_events` gives every event the outcome
     of arrival order, so no domain has to be processed by a single task.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        outcomes = lc.capture_events(read_live(), batch)
+        spark = batch.sparkSession
+        live = before(spark, live_path, number, snapshot.limit(0))
+        outcomes = lc.capture_events(snapshot.unionByName(live), batch)
         outcomes.write.mode("overwrite").parquet(f"{outcome_path}/batch={number}")
-        written = batch.sparkSession.read.parquet(f"{outcome_path}/batch={number}")
-        lc.captured_records(batch, written).write.mode("overwrite").parquet(f"{live_path}/batch={number}")
+        written = spark.read.parquet(f"{outcome_path}/batch={number}")
+        lc.captured_records(batch, written).select(*snapshot.columns).write.mode("overwrite").parquet(f"{live_path}/batch={number}")
     return run(events, handle, checkpoint)
 
 
 # --- turn indexes -----------------------------------------------------------------------------
 
-def number_turns(messages: DataFrame) -> DataFrame:
-    """Gapless turn index per chat as messages arrive; the state of a chat is one counter.
+def number_turns(messages: DataFrame, path: str, checkpoint: str, span_seconds: int = 3600):
+    """Gapless turn index per chat as messages arrive.
 
-    Rows of a chat are taken in the order of the stream and pass through in
-    batches, so a long chat is never held in memory.
+    Messages of a batch are numbered by time and id on top of the last index of
+    their chat; a message that arrives in a later batch than one sent after it
+    gets the later index, so lateness is bounded by the length of a batch.
     """
-    def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        for batch in batches:
-            turns = range(last + 1, last + 1 + len(batch))
-            last += len(batch)
-            yield pd.DataFrame({"session_id": key[0], "message_id": batch["message_id"], "turn_index": list(turns)})
-        state.update((last,))
-
-    return messages.groupBy("session_id").applyInPandasWithState(
-        number, "session_id string, message_id string, turn_index long", "last long", "append", GroupStateTimeout.NoTimeout)
+    def handle(batch: DataFrame, number: int) -> None:
+        known = before(batch.sparkSession, path, number, batch.select("session_id", "message_id", F.lit(0).cast("long").alias("turn_index")).limit(0))
+        last = known.groupBy("session_id").agg(F.max("turn_index").alias("last"))
+        bucket = F.floor(F.unix_timestamp("created_at") / span_seconds)
+        own = ordinal(batch, ["session_id"], [F.col("created_at"), F.col("message_id")], bucket, "own")
+        rows = own.join(last, "session_id", "left").select("session_id", "message_id", (F.coalesce("last", F.lit(0)) + F.col("own")).alias("turn_index"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return run(messages, handle, checkpoint)
 
 
 # --- ingestion status and latency ---------------------------------------------------------------
 
 def latest_status(runs: DataFrame) -> DataFrame:
-    """Newest run of each binding, updated as runs change."""
+    """Newest run of each binding, updated as runs change; :func:`current` over the binding reads what was written."""
     newest = F.max_by(F.struct("run_id", "status"), F.struct("created_at", "run_id"))
     return runs.groupBy("binding_id").agg(newest.alias("r")).select("binding_id", "r.run_id", "r.status")
 
