@@ -73,7 +73,7 @@ def fx_runs(d):
 
 @view
 def fx_points(d):
-    """Vector points: one per binding that has an embedding."""
+    """Points: one per binding; those without an embedding are found by their terms only."""
     return f"""SELECT b.doc_id AS point_id, concat('ev-', a.first_doc) AS evidence_id, b.doc_id AS binding_id,
         b.source AS owner_id, CASE WHEN b.doc_id % 2 = 0 THEN 'session' ELSE 'project' END AS scope,
         CASE WHEN b.doc_id % 2 = 0 THEN concat('s', b.doc_id % 5) END AS session_id,
@@ -81,7 +81,7 @@ def fx_points(d):
         CASE {_modality('b.doc_id')} WHEN 'video' THEN 'video_segment' ELSE {_modality('b.doc_id')} END AS collection,
         b.text AS content, v.embedding
         FROM {d.table('documents')} b JOIN fx_assets a ON a.asset_id = {d.sha256('b.text')}
-        JOIN {d.table('embeddings')} v ON v.vec_id = b.doc_id"""
+        LEFT JOIN {d.table('embeddings')} v ON v.vec_id = b.doc_id"""
 
 
 @view
@@ -175,7 +175,7 @@ def fx_memories(d):
 def fx_relationships(d):
     """Edges to the next memory of the same place, and some arbitrary ones."""
     return f"""SELECT event_id AS relationship_id, memory_id AS from_memory_id,
-        CASE WHEN event_id % 4 = 0 THEN {_id('mem-', '((event_id * 7 + 3) % 1000)')} ELSE next_id END AS to_memory_id,
+        CASE WHEN event_id % 4 = 0 THEN {_id('mem-', 'CAST(floor((event_id * 7 + 3) / 10) AS BIGINT)')} ELSE next_id END AS to_memory_id,
         CASE event_id % 5 WHEN 3 THEN 'contradiction' WHEN 4 THEN 'superseded_by' ELSE 'related' END AS relationship_type,
         created_at FROM (
           SELECT event_id, memory_id, created_at, lead(memory_id) OVER (PARTITION BY owner_id, scope,
@@ -244,7 +244,7 @@ def fx_turn_access(d):
 @view
 def fx_conflicts(d):
     return f"""SELECT event_id AS conflict_id, memory_id AS incoming_memory_id,
-        {_id('mem-', '((event_id * 7 + 3) % 1000)')} AS existing_memory_id, 'claim_mismatch' AS conflict_type,
+        {_id('mem-', 'CAST(floor((event_id * 7 + 3) / 10) AS BIGINT)')} AS existing_memory_id, 'claim_mismatch' AS conflict_type,
         CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status,
         concat('note ', k) AS details, created_at
         FROM fx_memories WHERE kind = 'event'"""

@@ -617,9 +617,12 @@ def _(t):
     return ss.next_turns(t.messages)
 
 
-@query("agg7_table_counts", "SELECT 'documents' AS table_name, count(*) AS rows FROM documents UNION ALL SELECT 'events', count(*) FROM events")
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("agg7_table_counts", " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}" for name in TABLES))
 def _(t):
-    return keyed.table_counts({"documents": t.documents, "events": t.events})
+    return keyed.table_counts({name: t.table(name) for name in TABLES})
 
 
 @query("agg8_collection_size", "SELECT collection, count(*) AS points FROM fx_points GROUP BY 1")
