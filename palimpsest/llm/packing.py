@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_text, dealt, grouped, prepare
+from palimpsest.llm.common import as_text, dealt, grouped, prepare, text_buffer
 
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a shard, about; the number of shards follows from the bytes of the whole table.
@@ -27,10 +27,9 @@ SHARD_BYTES = 24 << 20
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps; more are forgotten and encoded again.
-KEPT_WORDS = 500_000
-LATIN_END = "\u0250"
-_BLANKS = regex.compile(r"[\x20\x09-\x0D]+")
-_ODD_BLANKS = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+KEPT_WORDS = 700_000
+# printable ASCII and the bytes of the letters from U+00C0 to U+023F, which are their own composed form
+_PLAIN_BYTES = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -55,33 +54,39 @@ class WordEncoder:
 
     That tokenizer drops white space, lower-cases, splits words into runs of letters, single digits and runs of other signs, and
     encodes each alone, so ids are kept by word and by run.  It is asked for a run when the run is first seen.  Words beyond
-    Latin letters go to the whole tokenizer, and so do texts that hold a special token's string and, with another tokenizer
+    plain Latin letters go to the whole tokenizer, and so do texts that hold a special token's string and, with another tokenizer
     that does not work like this, all texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        probe = "One two's, three.\n\té ÀSS ß1_2! don't 42% ñ***x"
+        probe = "One two's, three.\n\té ÀSS ß1_2! don't 42% ñ***x".encode()
         self.by_word = self.whole(probe) == self.split(probe)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def run(self, text: str) -> bytes:
         # the byte-level alphabet writes the bytes of other than ASCII characters as letters of its own
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text)])
 
-    def word(self, word: str) -> bytes:
-        if not (word.isascii() or max(word) < LATIN_END) or not word.isprintable():
+    def word(self, word: bytes) -> bytes:
+        if word.translate(None, _PLAIN_BYTES):
             return self.whole(word)
-        runs, out = self.runs, []
-        for run in _RUNS.findall(word.lower()):
+        low, runs, out = word.decode().lower(), self.runs, []
+        if low.isalpha():
+            parts = (low,)
+        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+            parts = (low[:-1], low[-1])
+        else:
+            parts = _RUNS.findall(low)
+        for run in parts:
             if (found := runs.get(run)) is None:
                 if len(runs) >= KEPT_WORDS:
                     runs.clear()
@@ -89,8 +94,8 @@ class WordEncoder:
             out.append(found)
         return b"".join(out)
 
-    def split(self, text: str) -> bytes:
-        words = [w for w in _BLANKS.split(text) if w] if _ODD_BLANKS.search(text) else text.split()
+    def split(self, text: bytes) -> bytes:
+        words = text.split()  # of bytes: at 0x20 and 0x09-0x0D only
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))
@@ -103,9 +108,9 @@ class WordEncoder:
                     known[word] = self.word(word)
             return b"".join(map(known.__getitem__, words))
 
-    def ids(self, text: str) -> np.ndarray:
-        raw = self.split(text) if self.by_word and not any(s in text for s in self.special) else self.whole(text)
-        return np.frombuffer(raw, "<u4")
+    def ids(self, text: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        return self.split(text) if self.by_word and not any(s in text for s in self.special) else self.whole(text)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -197,14 +202,15 @@ _PIECE = ("id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens
 
 def _pack_task(path: str, window: int, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for shard, stream in grouped(batches, "shard"):
             ids, docs, kind = [], [], None
             for batch in stream:
                 kind = batch.schema.field("id").type
                 ids += batch.column("id").to_pylist()
-                for text in batch.column("text").to_pylist():
-                    docs.append(np.append(encode.ids(text), np.uint32(end_id)).astype("<u4"))
+                data, bounds = text_buffer(batch.column("text"))
+                data, bounds = data.tobytes(), bounds.tolist()
+                docs += [np.frombuffer(encode.ids(data[a:b]) + end, "<u4") for a, b in zip(bounds, bounds[1:])]
             rows = list(pack(docs, window))
             for first in range(0, len(rows), 10_000):
                 part = rows[first:first + 10_000]
