@@ -83,3 +83,35 @@ def new_identifiers(events: DataFrame, bindings: DataFrame, subject_identifiers:
 def unbound_live_events(memories: DataFrame) -> DataFrame:
     """Live events without a subject, the input of a backfill."""
     return memories.where((F.col("kind") == "event") & F.col("subject_id").isNull() & F.col("status").isin("candidate", "active"))
+
+
+def bind_given(events: DataFrame, subjects: DataFrame, subject_identifiers: DataFrame) -> dict[str, DataFrame]:
+    """Events that already name their subject: accepted bindings, subjects that move, and rejects.
+
+    ``subjects(subject_id, owner_id, scope, scope_key)``.  A subject that is not
+    known yet is accepted.  A known one must belong to the event's owner, scope and
+    place; a project's subject moves to the event's place instead, with all its
+    identifiers.  An identifier that another subject holds in that place rejects the event.
+    """
+    named = events.where((F.col("kind") == "event") & F.col("subject_id").isNotNull()).withColumn("scope_key", keys.subject_scope_key(
+        F.col("scope"), F.col("session_id"), F.col("project_id"), F.col("project_scope")))
+    known = subjects.select("subject_id", *[F.col(name).alias("known_" + name) for name in PLACE])
+    held = (identifier_rows(named).join(subject_identifiers.select(*KEY, F.col("subject_id").alias("holder")), KEY)
+            .join(named.select("memory_id", "subject_id"), "memory_id").where(F.col("holder") != F.col("subject_id")).select("memory_id", F.lit(True).alias("taken")).distinct())
+    joined = named.select("memory_id", "subject_id", "created_at", *PLACE).join(known, "subject_id", "left").join(held, "memory_id", "left")
+    home = (F.col("owner_id") == F.col("known_owner_id")) & (F.col("scope") == F.col("known_scope"))
+    away = F.col("scope_key") != F.col("known_scope_key")
+    moves = home & away & (F.col("scope") == "project")
+    reason = (F.when(F.col("known_scope").isNotNull() & ~moves & (~home | away), "memory subject belongs to another visibility scope")
+              .when(F.col("taken"), "event identifier already belongs to another subject"))
+    decided = joined.withColumns({"reason": reason, "moves": F.coalesce(moves, F.lit(False))})
+    accepted = decided.where(F.col("reason").isNull())
+    # of several events that move one subject the last one stands
+    moved = accepted.where("moves").groupBy("subject_id").agg(F.max_by("scope_key", F.struct("created_at", "memory_id")).alias("scope_key"))
+    return {"bindings": accepted.select("memory_id", "subject_id"), "moved": moved, "rejects": decided.where(F.col("reason").isNotNull()).select("memory_id", "reason")}
+
+
+def move_places(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """Subjects or identifiers with the places of moved subjects replaced."""
+    new = moved.select("subject_id", F.col("scope_key").alias("new_key"))
+    return rows.join(new, "subject_id", "left").withColumn("scope_key", F.coalesce("new_key", "scope_key")).drop("new_key").select(*rows.columns)

@@ -180,3 +180,21 @@ def test_candidate_merge_takes_authority(spark):
     chats = spark.createDataFrame([("q", "o", "s", "p")], "query_id string, owner_id string, session_id string, project_id string")
     merged = ev.merge_candidates(index, ev.revalidate(index, evidence, bindings, chats))
     assert values(merged, "evidence_id", "binding_id", "content", "page") == [("kept", 7, "authority", 3)]
+
+
+def test_events_that_name_their_subject(spark):
+    row = lambda memory, subject, **more: {"memory_id": memory, "subject_id": subject, "payload": event(refs=[ref(more.pop("value", memory))]), **more}
+    rows = records(spark, [row("new", "s-new"), row("same", "s1"), row("moved", "s2"), row("foreign", "s3"), row("session", "s4", scope="session"), row("taken", "s1", value="A-9")])
+    place = rows.where("memory_id = 'same'").select(F.lit("x"), subjects.keys.subject_scope_key(F.col("scope"), F.col("session_id"), F.col("project_id"), F.col("project_scope")).alias("k")).first()["k"]
+    known = spark.createDataFrame([("s1", "o", "project", place), ("s2", "o", "project", "project:old"), ("s3", "other", "project", place), ("s4", "o", "session", "session:old")],
+                                  "subject_id string, owner_id string, scope string, scope_key string")
+    held = spark.createDataFrame([("o", "project", place, "external_reference", "a9", "s9"), ("o", "project", place, "external_reference", "same", "s1"),
+                                  ("o", "project", "project:old", "external_reference", "moved", "s2")],
+                                 "owner_id string, scope string, scope_key string, scheme string, normalized_value string, subject_id string")
+    out = subjects.bind_given(rows, known, held)
+    assert values(out["bindings"], "memory_id") == [("moved",), ("new",), ("same",)]
+    assert values(out["moved"], "subject_id", "scope_key") == [("s2", place)]
+    assert values(out["rejects"], "memory_id", "reason") == [("foreign", "memory subject belongs to another visibility scope"),
+                                                           ("session", "memory subject belongs to another visibility scope"),
+                                                           ("taken", "event identifier already belongs to another subject")]
+    assert values(subjects.move_places(held, out["moved"]).where("subject_id = 's2'"), "scope_key") == [(place,)]
