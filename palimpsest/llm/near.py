@@ -5,11 +5,12 @@
    task with the same words become one entry, and equal entries of all tasks one class, so copies are compared once.
 2. Classes that share a sketch are a bucket.  Every member is verified against the bucket's first member, never against
    all others, and links join classes to components.
-3. Only where a bucket still holds several components are members of different components compared, unless lengths or the
-   triangle inequality of their distances to the first member rule a link out.  So no link inside a bucket is lost.
+3. Only where a bucket still holds several components are members of different components compared: numbers of common
+   shingles come from products of presence rows, block by block, and pairs with enough of them are aligned until all
+   that link are joined.  So no link inside a bucket is lost, and no pair leaves a task but the few that join components.
 
 The alignment matches labelled shingles in order within a band of positions; with m matched of a and b shingles the
-similarity is m / (a + b - m), and the distance a + b - 2m is a metric.
+similarity is m / (a + b - m).
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import words as W
-from palimpsest.llm.common import as_text, components, pieces, prepare, text_buffer, written
+from palimpsest.llm.common import as_text, components, dealt, grouped, pieces, prepare, text_buffer, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 3
-#: Distances are exact for pairs at least this similar; below, only the bound that follows from it is known.
-EXACT_FROM = 0.5
+#: Members of a bucket that are compared at once, their shingles, and shingles of a block of presence rows.
+BLOCK_ROWS, BLOCK_SHINGLES, _COLUMNS = 600, 1_500_000, 8192
 _STEP = 1 << 15
 _LAST = np.uint64(2 ** 64 - 1)
 
@@ -170,33 +171,93 @@ def _sketch_task(size: int, count: int, taken: int):
 
 
 def _align_task(size: int, similarity: float):
-    """Distance of each pair, or the least it can be."""
+    """The pairs that link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = kept = None
         for batch in batches:
-            apart, linked, sure = [], [], []
+            linked = []
             for a, b in zip(batch.column("text").to_pylist(), batch.column("other_text").to_pylist(), strict=True):
                 if b != blob:
                     blob, kept = b, _text_shingles(b, size)
                 own = _text_shingles(a, size)
-                both = len(own) + len(kept)
-                same = matched(own, kept, band(len(own), len(kept), min(similarity, EXACT_FROM)))
-                exact = same >= EXACT_FROM * (both - same)
-                apart.append(both - 2 * same if exact else math.floor(both * (1 - EXACT_FROM) / (1 + EXACT_FROM)))
-                sure.append(exact)
-                linked.append(bool(both) and same >= similarity * (both - same))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("other"), pa.array(apart, pa.int64()), pa.array(sure, pa.bool_()), pa.array(linked, pa.bool_())],
-                                             names=["node", "other", "apart", "exact", "linked"])
+                same = matched(own, kept, band(len(own), len(kept), similarity))
+                linked.append(same > 0 and same >= similarity * (len(own) + len(kept) - same))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("other")], names=["node", "other"]).filter(pa.array(linked, pa.bool_()))
+
+    return work
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common labelled shingles of all pairs, as products of blocks of presence rows."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = [(np.concatenate(side) if side else np.zeros(0, np.uint64), np.repeat(np.arange(len(side)), [len(x) for x in side])) for side in (a, b)]
+    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    if a is b:  # what one text alone holds is in no pair
+        every, count = np.unique(sides[0][0], return_counts=True)
+        common = every[count > 1]
+    for first in range(0, len(common), _COLUMNS):
+        part = common[first:first + _COLUMNS]
+        rows = []
+        for (values, owners), side in zip(sides, (a, b)):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            presence = np.zeros((len(side), len(part)), np.float32)
+            presence[owners[hit], at[hit]] = 1
+            rows.append(presence)
+        out += rows[0] @ rows[1].T
+    return out
+
+
+def _compare_task(size: int, similarity: float):
+    """Links between members of a bucket that belong to different components, enough to join all that link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, stream in grouped(batches, "meeting"):
+            sides: tuple[list, list] = ([], [])
+            alone = True
+            for batch in stream:
+                for node, label, second, own, text in zip(*[batch.column(c).to_pylist() for c in ("node", "label", "second", "alone", "text")]):
+                    sides[int(second)].append((node, label, _text_shingles(text, size)))
+                    alone = own
+            a, b = sides if not alone else (sides[0], sides[0])
+            grams = [[x[2] for x in side] for side in (a, b)]
+            common = overlaps(grams[0], grams[0] if alone else grams[1])
+            labels = [np.array([x[1] for x in side], np.int64) for side in (a, b)]
+            sums = np.array([len(x) for x in grams[0]])[:, None] + np.array([len(x) for x in grams[1]])[None, :]
+            # enough common shingles, in whatever order, is necessary; the alignment decides
+            fit = (common + 0.5 >= similarity * (sums - common)) & (labels[0][:, None] != labels[1][None, :])
+            if alone:
+                fit = np.triu(fit, 1)
+            x, y = np.nonzero(fit)
+            order = np.argsort(-common[x, y] / np.maximum(sums[x, y] - common[x, y], 1), kind="stable")
+            root: dict[int, int] = {}
+
+            def find(label):
+                while root.get(label, label) != label:
+                    label = root[label]
+                return label
+
+            links = []
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                one, two = find(a[i][1]), find(b[j][1])
+                if one == two:
+                    continue
+                same = matched(a[i][2], b[j][2], band(len(a[i][2]), len(b[j][2]), similarity))
+                if same and same >= similarity * (int(sums[i, j]) - same):
+                    root[max(one, two)] = min(one, two)
+                    links.append((a[i][0], b[j][0]))
+            if links:
+                yield pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in links], pa.int64()), "other": pa.array([n for _, n in links], pa.int64())})
 
     return work
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs ``node, other`` with their distance and whether they link; skewed sides are split by the adaptive join."""
+    """The pairs ``node, other`` that link; skewed sides are split by the adaptive join."""
     own = pairs.join(texts, "node").select("node", "other", "text")
     both = own.join(texts.select(F.col("node").alias("other"), F.col("text").alias("other_text")), "other").select("node", "other", "text", "other_text")
-    return both.mapInArrow(_align_task(size, similarity), "node bigint, other bigint, apart bigint, exact boolean, linked boolean")
+    return both.mapInArrow(_align_task(size, similarity), "node bigint, other bigint")
 
 
 def _folded(df: DataFrame, id_column: str, text_column: str, size: int, count: int, taken: int, carry: bool) -> tuple[DataFrame, list[str]]:
@@ -225,24 +286,21 @@ def _classes(folded: DataFrame, size: int, similarity: float) -> DataFrame:
     share = (1 - similarity) / (1 + similarity)  # two texts link if they are at most this share of their shingles apart
     fits = lambda a, b: F.abs(F.col(a) - F.col(b)) <= share * (F.col(a) + F.col(b)) + 1e-6
     first = led.where("node <> other").where(fits("size", "other_size")).select("node", "other").distinct()
-    verified = written(_aligned(first, texts, size, similarity), "near-first")
-    links = verified.where("linked").select("node", "other")
+    links = written(_aligned(first, texts, size, similarity), "near-first")
     joined = components(links, "node", "other").withColumnRenamed("component", "label")
 
-    # buckets that still hold several components
-    state = (led.join(joined, "node", "left").join(verified.select("node", "other", "apart", "exact"), ["node", "other"], "left")
-             .select("bucket", "node", "other", "size", F.coalesce("label", "node").alias("label"), "apart", "exact"))
-    state = written(state, "near-state")
-    mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = state.where("node <> other").join(mixed, "bucket", "left_semi")
-    right = open_.select("bucket", F.col("node").alias("second"), F.col("size").alias("second_size"), F.col("label").alias("second_label"), F.col("apart").alias("second_apart"), F.col("exact").alias("second_exact"))
-    limit = share * (F.col("size") + F.col("second_size")) + 1e-6
-    # what lies far from the head cannot link to what lies near it; a distance that is only a lower bound serves as the far one
-    far = lambda a, b: F.col(f"{b}exact") & (F.col(f"{a}apart") - F.col(f"{b}apart") > limit)
-    apart = F.coalesce(far("", "second_"), F.lit(False)) | F.coalesce(far("second_", ""), F.lit(False))
-    second = (open_.join(right, "bucket").where((F.col("label") < F.col("second_label")) & fits("size", "second_size") & ~apart)
-              .select("node", F.col("second").alias("other")).distinct())
-    again = written(_aligned(second, texts, size, similarity).where("linked").select("node", "other"), "near-second")
+    # buckets that still hold several components; buckets with the same members count once
+    state = led.join(joined, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
+    mixed = (state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("size").alias("held"),
+                                         F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("mark"))
+             .where("low <> high and members > 2").groupBy("members", "held", "mark").agg(F.min("bucket").alias("bucket"))
+             .select("bucket", F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("held") / BLOCK_SHINGLES)).alias("blocks")))
+    own = state.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # a bucket beyond one block meets itself block by block
+    placed = own.withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meeting = F.xxhash64("bucket", F.least("block", "against"), F.greatest("block", "against"))
+    met = placed.select(meeting.alias("meeting"), (F.col("block") > F.col("against")).alias("second"), (F.col("block") == F.col("against")).alias("alone"), "node", "label").join(texts, "node")
+    again = written(dealt(met, None, "meeting").mapInArrow(_compare_task(size, similarity), "node bigint, other bigint"), "near-second")
     final = components(links.unionByName(again), "node", "other")
     grouped = nodes.join(final, "node", "left").select("node", "none", "id", F.coalesce("component", "node").alias("component"))
     heads = grouped.groupBy("component").agg(F.min(F.struct("none", "id", "node")).alias("head"))
