@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest import constants as C, schemas
@@ -12,6 +14,7 @@ from palimpsest.operators import (
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
 from palimpsest.plans.registry import query
+from palimpsest.session import shared_folder
 from palimpsest.sources import readers
 
 c = F.col
@@ -61,9 +64,11 @@ def _(t):
 
 @query("src4_delimited_rows", """SELECT c_custkey, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 7 <> 0""")
 def _(t):
-    line = F.when(c("c_custkey") % 7 == 0, F.lit(",")).otherwise(F.concat_ws(",", "c_name", "c_acctbal"))
-    lines = t.customer.select("c_custkey", line.alias("value"))
-    return readers.parse_delimited(lines, "name string, balance double", ["c_custkey"])
+    """Delimited files with a header and some rows without any value, written and read back."""
+    blank = c("c_custkey") % 7 == 0
+    path = f"{shared_folder(t.spark)}/delimited-{uuid.uuid4().hex}"
+    t.customer.select(*[F.when(~blank, c(name)).alias(label) for name, label in (("c_custkey", "c_custkey"), ("c_name", "name"), ("c_acctbal", "balance"))]).write.option("header", True).csv(path)
+    return readers.read_delimited(t.spark, path, "c_custkey bigint, name string, balance double")
 
 
 def caption_files(t):
@@ -88,8 +93,10 @@ def _(t):
 @query("src6_latency_trace", """SELECT stage, pipeline, outcome, round(duration_ms, 3) AS duration_ms FROM fx_latency
     WHERE run_id = 'run7' OR trace_id = 't9'""")
 def _(t):
-    parsed = readers.parse_latency(keyed.log_lines(t.latency))
-    return readers.trace(parsed, "run7", "t9").select("stage", "pipeline", "outcome", "duration_ms")
+    """The trace log as files of JSON lines, written and read back."""
+    path = f"{shared_folder(t.spark)}/latency-{uuid.uuid4().hex}"
+    keyed.log_lines(t.latency).write.text(path)
+    return readers.trace(readers.read_latency(t.spark, path), "run7", "t9").select("stage", "pipeline", "outcome", "duration_ms")
 
 
 @query("src7_conversation_cases", """SELECT concat('case', conv_id) AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn,
