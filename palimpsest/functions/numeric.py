@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest import constants as C
 
@@ -44,12 +42,11 @@ def points_bbox(points: Column) -> Column:
         F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")))
 
 
-def hashed_embedding(terms: Column, dimension: int = 64) -> Column:
-    """Built-in encoder: counts of terms per hash bucket.  Plug in a model for real use."""
-    buckets = F.transform(terms, lambda t: F.conv(F.substring(F.md5(F.encode(t, "UTF-8")), 1, 4), 16, 10).cast("int") % dimension)
+def hashed_buckets(terms: Column, dimension: int = 64) -> Column:
+    """Hash bucket of every term."""
+    return F.transform(terms, lambda t: F.conv(F.substring(F.md5(F.encode(t, "UTF-8")), 1, 4), 16, 10).cast("int") % dimension)
 
-    @F.pandas_udf("array<float>")
-    def counts(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda b: np.bincount(b, minlength=dimension).astype(np.float32))
 
-    return counts(buckets)
+def hashed_embedding(df: DataFrame, keys: list[str], terms: Column, dimension: int = 64) -> DataFrame:
+    """Built-in encoder as sparse rows: counts of terms per hash bucket.  Plug in a model for real use."""
+    return df.select(*keys, F.explode(hashed_buckets(terms, dimension)).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("n"))

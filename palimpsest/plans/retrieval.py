@@ -190,8 +190,7 @@ def _(t):
 
 @query("ret10_hashed_embedding", f"""SELECT doc_id, b AS bucket, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(text), {TERM}))), 1, 4) AS INT) % 64 AS b FROM documents) GROUP BY ALL""")
 def _(t):
-    vectors = t.documents.select("doc_id", F.posexplode(numeric.hashed_embedding(tx.search_terms(c("text")))).alias("bucket", "n"))
-    return vectors.where("n > 0").select("doc_id", "bucket", c("n").cast("long").alias("n"))
+    return numeric.hashed_embedding(t.documents, ["doc_id"], tx.search_terms(c("text")))
 
 
 @query("top6_dense_top_k", f"WITH {SCOPED} SELECT query_id, collection, id, dense_rank FROM sde")
