@@ -84,9 +84,12 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))
+    # about twice the rows wanted pass a draw first, so that no task ranks more than that of a language
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * each + 50) / r["count"])))])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = (rows.where("text is not null").select("id", "lang").where(F.col("lang").isin([r["lang"] for r in counts]))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id", "lang").distinct())
+    picked = (rows.where("text is not null").select("id", "lang").where(drawn < chance[F.col("lang")]).distinct()
+              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id", "lang"))
     texts = rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").where(as_text(F.col("text")).rlike(r"\p{L}"))  # at most sample_rows ids
     sample = texts.mapInArrow(_bits_task, "id string, lang string, bits binary").dropDuplicates(["id", "lang"]).collect()
     if not sample:
