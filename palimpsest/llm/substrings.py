@@ -29,7 +29,7 @@ from palimpsest.llm.exact import scratch
 
 WIDTH = 20
 #: Windows that a task packs at once, and windows of a bucket that are compared at once.
-CHUNK_WINDOWS, RANGE_WINDOWS = 2 << 20, 4 << 20
+CHUNK_WINDOWS, RANGE_WINDOWS = 1 << 20, 2 << 20
 MOST_BUCKETS = 1 << 16
 _NULL_ID = (1 << 63) - 1
 _ZSTD = "zstd"
