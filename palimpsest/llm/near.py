@@ -122,7 +122,7 @@ def _restore(blob: bytes) -> bytes:
 
 
 #: Rows that a task folds at once.
-FOLDED_ROWS = 20_000
+FOLDED_ROWS = 10_000
 
 
 def _sketch_task(size: int, count: int, taken: int):
@@ -161,7 +161,7 @@ def _sketch_task(size: int, count: int, taken: int):
                     entries[same] = (rank, number, known[2], known[3])
                 rows.append((number, id_, same, _squeeze(view[bounds[at]:bounds[at + 1]])))
                 held += len(rows[-1][3])
-            if len(rows) >= FOLDED_ROWS or held > 32 << 20:
+            if len(rows) >= FOLDED_ROWS or held > 12 << 20:
                 yield from out(rows, entries, rest)
                 rows, entries, rest, held = [], {}, [], 0
         if rows:

@@ -22,12 +22,12 @@ from palimpsest.llm.common import as_text, dealt, grouped, prepare, text_buffer
 
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a shard, about; the number of shards follows from the bytes of the whole table.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: A seed asks with its rarest terms, so that a query costs the same for short and long seeds.
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps; more are forgotten and encoded again.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 350_000
 # printable ASCII and the bytes of the letters from U+00C0 to U+023F, which are their own composed form
 _PLAIN_BYTES = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
