@@ -16,7 +16,7 @@ from palimpsest.session import shared_folder
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay: those that have a letter."""
+    """Documents whose language can be told stay: those with a letter whose kernel value reaches the floor of their length."""
     return keep_identified(docs)
 
 

@@ -59,3 +59,15 @@ def test_nothing_to_learn_from(spark):
     one = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in L.predict_languages(one).select("id", "lang_pred", "score").collect()] == [(1, "und", 0.0)]
     assert L.keep_identified(one).count() == 1
+
+
+def test_letters_alone_are_no_language(spark):
+    random = np.random.default_rng(3)
+    vocabulary = {lang: ["".join(random.choice(list(letters), 3)) + end for end in ends for _ in range(40)]
+                  for lang, letters, ends in (("aa", "aeioulmn", ("ing", "tion", "")), ("bb", "aeußkrst", ("en", "heit", "")))}
+    clean = [(n, " ".join(random.choice(vocabulary[lang], 60)), lang) for n, lang in enumerate(["aa", "bb"] * 150)]
+    clean += [(1000 + n, " ".join(random.choice(vocabulary["aa"], 3)), None) for n in range(20)]
+    noise = lambda signs, count: " ".join("".join(random.choice(list(signs), random.integers(1, 12))) for _ in range(count))
+    junk = [noise("bcdfghjpqvwxyz", 80), noise("0123456789", 80) + " a", noise("#$%&*!?@^~", 80) + " x", noise("0123456789abcdef", 80)]
+    df = spark.createDataFrame(clean + [(2000 + n, text, None) for n, text in enumerate(junk)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in L.keep_identified(df).collect()) == [r[0] for r in clean]
