@@ -8,7 +8,8 @@ of the log-probabilities of all tokens of a text, each given its neighbours, is
    classes of equal size.  Rarer words share slots by their last letters and length.
 2. The network is trained in numpy, data-parallel over the whole corpus: in each round every task walks over its own
    documents from the common state and returns its parameters; these are averaged in Spark, slice by slice, weighted
-   by trained positions.  A round trains every ``STRIDE``-th position of every document, another one each round.
+   by trained positions.  A round trains every ``ROUNDS``-th position of every document, the next one each round, so that
+   the rounds together train every position once.
 3. Every token of every document is scored.
 """
 
@@ -28,7 +29,7 @@ CLASSES, MEMBERS = 32, 32
 #: Slots of the vocabulary for rare words; slot 0 of all is the border of a text.
 RARE = 128
 REACH, HIDDEN = 3, 32
-ROUNDS, STRIDE = 2, 16
+ROUNDS = 2
 BATCH, RATE = 2048, 5.0
 SCORED = 8192
 _SLICE = 16384
@@ -53,7 +54,7 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         total = np.repeat(self.bias[None, :], len(around), 0)
         for j in range(2 * REACH):
-            total += self.near[j][around[:, j]]
+            total += self.near[j].take(around[:, j], 0)
         return np.tanh(total, out=total)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -78,23 +79,28 @@ class Network:
         back = wrong @ self.group.T
         steps = [(self.group, hidden.T @ wrong), (self.group_bias, wrong.sum(0))]
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[bounds[c]:bounds[c + 1]]
-            if len(rows):
-                own = _softmax(hidden[rows] @ self.member[c] + self.member_bias[c])
-                own[np.arange(len(rows)), member[rows]] -= 1
-                back[rows] += own @ self.member[c].T
-                steps += [(self.member[c], hidden[rows].T @ own), (self.member_bias[c], own.sum(0))]
+        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+        sorted_hidden, own = hidden.take(order, 0), np.empty((len(target), MEMBERS), np.float32)
+        held = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+        for c, rows in held:
+            np.matmul(sorted_hidden[rows], self.member[c], out=own[rows])
+            own[rows] += self.member_bias[c]
+        _softmax(own)
+        own[np.arange(len(target)), member[order]] -= 1
+        sorted_back = np.empty_like(hidden)
+        for c, rows in held:
+            np.matmul(own[rows], self.member[c].T, out=sorted_back[rows])
+            steps += [(self.member[c], sorted_hidden[rows].T @ own[rows]), (self.member_bias[c], own[rows].sum(0))]
+        back[order] += sorted_back
         back *= 1 - hidden * hidden
         for layer, step in steps:
             layer -= rate * step
         self.bias -= rate * back.sum(0)
         for j in range(2 * REACH):
-            order = np.argsort(around[:, j], kind="stable")
-            token = around[order, j]
+            order = np.argsort(around[:, j].astype(np.uint16), kind="stable")  # a radix sort
+            token = around[:, j].take(order)
             first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            self.near[j][token[first]] -= rate * np.add.reduceat(back[order], first, 0)
+            self.near[j][token[first]] -= rate * np.add.reduceat(back.take(order, 0), first, 0)
 
 
 def _softmax(values: np.ndarray) -> np.ndarray:
@@ -156,12 +162,18 @@ def _around(line: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([line[place + by] for by in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
 
 
+def _turn(first: np.ndarray, number: int) -> np.ndarray:
+    """Tokens whose place in their own text is due in this round."""
+    inside = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero((inside + number) % ROUNDS == 0)
+
+
 def _train_task(words, slots, flat: bytes, number: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, trained = Network(np.frombuffer(flat, np.float32).copy()), 0
         for batch in pieces(batches, "text"):
-            line, place, _ = _tokens(batch, words, slots)
-            chosen = place[number * STRIDE // ROUNDS::STRIDE]
+            line, place, first = _tokens(batch, words, slots)
+            chosen = place[_turn(first, number)]
             # neighbours in a batch come from all over the block of texts
             chosen = np.random.default_rng(len(line)).permutation(chosen)
             for first in range(0, len(chosen), BATCH):

@@ -53,3 +53,16 @@ def test_scores_are_sums_over_whole_texts_and_tell_order_from_noise(spark):
     noise = np.mean([r["mean_score"] for r in got if r["id"] is not None and 5000 <= r["id"] < 6000])
     assert ordered > noise + 0.2
     assert S.pseudo_likelihoods(df.limit(0)).count() == 0
+
+
+def test_rounds_train_every_position_of_every_text_once():
+    _, place, first = tokens(["a b c d e", None, "f", "g h", "", "i " * 41])
+    turns = np.concatenate([S._turn(first, number) for number in range(S.ROUNDS)])
+    assert sorted(turns.tolist()) == list(range(len(place)))
+
+
+def test_tasks_walk_over_all_positions():
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three", "four", "five six " * 20])], names=["text"])
+    none, flat = (np.zeros(0, np.uint64), np.zeros(0, np.int32)), S.Network().flat.tobytes()
+    weights = [next(S._train_task(*none, flat, number)([batch])).column("weight")[0].as_py() for number in range(S.ROUNDS)]
+    assert sum(weights) == 44
