@@ -5,16 +5,19 @@ neighbours add up to a hidden layer; a two-level softmax gives the class of the
 of the log-probabilities of all tokens of a text, each given its neighbours, is the text's score.
 
 1. Words of all documents are counted; the most frequent ones are the vocabulary, ordered by count and dealt to
-   classes of equal size.  Rarer words share slots by their last letters and length.
+   classes of equal size.  Its size grows with the root of the number of distinct words.  Rarer words share slots by their
+   last letters and length, and a rare word has its share of its slot's count as its probability in the slot.
 2. The network is trained in numpy, data-parallel over the whole corpus: in each round every task walks over its own
    documents from the common state and returns its parameters; these are averaged in Spark, slice by slice, weighted
    by trained positions.  A round trains every ``ROUNDS``-th position of every document, the next one each round, so that
    the rounds together train every position once.
-3. Every token of every document is scored.
+3. Every token of every document is scored.  Counts of the most frequent words are at hand in every task; the others are
+   joined to the documents that hold them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
-from palimpsest.llm.common import as_text, pieces, prepare, text_buffer
+from palimpsest.llm.common import as_text, pieces, prepare, text_buffer, written
 
+#: Least size of the network's output; both grow with the vocabulary.
 CLASSES, MEMBERS = 32, 32
 #: Slots of the vocabulary for rare words; slot 0 of all is the border of a text.
 RARE = 128
 REACH, HIDDEN = 3, 32
 ROUNDS = 2
+#: Words whose counts every task holds.
+KNOWN = 1 << 20
 BATCH, RATE = 2048, 5.0
 SCORED = 8192
 _SLICE = 16384
@@ -38,19 +44,22 @@ _SLICE = 16384
 class Network:
     """Parameters in one flat array: neighbour embeddings, class layer, member layers, with biases."""
 
-    SHAPES = {"near": (2 * REACH, CLASSES * MEMBERS, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, CLASSES), "group_bias": (CLASSES,),
-              "member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
-    SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES, members: int = MEMBERS):
+        self.classes, self.members = classes, members
+        shapes = self.shapes(classes, members)
         if flat is None:
-            flat = np.random.default_rng(5).standard_normal(self.SIZE).astype(np.float32) * np.float32(0.1)
+            flat = np.random.default_rng(5).standard_normal(sum(map(math.prod, shapes.values()))).astype(np.float32) * np.float32(0.1)
         self.flat, at = flat, 0
-        for name, shape in self.SHAPES.items():
-            size = int(np.prod(shape))
+        for name, shape in shapes.items():
+            size = math.prod(shape)
             setattr(self, name, flat[at:at + size].reshape(shape))
             at += size
 
+    @staticmethod
+    def shapes(classes: int, members: int) -> dict[str, tuple[int, ...]]:
+        return {"near": (2 * REACH, classes * members, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, classes), "group_bias": (classes,),
+                "member": (classes, HIDDEN, members), "member_bias": (classes, members)}
+
     def hidden(self, around: np.ndarray) -> np.ndarray:
         total = np.repeat(self.bias[None, :], len(around), 0)
         for j in range(2 * REACH):
@@ -59,11 +68,11 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         hidden = self.hidden(around)
-        group, member = target // MEMBERS, target % MEMBERS
+        group, member = target // self.members, target % self.members
         out = _log_softmax(hidden @ self.group + self.group_bias, group)
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             rows = order[bounds[c]:bounds[c + 1]]
             if len(rows):
                 out[rows] += _log_softmax(hidden[rows] @ self.member[c] + self.member_bias[c], member[rows])
@@ -73,15 +82,15 @@ class Network:
         """One step of gradient ascent on the mean log-probability of a batch."""
         hidden = self.hidden(around)
         rate = np.float32(rate / len(target))
-        group, member = target // MEMBERS, target % MEMBERS
+        group, member = target // self.members, target % self.members
         wrong = _softmax(hidden @ self.group + self.group_bias)
         wrong[np.arange(len(target)), group] -= 1
         back = wrong @ self.group.T
         steps = [(self.group, hidden.T @ wrong), (self.group_bias, wrong.sum(0))]
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-        sorted_hidden, own = hidden.take(order, 0), np.empty((len(target), MEMBERS), np.float32)
-        held = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+        bounds = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        sorted_hidden, own = hidden.take(order, 0), np.empty((len(target), self.members), np.float32)
+        held = [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
         for c, rows in held:
             np.matmul(sorted_hidden[rows], self.member[c], out=own[rows])
             own[rows] += self.member_bias[c]
@@ -103,6 +112,14 @@ class Network:
             self.near[j][token[first]] -= rate * np.add.reduceat(back.take(order, 0), first, 0)
 
 
+Network.SIZE = sum(map(math.prod, Network.shapes(CLASSES, MEMBERS).values()))
+
+
+def side_for(distinct: int) -> int:
+    """Classes, and members of a class, for a corpus with so many distinct words."""
+    return max(CLASSES, MEMBERS, math.isqrt(RARE + math.isqrt(distinct) - 1) + 1)
+
+
 def _softmax(values: np.ndarray) -> np.ndarray:
     values -= values.max(1, keepdims=True)
     np.exp(values, out=values)
@@ -128,21 +145,52 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         data, bounds = text_buffer(batch.column("text"))
         starts, ends, _ = W.spans(data, bounds)
-        word, count = np.unique(W.hashes(data, starts, ends), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))], names=["word", "held"])
+        if not len(starts):
+            continue
+        word, one, count = np.unique(W.hashes(data, starts, ends), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(_rare_slot(data, starts[one], ends[one]).astype(np.int32)),
+                                          pa.array(count.astype(np.int64))], names=["word", "slot", "held"])
 
 
-def vocabulary(rows: DataFrame, slots: int = CLASSES * MEMBERS - RARE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent words and their slots; counts cover all documents."""
-    counts = rows.mapInArrow(_count_task, "word bigint, held bigint").groupBy("word").agg(F.sum("held").alias("held"))
-    top = counts.orderBy(F.desc("held"), "word").limit(slots).collect()
-    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], (np.arange(len(words)) + RARE)[order].astype(np.int32)
+class Vocabulary:
+    """What the counts of all words give: the frequent words and their slots, counts at hand, and the rare slots' totals.
+
+    ``counts`` is the table of all words; ``least`` the count from which words are at hand, all if 0.
+    """
+
+    def __init__(self, rows: DataFrame, known: int = KNOWN):
+        counted = rows.mapInArrow(_count_task, "word bigint, slot int, held bigint").groupBy("word").agg(F.min("slot").alias("slot"), F.sum("held").alias("held"))
+        self.counts = written(counted, "words")
+        levels = sorted(((r["held"], r["count"]) for r in self.counts.groupBy("held").count().collect()), reverse=True)
+        distinct, self.least, reached = sum(n for _, n in levels), 0, 0
+        for held, number in levels:
+            reached += number
+            if reached > known:
+                self.least = held + 1
+                break
+        self.side = side_for(distinct)
+        top = self.counts.orderBy(F.desc("held"), "word").limit(self.side ** 2 - RARE).collect()
+        words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+        order = np.argsort(words)
+        self.words, self.slots = words[order], (np.arange(len(words)) + RARE)[order].astype(np.int32)
+        self.totals = np.zeros(RARE, np.int64)
+        for r in self.counts.groupBy("slot").agg(F.sum("held").alias("held")).collect():
+            self.totals[r["slot"]] = r["held"]
+        for r in top:
+            self.totals[r["slot"]] -= r["held"]
+        at_hand = self.counts.where(F.col("held") >= self.least).select("word", "held").toArrow()
+        words = at_hand.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        self.known, self.held = words[order], at_hand.column("held").to_numpy()[order]
 
 
 def _tokens(batch: pa.RecordBatch, words: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of a batch with borders around every row, places of the real ones, and each row's first."""
+    return _lines(batch, words, slots)[:3]
+
+
+def _lines(batch: pa.RecordBatch, words: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_tokens``, and the hashes of the words."""
     data, bounds = text_buffer(batch.column("text"))
     starts, ends, first = W.spans(data, bounds)
     hashed = W.hashes(data, starts, ends)
@@ -155,7 +203,7 @@ def _tokens(batch: pa.RecordBatch, words: np.ndarray, slots: np.ndarray) -> tupl
     place = np.arange(len(found)) + (row + 1) * REACH
     line = np.zeros(len(found) + len(first) * REACH, np.int32)
     line[place] = found
-    return line, place, first
+    return line, place, first, hashed
 
 
 def _around(line: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -168,9 +216,9 @@ def _turn(first: np.ndarray, number: int) -> np.ndarray:
     return np.flatnonzero((inside + number) % ROUNDS == 0)
 
 
-def _train_task(words, slots, flat: bytes, number: int):
+def _train_task(words, slots, flat: bytes, number: int, side: int = CLASSES):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, trained = Network(np.frombuffer(flat, np.float32).copy()), 0
+        network, trained = Network(np.frombuffer(flat, np.float32).copy(), side, side), 0
         for batch in pieces(batches, "text"):
             line, place, first = _tokens(batch, words, slots)
             chosen = place[_turn(first, number)]
@@ -181,7 +229,7 @@ def _train_task(words, slots, flat: bytes, number: int):
                 network.train(_around(line, part), line[part], RATE * (1 if len(part) == BATCH else len(part) / BATCH))
             trained += len(chosen)
         if trained:
-            for at in range(0, network.SIZE, _SLICE):
+            for at in range(0, len(network.flat), _SLICE):
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([at // _SLICE], pa.int32()), "weight": pa.array([trained], pa.int64()),
                                                   "values": pa.array([network.flat[at:at + _SLICE].tobytes()], pa.binary())})
 
@@ -201,46 +249,67 @@ def _average_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                           "values": pa.array([(values / weight).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, bytes]:
+def fit(rows: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, bytes]:
     """Vocabulary and parameters learnt from all of ``rows`` (column ``text``)."""
-    words, slots = vocabulary(rows)
-    flat = Network().flat.tobytes()
+    found = Vocabulary(rows, known)
+    flat = Network(None, found.side, found.side).flat.tobytes()
     for number in range(ROUNDS):
-        parts = rows.mapInArrow(_train_task(words, slots, flat, number), "slice int, weight bigint, values binary")
-        # the network has a fixed size, so what comes back has it too
+        parts = rows.mapInArrow(_train_task(found.words, found.slots, flat, number, found.side), "slice int, weight bigint, values binary")
+        # the network's size does not depend on the number of tasks, so what comes back does not either
         merged = parts.repartition("slice").mapInArrow(_average_task, "slice int, weight bigint, values binary").collect()
         if not merged:
             break
         flat = b"".join(bytes(r["values"]) for r in sorted(merged, key=lambda r: r["slice"]))
-    return words, slots, flat
+    return found, flat
 
 
-def _score_task(words, slots, flat: bytes):
+def _score_task(words, slots, flat: bytes, side: int, totals: np.ndarray, counts):
+    """``counts``: a broadcast of the words at hand and their counts.  Column ``rare`` has the rare words of a text that are not at hand."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(np.frombuffer(flat, np.float32).copy())
+        network = Network(np.frombuffer(flat, np.float32).copy(), side, side)
+        known, held = counts.value
+        shares = -np.log(np.maximum(totals, 1))
         for batch in pieces(batches, "text", 1 << 20):
-            line, place, first = _tokens(batch, words, slots)
+            line, place, first, hashed = _lines(batch, words, slots)
             sums = np.zeros(len(place) + 1)
             for at in range(0, len(place), SCORED):
                 part = place[at:at + SCORED]
                 sums[at + 1:at + 1 + len(part)] = network.log_probabilities(_around(line, part), line[part])
+            rare = np.flatnonzero(line[place] < RARE)
+            sums[rare + 1] += shares[line[place[rare]]]
+            word, back = np.unique(hashed[rare], return_inverse=True)
+            number, found = np.zeros(len(word)), np.zeros(len(word), bool)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                found = known[at] == word
+                number[found] = np.log(held[at[found]])
+            sums[rare + 1] += number[back]
+            rare = rare[~found[back]]
             np.cumsum(sums, out=sums)
             count = np.diff(first)
             score = sums[first[1:]] - sums[first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count.astype(np.int64)), pa.array(score)], names=["id", "n_tokens", "score"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(hashed[rare].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count.astype(np.int64)), pa.array(score), rest], names=["id", "n_tokens", "score", "rare"])
 
     return work
 
 
-def pseudo_likelihoods(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pseudo_likelihoods(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: int = KNOWN) -> DataFrame:
     """``id, n_tokens, score, mean_score`` of each row: the sum of its tokens' conditional log-probabilities, and that over their number.
 
     Null and empty texts and those of blanks alone have no token, score 0 and no mean.  Rows that repeat are scored each.  An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  Counts of at most ``known`` words are held in a task; the
+    result does not depend on it.
     """
-    prepare(df.sparkSession)
+    spark = prepare(df.sparkSession)
     kind = dict(df.dtypes)[id_column]
     rows = df.select(F.col(id_column).alias("id"), as_text(F.col(text_column)).alias("text"))
-    found = fit(rows.select("text"))
-    scored = rows.mapInArrow(_score_task(*found), f"id {kind}, n_tokens bigint, score double")
-    return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
+    found, flat = fit(rows.select("text"), known)
+    task = _score_task(found.words, found.slots, flat, found.side, found.totals, spark.sparkContext.broadcast((found.known, found.held)))
+    scored = rows.mapInArrow(task, f"id {kind}, n_tokens bigint, score double, rare array<bigint>")
+    if found.least:
+        kept = written(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+        others = found.counts.where(F.col("held") < found.least).select("word", "held")
+        more = (kept.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum(F.log("held")).alias("more")))
+        scored = kept.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return scored.select("id", "n_tokens", "score").withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

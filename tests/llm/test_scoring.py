@@ -66,3 +66,18 @@ def test_tasks_walk_over_all_positions():
     none, flat = (np.zeros(0, np.uint64), np.zeros(0, np.int32)), S.Network().flat.tobytes()
     weights = [next(S._train_task(*none, flat, number)([batch])).column("weight")[0].as_py() for number in range(S.ROUNDS)]
     assert sum(weights) == 44
+
+
+def test_rare_words_have_their_share_of_their_slot(spark):
+    filler = [f"frequent{n}" for n in range(900)]
+    words = filler * 30 + ["contenting"] * 20 + ["xqzvkwping"] * 2
+    rows = [(n, " ".join(words[n::40])) for n in range(40)] + [(100, "contenting"), (101, "xqzvkwping"), (102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for known in (1 << 20, 900, 0):
+        by = {r["id"]: r["score"] for r in S.pseudo_likelihoods(df, known=known).collect()}
+        assert len(by) == len(rows) and by[102] == 0
+        assert abs(by[100] - by[101] - np.log(21 / 3)) < 1e-6
+
+
+def test_vocabulary_follows_the_distinct_words():
+    assert [S.side_for(n) for n in (0, 10_000, 800_000, 1_000_000, 10_000_000)] == [32, 32, 32, 34, 58]
