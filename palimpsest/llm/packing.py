@@ -23,8 +23,10 @@ from palimpsest.llm.common import as_text, dealt, grouped, prepare, text_buffer
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a shard, about; the number of shards follows from the bytes of the whole table.
 SHARD_BYTES = 12 << 20
-#: A seed asks with its rarest terms, so that a query costs the same for short and long seeds.
-QUERY_TERMS = 16
+#: Terms a seed asks with, the rarest first; None: all that another document holds.
+QUERY_TERMS = None
+#: Terms that more than one in so many documents hold have a dense row of weights.
+DENSE = 4
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps; more are forgotten and encoded again.
 KEPT_WORDS = 350_000
@@ -142,23 +144,29 @@ class Index:
         count = count[order].astype(np.float32)
         norm = (K1 * (1 - B + B * sizes / average)).astype(np.float32)
         self.weight = count * np.float32(K1 + 1) / (count + norm[self.owner])
+        common = np.flatnonzero(held * DENSE > max(len(docs), 64))
+        self.row = np.full(len(held), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(docs)), np.float32)
+        for row, t in zip(self.dense, common):
+            span = slice(self.starts[t], self.starts[t + 1])
+            row[self.owner[span]] = self.weight[span] * self.rarity[t]
 
     def neighbours(self, number: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's rarest terms, best score first, then by position."""
+        """Unused documents that share a term with the seed, best score over all of its terms first, then by position."""
         terms = self.own[number]
         terms = terms[self.held[terms] > 1]  # the others are the seed's alone
-        if len(terms) > QUERY_TERMS:
+        if QUERY_TERMS is not None and len(terms) > QUERY_TERMS:
             terms = terms[np.lexsort((terms, self.held[terms]))[:QUERY_TERMS]]
         if not len(terms):
             return np.zeros(0, np.int64)
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        owners = np.concatenate([self.owner[s] for s in spans])
-        scores = np.concatenate([self.weight[s] * self.rarity[t] for s, t in zip(spans, terms)])
-        found, where = np.unique(owners, return_inverse=True)
-        total = np.bincount(where, scores)
-        free = ~used[found]
-        found, total = found[free], total[free]
-        return found[np.lexsort((found, -total))]
+        rows = self.row[terms]
+        total = self.dense.take(rows[rows >= 0], 0).sum(0, dtype=np.float64)
+        spans = [(slice(self.starts[t], self.starts[t + 1]), self.rarity[t]) for t in terms[rows < 0]]
+        if spans:
+            total += np.bincount(np.concatenate([self.owner[s] for s, _ in spans]), np.concatenate([self.weight[s] * r for s, r in spans]), len(used))
+        found = np.flatnonzero((total > 0) & ~used)
+        return found[np.argsort(-total[found], kind="stable")]
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

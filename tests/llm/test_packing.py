@@ -67,3 +67,17 @@ def test_every_id_once_and_no_padding(spark, encoder):
 
 def test_empty_table(spark):
     assert P.retrieval_packs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_terms_of_a_long_seed_count():
+    rare, shared = np.arange(1000, 1040), np.arange(100, 400)
+    docs = [np.concatenate([rare, shared, [2]])] + [np.array([t, 3000 + t, 2]) for t in rare] + [np.append(shared, 2)] * 2
+    docs = [d.astype("<u4") for d in docs]
+    used = np.arange(len(docs)) == 0
+    assert P.Index(docs).neighbours(0, used)[:2].tolist() == [41, 42]
+    held = {t: sum(t in d[:-1] for d in docs) for t in docs[0][:-1].tolist()}
+    average, plain = np.mean([len(d) for d in docs]), []
+    for d in docs[1:]:
+        terms = set(d[:-1].tolist()) & held.keys()
+        plain.append(sum(np.log(1 + (len(docs) - held[t] + .5) / (held[t] + .5)) * (P.K1 + 1) / (1 + P.K1 * (1 - P.B + P.B * len(d) / average)) for t in terms))
+    assert P.Index(docs).neighbours(0, used).tolist() == (1 + np.argsort(-np.array(plain).round(6), kind="stable")).tolist()
