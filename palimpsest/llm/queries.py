@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.alignment import alignments
 from palimpsest.llm.common import documents, prepare
 from palimpsest.llm.embeddings import near_vectors
 from palimpsest.llm.exact import exact_groups
 from palimpsest.llm.language import predict_languages
 from palimpsest.llm.mixing import mixture
 from palimpsest.llm.near import near_classes
+from palimpsest.llm.negatives import hard_negatives
 from palimpsest.llm.packing import retrieval_packs
+from palimpsest.llm.private import personal_data
 from palimpsest.llm.scoring import pseudo_likelihoods
 from palimpsest.llm.substrings import drop_repeated_passages
 from palimpsest.llm.token_counts import token_counts
@@ -122,10 +125,40 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and each of its five positives; every seventh vector has the next label."""
+    vectors = prepare(spark).read.parquet(f"{folder}/embeddings.parquet")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+# All anchors meet all rows here; scores are whole numbers far below 2^53, so the sums of doubles are exact.
+SQL_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10
+"""
+
+
+def op12_cross_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of a byte-level and a piece tokenizer over all documents."""
+    return alignments(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: the fixed patterns' spans and those that weak supervision adds."""
+    return personal_data(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {"op1_lm_scoring": op1_lm_scoring, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_source_mixing": op6_source_mixing, "op7_exact_dedup": op7_exact_dedup,
-            "op8_embedding_dedup": op8_embedding_dedup, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+            "op8_embedding_dedup": op8_embedding_dedup, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
+            "op11_hard_negatives": op11_hard_negatives, "op12_cross_alignment": op12_cross_alignment, "op13_personal_data": op13_personal_data}
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": SQL_OP3, "op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7, "op8_embedding_dedup": SQL_OP8}
+    return {"op3_warc": SQL_OP3, "op4_substring_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7, "op8_embedding_dedup": SQL_OP8, "op11_hard_negatives": SQL_OP11}
