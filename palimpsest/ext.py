@@ -31,6 +31,27 @@ def parse_files(files: DataFrame, make_parser: Callable[[], Callable[[str, bytes
     return files.select("path", "content").mapInPandas(parse, BLOCKS)
 
 
+def parser_table(make_parser: Callable[[], Callable[[str, bytes], list[tuple[str, int | None]]]]):
+    """A table function over a parser, for ``files.lateralJoin(table(col("path").outer(), col("content").outer()))``.
+
+    Blocks come out beside the columns of their file, so nothing has to be joined back.
+    """
+    class Parser:
+        def __init__(self):
+            self.parse = make_parser()
+
+        def eval(self, path: str, content: bytes):
+            for seq, (text, page) in enumerate(self.parse(path, bytes(content))):
+                yield seq, text, page
+    return F.udtf(Parser, returnType="seq int, content string, page int")
+
+
+def form_feed_pages(path: str, content: bytes) -> list[tuple[str, int | None]]:
+    """Built-in parser of paged text: a form feed ends a page, blank lines end a block; pages count from 1."""
+    return [(block.strip(" \t\r\n"), number) for number, page in enumerate(content.decode("utf-8", "replace").split("\f"), 1)
+            for block in page.split("\n\n") if block.strip(" \t\r\n")]
+
+
 def encoder(make_model: Callable[[], Callable[[list[str]], np.ndarray]], dimension: int) -> Callable[[Column], Column]:
     """Column function over a text encoder; vectors are cut to ``dimension``."""
     @F.pandas_udf("array<float>")

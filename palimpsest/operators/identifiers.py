@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.functions import keys, payload as pl, scope as sc, text as tx
 from palimpsest.operators.ordered import top_per
+from palimpsest.operators.skew import salted_join
 
 STAGE_DIRECT, STAGE_ALIAS, STAGE_LEGACY = 1, 2, 3
 
@@ -63,8 +64,11 @@ def query_references(queries: DataFrame) -> DataFrame:
 
 
 def matches(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """(query, memory, stage) with the number of distinct values that matched."""
-    hit = asked.distinct().join(index, ["place", "scheme", "normalized_value"])
+    """(query, memory, stage) with the number of distinct values that matched.
+
+    An identifier that a large share of the memories holds is split over several tasks.
+    """
+    hit = salted_join(asked.distinct(), index, ["place", "scheme", "normalized_value"], "memory_id")
     return hit.groupBy("query_id", "memory_id", "stage").agg(
         F.count_distinct("normalized_value").alias("match_count"), F.max("updated_at").alias("updated_at"))
 

@@ -60,16 +60,22 @@ def capture_events(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     one that shares an identifier in the same domain; both are minima over keys,
     and no group is walked in order.
     """
-    columns = ["memory_id", "created_at", *keys.SCOPE_COLUMNS, "payload"]
     live = snapshot.where((F.col("kind") == "event") & F.col("status").isin(C.LIVE_STATUSES))
-    every = (live.select(*columns, F.lit(0).alias("arrival")).unionByName(
-        incoming.select(*columns, F.lit(1).alias("arrival"))))
-    marked = every.select(
-        "memory_id", "arrival", F.struct("arrival", "created_at", "memory_id").alias("position"),
+    return judge_events(marked_events(live, 0).unionByName(marked_events(incoming, 1)))
+
+
+def marked_events(events: DataFrame, arrival: int, *keep: str) -> DataFrame:
+    """What capture compares: position, identity, domain, identifiers and claims; ``arrival`` is 0 for known events, 1 for new ones."""
+    return events.select(
+        "memory_id", F.lit(arrival).alias("arrival"), F.struct(F.lit(arrival).alias("arrival"), "created_at", "memory_id").alias("position"),
         keys.event_identity(F.col("payload.event")).alias("identity_key"),
         keys.event_domain({n: F.col(n) for n in keys.SCOPE_COLUMNS}).alias("domain"),
         keys.event_identifiers(F.col("payload.event")).alias("identifiers"),
-        pl.claim_map(F.col("payload.event")).alias("claims"))
+        pl.claim_map(F.col("payload.event")).alias("claims"), *keep)
+
+
+def judge_events(marked: DataFrame) -> DataFrame:
+    """Outcomes of the new ones among :func:`marked_events`; of the known ones only first holders matter."""
     originals = marked.groupBy("identity_key").agg(F.min("position").alias("original"))
     known = marked.join(originals, "identity_key")
     # Live records of the snapshot stay live even when two of them share an identity.

@@ -1,13 +1,23 @@
 """Exact dense and sparse top-k for many queries at once.
 
-Queries and corpus meet in the places that both may see.  A place is cut into as
-many buckets as its size asks for; its documents are dealt to them, its queries
-go to each.  Both sides are shuffled once on (place, bucket) and stream through a
-task bucket by bucket: the queries of a bucket stand before its documents, whose
-blocks are scored by one matrix product each.  A task keeps the best ``k`` of each
-query over all its buckets and emits these at the end, so scored pairs are never
-shuffled.  There is one plan for all sizes; many small places share a task, and a
-large one is split.
+Queries and corpus meet in the places that both may see.  A place is cut into
+buckets by the bytes of its documents and its queries into parts; both sides are
+shuffled once on (place, part, bucket) and stream through a task bucket by
+bucket, the queries before the documents.  There is one plan for all sizes; many
+small places share a task, and a large one is split over many.
+
+Inside a bucket, documents form blocks with a bound on the score that any of
+their rows can have with a query, and a query skips the blocks whose bound does
+not reach its k-th best row.  Results are exact:
+
+* sparse: an inverted index.  Documents keep only the terms that some query of
+  their place has, so those without one never leave the scan; blocks are ordered
+  by impact, and the block maxima of a query's terms add up to its bound;
+* dense: vectors gather around pivots, and the triangle inequality of angles
+  bounds the cosine from the pivot's angle and the radius of its ball.
+
+A task keeps the best ``k`` of each query over all its buckets and emits these at
+the end, so scored pairs are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,11 +32,17 @@ from palimpsest import constants as C
 from palimpsest.functions import text as tx
 from palimpsest.operators.ordered import top_per
 
-# Documents of a place in one bucket, about; documents scored at once; results a task holds before it lets them go.
+# Bytes and rows of a bucket and queries of a part, about; rows of a block; results a task holds before it lets them go.
+BUCKET_BYTES = 4 << 20
 BUCKET_ROWS = 20_000
-BLOCK_ROWS = 1_000
+QUERY_ROWS = 256
+BLOCK_ROWS = 512
 HELD_RESULTS = 500_000
+# Up to so many query terms, some 10 MB, go to the documents; more meet them in a shuffle, where large terms are split as skewed.
+BROADCAST_TERMS = 100_000
 EVERYWHERE = "all"
+# Scores are rounded to so many digits before they are ranked.
+DIGITS = 6
 
 
 def term_counts(terms: Column) -> Column:
@@ -52,92 +68,139 @@ def encode_terms(df: DataFrame, text: str, k1: float | None = None, b: float = 0
     return out.drop("_sorted", "_ends")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, positive: bool) -> np.ndarray:
-    """Positions of the best ``k`` scores; equal scores go by id."""
-    if positive:
-        allowed = np.flatnonzero(scores > 0)
-    else:
-        allowed = np.arange(len(scores))
-    if len(allowed) > k:
-        floor = np.partition(scores[allowed], len(allowed) - k)[len(allowed) - k]
-        allowed = allowed[scores[allowed] >= floor]
-    order = np.lexsort((ids[allowed], -scores[allowed]))
-    return allowed[order][:k]
-
-
-def _dense_queries(rows: pd.DataFrame):
-    return _unit(rows["vector"])
-
-
 def _unit(vectors) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float32) for v in vectors]).astype(np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _dense_scores(queries: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
-    return np.round(queries @ _unit(rows["vector"]).T, 6)
-
-
-def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, row, weight) of every term of every row, by row."""
-    lengths = [len(t) for t in rows["terms"]]
-    if not sum(lengths):
-        return np.array([], dtype=str), np.array([], dtype=np.int64), np.array([])
-    return (np.concatenate([np.asarray(t, dtype=str) for t in rows["terms"]]), np.repeat(np.arange(len(lengths)), lengths),
-            np.concatenate([np.asarray(w, dtype=np.float64) for w in rows["weights"]]))
-
-
-def _sparse_queries(rows: pd.DataFrame):
-    """The queries' terms, where each one's postings begin, and the postings by term."""
-    terms, owners, weights = _postings(rows)
-    order = np.argsort(terms, kind="stable")
-    vocabulary, starts = np.unique(terms[order], return_index=True)
-    return vocabulary, np.append(starts, len(terms)), owners[order], weights[order], len(rows)
-
-
-def _sparse_scores(queries, rows: pd.DataFrame) -> np.ndarray:
-    """Products of shared terms: only postings of terms that some query has are paired."""
-    vocabulary, starts, owners, weights, count = queries
-    scores = np.zeros(count * len(rows))
-    terms, docs, doc_weights = _postings(rows)
-    if len(vocabulary) and len(terms):
-        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-        hit = vocabulary[at] == terms
-        at, docs, doc_weights = at[hit], docs[hit], doc_weights[hit]
-        holders = starts[at + 1] - starts[at]
-        # pairs of a bounded number of postings at once
-        cuts = np.flatnonzero(np.diff(np.cumsum(holders) // 2_000_000)) + 1
-        for part in np.split(np.arange(len(at)), cuts):
-            each = holders[part]
-            pair = np.repeat(starts[at[part]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            np.add.at(scores, owners[pair] * len(rows) + np.repeat(docs[part], each), weights[pair] * np.repeat(doc_weights[part], each))
-    return np.round(scores.reshape(count, len(rows)), 6)
+class _DenseBucket:
+    """Vectors of a bucket in balls around pivots."""
+
+    positive = False
+
+    def __init__(self, queries: pd.DataFrame):
+        self.queries = _unit(queries["vector"])
+
+    def load(self, rows: pd.DataFrame, most: int) -> list[np.ndarray]:
+        self.rows, self.most = _unit(rows["vector"]), most
+        count = -(-len(rows) // self.most)
+        pivots = self.rows[np.linspace(0, len(rows) - 1, count).astype(np.int64)]
+        near = self.rows @ pivots.T
+        own = near.argmax(1)
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        blocks = [part for ball in np.split(order, cuts) for part in np.split(ball, range(self.most, len(ball), self.most))]
+        angle = np.arccos(np.clip(near[np.arange(len(rows)), own], -1, 1))
+        # a vector of no length has no angle; its ball is the whole sphere
+        angle[~self.rows.any(1)] = np.pi
+        radius = np.array([angle[b].max() for b in blocks])
+        away = np.arccos(np.clip(self.queries @ pivots[[own[b[0]] for b in blocks]].T, -1, 1))
+        self.bounds = np.cos(np.maximum(away - radius, 0))
+        return blocks
+
+    def scores(self, asked: np.ndarray, block: np.ndarray) -> np.ndarray:
+        return self.queries[asked] @ self.rows[block].T
+
+
+class _SparseBucket:
+    """Postings of a bucket; a row of ``queries`` for each query, a column for each of their terms."""
+
+    positive = True
+
+    def __init__(self, queries: pd.DataFrame):
+        terms, owners, weights = self._postings(queries)
+        self.terms, column = np.unique(terms, return_inverse=True)
+        self.queries = np.zeros((len(queries), len(self.terms)))
+        self.queries[owners, column] = weights
+
+    @staticmethod
+    def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = [len(t) for t in rows["terms"]]
+        join = lambda name, kind: np.concatenate([np.asarray(x, dtype=kind) for x in rows[name]]) if sum(sizes) else np.zeros(0, kind)
+        return join("terms", np.int64), np.repeat(np.arange(len(sizes)), sizes), join("weights", np.float64)
+
+    def load(self, rows: pd.DataFrame, most: int) -> list[np.ndarray]:
+        self.most = most
+        terms, owners, weights = self._postings(rows)
+        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        self.column, self.owner, self.weight = at[hit], owners[hit], weights[hit]
+        # the heaviest documents first: they set the floor that the others have to reach
+        order = np.argsort(-np.bincount(self.owner, self.weight, len(rows)), kind="stable")
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.arange(len(rows))
+        by_place = np.argsort(place[self.owner], kind="stable")
+        self.column, self.place, self.weight = self.column[by_place], place[self.owner][by_place], self.weight[by_place]
+        blocks = np.split(order, range(self.most, len(order), self.most))
+        self.cuts = np.searchsorted(self.place, np.arange(len(blocks) + 1) * self.most)
+        peaks = np.zeros((len(blocks), len(self.terms)))
+        np.maximum.at(peaks, (self.place // self.most, self.column), self.weight)
+        self.bounds = self.queries @ peaks.T
+        self.number = {int(b[0]): n for n, b in enumerate(blocks)}
+        return blocks
+
+    def scores(self, asked: np.ndarray, block: np.ndarray) -> np.ndarray:
+        number = self.number[int(block[0])]
+        own = slice(self.cuts[number], self.cuts[number + 1])
+        used, column = np.unique(self.column[own], return_inverse=True)
+        matrix = np.zeros((len(used), len(block)))
+        matrix[column, self.place[own] - number * self.most] = self.weight[own]
+        return self.queries[np.ix_(asked, used)] @ matrix
+
+
+def _bucket_best(bucket, rows: pd.DataFrame, k: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(query, row, score) of the best ``k`` rows of each query, and the pairs of a query and a block that were read, and all."""
+    blocks, ids = bucket.load(rows, block_rows), rows["id"].to_numpy()
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    count = len(bucket.queries)
+    score, row = np.full((count, k), -np.inf), np.full((count, k), -1)
+    bounds, read = np.round(bucket.bounds, DIGITS) + 10.0 ** -DIGITS, 0
+    for number in np.argsort(-bounds.mean(0), kind="stable"):
+        block = blocks[number]
+        # a bound equal to the floor may still hold a smaller id
+        asked = np.flatnonzero((bounds[:, number] >= score[:, -1]) & ((bounds[:, number] > 10.0 ** -DIGITS) | (not bucket.positive)))
+        if not len(asked):
+            continue
+        read += len(asked)
+        found = np.round(bucket.scores(asked, block), DIGITS)
+        floor = score[asked, -1]
+        if len(block) > k:
+            floor = np.maximum(floor, np.partition(found, len(block) - k, axis=1)[:, len(block) - k])
+        good = found >= floor[:, None]
+        if bucket.positive:
+            good &= found > 0
+        q, r = np.nonzero(good)
+        hit = np.unique(q)
+        every = np.concatenate([asked[q], np.repeat(asked[hit], k)])
+        scored, at = np.concatenate([found[q, r], score[asked[hit]].ravel()]), np.concatenate([block[r], row[asked[hit]].ravel()])
+        order = np.lexsort((np.where(at >= 0, rank[at], len(ids)), -scored, every))
+        every, scored, at = every[order], scored[order], at[order]
+        nth = np.arange(len(every)) - np.searchsorted(every, every)
+        score[every[nth < k], nth[nth < k]], row[every[nth < k], nth[nth < k]] = scored[nth < k], at[nth < k]
+    query, nth = np.nonzero(row >= 0)
+    return query, row[query, nth], score[query, nth], read, count * len(blocks)
 
 
 class _Best:
-    """The best ``k`` documents of each (query, collection) seen so far."""
-
-    def __init__(self, k: int, positive: bool):
-        self.k, self.positive, self.found, self.held = k, positive, {}, 0
-
-    def add(self, queries: np.ndarray, collection, ids: np.ndarray, scores: np.ndarray) -> None:
-        for i, query in enumerate(queries):
-            picked = _best(scores[i], ids, self.k, self.positive)
-            if not len(picked):
-                continue
-            old = self.found.get((query, collection))
-            new_scores, new_ids = scores[i][picked], ids[picked]
-            if old is not None:
-                self.held -= len(old[0])
-                new_scores, new_ids = np.concatenate([old[0], new_scores]), np.concatenate([old[1], new_ids])
-                # a row that a query sees from two places counts once
-                order = np.lexsort((new_ids, -new_scores))
-                _, first = np.unique(new_ids[order], return_index=True)
-                order = order[np.sort(first)][:self.k]
-                new_scores, new_ids = new_scores[order], new_ids[order]
-            self.found[query, collection] = (new_scores, new_ids)
-            self.held += len(new_ids)
+    """The best ``k`` documents of each (query, collection) over the buckets of a task."""
+
+    def __init__(self, k: int):
+        self.k, self.found, self.held = k, {}, 0
+
+    def add(self, query, collection, ids: np.ndarray, scores: np.ndarray) -> None:
+        old = self.found.get((query, collection))
+        if old is not None:
+            self.held -= len(old[0])
+            scores, ids = np.concatenate([old[0], scores]), np.concatenate([old[1], ids])
+            # a row that a query sees from two places counts once
+            order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores))
+            _, first = np.unique(ids[order], return_index=True)
+            order = order[np.sort(first)][:self.k]
+            scores, ids = scores[order], ids[order]
+        self.found[query, collection] = (scores, ids)
+        self.held += len(ids)
 
     def frames(self) -> Iterator[pd.DataFrame]:
         if self.found:
@@ -159,59 +222,118 @@ def _runs(values: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(changed)]))
 
 
-def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], prepare, score, k: int, positive: bool, order_name: str) -> DataFrame:
+def _met(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column) -> DataFrame:
+    """Both sides in one stream: for each (place, part, bucket) its queries, then its documents by collection."""
     id_type = corpus.schema["id"].dataType
-    sizes = corpus.groupBy("place").agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("buckets"))
-    q = (queries.select("place", "query_id", *vector).join(sizes, "place")
-         .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1))))
-    d = corpus.select("place", "collection", "id", *vector).join(sizes, "place")
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")))
+    sizes = corpus.groupBy("place").agg(F.greatest(F.ceil(F.sum(width) / BUCKET_BYTES), F.ceil(F.count("*") / BUCKET_ROWS), F.lit(1)).cast("int").alias("buckets"))
+    parts = queries.groupBy("place").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
+    met = sizes.join(parts, "place")
+    upto = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    q = queries.select("place", "query_id", *vector).join(met, "place").withColumns({"part": F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"), "bucket": upto("buckets")})
+    d = corpus.select("place", "collection", "id", *vector).join(met, "place").withColumns({"bucket": F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int"), "part": upto("parts")})
     nothing = F.lit(None)
-    both = (q.select("place", "bucket", F.lit(0).alias("side"), "query_id", nothing.cast("string").alias("collection"), nothing.cast(id_type).alias("id"), *vector)
-            .unionByName(d.select("place", "bucket", F.lit(1).alias("side"), nothing.cast(queries.schema["query_id"].dataType).alias("query_id"), "collection", "id", *vector)))
-    met = both.repartition("place", "bucket").sortWithinPartitions("place", "bucket", "side", "collection")
+    both = (q.select("place", "part", "bucket", F.lit(0).alias("side"), "query_id", nothing.cast("string").alias("collection"), nothing.cast(id_type).alias("id"), *vector)
+            .unionByName(d.select("place", "part", "bucket", F.lit(1).alias("side"), nothing.cast(queries.schema["query_id"].dataType).alias("query_id"), "collection", "id", *vector)))
+    return both.repartition("place", "part", "bucket").sortWithinPartitions("place", "part", "bucket", "side", "collection")
+
+
+def _buckets(batches: Iterator[pd.DataFrame], kind) -> Iterator[tuple]:
+    """``(query ids, bucket, collection, its rows)`` of a stream of :func:`_met`; a bucket's rows are bounded."""
+    columns = ("place", "part", "bucket", "side", "collection")
+    here, asked, ready, held, collection = None, [], None, [], None
+
+    def flush():
+        nonlocal held, ready
+        if held and asked:
+            if ready is None:
+                rows = pd.concat(asked, ignore_index=True)
+                ready = (rows["query_id"].to_numpy(), kind(rows))
+            yield ready[0], ready[1], collection, pd.concat(held, ignore_index=True)
+        held = []
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch[name].to_numpy() for name in columns]
+        for start, end in _runs(values):
+            key, side, own = tuple(v[start] for v in values[:3]), values[3][start], values[4][start]
+            if key != here or own != collection:
+                yield from flush()
+            if key != here:
+                here, asked, ready = key, [], None
+            collection = own
+            (held if side else asked).append(batch.iloc[start:end])
+    yield from flush()
+
+
+def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column, kind, k: int, order_name: str) -> DataFrame:
+    id_type, block_rows, most_held = corpus.schema["id"].dataType, BLOCK_ROWS, HELD_RESULTS
     schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("collection", T.StringType()),
                            T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
 
     def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, here, asked, ready = _Best(k, positive), None, [], None
-        for batch in batches:
-            if not len(batch):
-                continue
-            columns = [batch[name].to_numpy() for name in ("place", "bucket", "side", "collection")]
-            for start, end in _runs(columns):
-                place = (columns[0][start], columns[1][start])
-                if place != here:
-                    here, asked, ready = place, [], None
-                if columns[2][start] == 0:
-                    asked.append(batch.iloc[start:end])
-                    continue
-                if not asked:
-                    continue
-                if ready is None:
-                    rows = pd.concat(asked) if len(asked) > 1 else asked[0]
-                    ready = (rows["query_id"].to_numpy(), prepare(rows))
-                for at in range(start, end, BLOCK_ROWS):
-                    part = batch.iloc[at:min(at + BLOCK_ROWS, end)]
-                    best.add(ready[0], columns[3][start], part["id"].to_numpy().astype(batch["id"].dtype if id_type == T.StringType() else np.int64),
-                             score(ready[1], part))
-                if best.held > HELD_RESULTS:
-                    yield from best.frames()
+        best = _Best(k)
+        for names, bucket, collection, rows in _buckets(batches, kind):
+            query, row, score, _, _ = _bucket_best(bucket, rows, k, block_rows)
+            ids = rows["id"].to_numpy()
+            ids = ids if id_type == T.StringType() else ids.astype(np.int64)
+            cuts = np.flatnonzero(np.diff(query)) + 1
+            for part in np.split(np.arange(len(query)), cuts):
+                if len(part):
+                    best.add(names[query[part[0]]], collection, ids[row[part]], score[part])
+            if best.held > most_held:
+                yield from best.frames()
         yield from best.frames()
 
-    found = met.mapInPandas(best_of_task, schema)
+    found = _met(queries, corpus, vector, width).mapInPandas(best_of_task, schema)
     # The same row can be visible from two places of one query.
     once = found.groupBy("query_id", "collection", "id").agg(F.max("score").alias("score"))
     return top_per(once, ["query_id", "collection"], [F.col("score").desc(), F.col("id")], k, order_name)
 
 
+def _shares(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column, kind, k: int) -> DataFrame:
+    block_rows = BLOCK_ROWS
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = every = 0
+        for _, bucket, _, rows in _buckets(batches, kind):
+            own = _bucket_best(bucket, rows, k, block_rows)
+            read, every = read + own[3], every + own[4]
+        yield pd.DataFrame({"blocks_read": [read], "blocks": [every]})
+
+    return _met(queries, corpus, vector, width).mapInPandas(counted, "blocks_read bigint, blocks bigint").agg(F.sum("blocks_read").alias("blocks_read"), F.sum("blocks").alias("blocks"))
+
+
+def _dense(queries: DataFrame, corpus: DataFrame) -> tuple:
+    has = F.col("vector").isNotNull()
+    return queries.where(has), corpus.where(has), ["vector"], F.size("vector") * 4, _DenseBucket
+
+
 def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of each collection by cosine, with ``dense_rank``.
 
     ``queries(query_id, place, vector)``, ``corpus(id, place, collection, vector)``; rows without a vector take no part.
     """
-    has = F.col("vector").isNotNull()
-    return _top(queries.where(has), corpus.where(has), ["vector"], _dense_queries, _dense_scores, k, False, "dense_rank")
+    return _top(*_dense(queries, corpus), k, "dense_rank")
+
+
+def _sparse(queries: DataFrame, corpus: DataFrame, k1: float | None, b: float, mean_terms: float | None) -> tuple:
+    """Both sides with the terms of their place's queries only, as 64-bit hashes.
+
+    The join that drops all other terms compares the terms themselves; two terms of
+    one place's queries would have to share a hash to be taken for each other.
+    """
+    number = lambda df: df.withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
+    asked = encode_terms(queries, "text", k1, b, mean_terms)
+    wanted = asked.select("place", F.explode("terms").alias("term")).distinct()
+    postings = (encode_terms(corpus, "text", k1, b, mean_terms).select("place", "collection", "id", F.explode(F.arrays_zip("terms", "weights")).alias("p"))
+                .select("place", "collection", "id", F.col("p.terms").alias("term"), F.col("p.weights").alias("weight")))
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    kept = postings.join(wanted, ["place", "term"], "left_semi")
+    packed = (kept.groupBy("place", "collection", "id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight")).alias("p"))
+              .select("place", "collection", "id", F.col("p.t").alias("terms"), F.col("p.weight").alias("weights")))
+    return number(asked), packed, ["terms", "weights"], F.size("terms") * 16, _SparseBucket
 
 
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75, mean_terms: float | None = None) -> DataFrame:
@@ -219,5 +341,14 @@ def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None =
 
     ``queries(query_id, place, text)``, ``corpus(id, place, collection, text)``.
     """
-    encode = lambda df: encode_terms(df, "text", k1, b, mean_terms)
-    return _top(encode(queries), encode(corpus), ["terms", "weights"], _sparse_queries, _sparse_scores, k, True, "sparse_rank")
+    return _top(*_sparse(queries, corpus, k1, b, mean_terms), k, "sparse_rank")
+
+
+def dense_shares(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """``blocks_read, blocks``: pairs of a query and a block that :func:`dense_top` scores, and all."""
+    return _shares(*_dense(queries, corpus), k)
+
+
+def sparse_shares(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75, mean_terms: float | None = None) -> DataFrame:
+    """As :func:`dense_shares`, for :func:`sparse_top`."""
+    return _shares(*_sparse(queries, corpus, k1, b, mean_terms), k)

@@ -41,33 +41,66 @@ def bind_once(events: DataFrame, subject_identifiers: DataFrame) -> DataFrame:
                         .when(F.col("subjects") == 1, F.col("subject_id")).alias("subject_id"), "subjects")
 
 
-def bind_in_order(events: DataFrame, subject_identifiers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _roots(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """``(memory_id, root)`` of a forest ``(memory_id, target)`` whose roots point at themselves, and the jumps it took.
+
+    Every jump doubles the distance, so their number is the logarithm of the depth.
+    """
+    state, jumps = cut_lineage(pointers), 0
+    while True:
+        far = state.select(F.col("memory_id").alias("target"), F.col("target").alias("further"))
+        jumped = cut_lineage(state.join(far, "target").select("memory_id", F.col("further").alias("target"), (F.col("further") != F.col("target")).alias("moved")))
+        jumps += 1
+        state = jumped.select("memory_id", "target")
+        if jumped.where("moved").isEmpty():
+            return state.withColumnRenamed("target", "root"), jumps
+
+
+def bind_in_order(events: DataFrame, subject_identifiers: DataFrame, rounds: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(event bindings, all subject identifiers) with events taking effect in arrival order.
 
-    Each round settles every event that no unsettled earlier event can influence:
-    for all of its identifiers it is either the earliest unsettled holder, or the
-    identifier is already registered, and registrations never change.  Events of
-    different identifiers settle together, so the number of rounds is the depth
-    of the chain of events that introduce identifiers, not the group size.  The
-    earliest unsettled event is always ready, so every round settles some.
+    An identifier that is not registered yet will be by its earliest unsettled
+    holder, unless that one stays unbound.  As if none did, every event follows
+    the earliest of the events it depends on, and pointer jumping finds the
+    subject at the root of this forest for all events at once.  An event that would then
+    reach several subjects is in doubt.  All that an event without doubt depends
+    on has its own subject, so it is right as long as it comes before the first
+    event in doubt with that subject; an event in doubt is unbound for good once
+    all it depends on is settled, and so is one that depends on no other event.
+    What is settled registers its identifiers, and the rest starts over.
+
+    A chain without doubt takes one round whatever its length, and the earliest
+    unsettled event is always settled.  ``rounds`` gets the jumps of each round.
     """
     rows = cut_lineage(identifier_rows(events))
     registered = cut_lineage(subject_identifiers.select(*KEY, "subject_id"))
-    bound = cut_lineage(rows.limit(0).select("memory_id", F.lit(None).cast("string").alias("subject_id"), F.lit(0).cast("long").alias("subjects")))
+    bound = events.sparkSession.createDataFrame([], "memory_id string, subject_id string, subjects bigint")
     while not rows.isEmpty():
-        state = rows.join(registered, KEY, "left")
-        # Only identifiers that are not registered yet make an event wait.
-        firsts = state.where(F.col("subject_id").isNull()).groupBy(*KEY).agg(F.min("position").alias("first"))
-        ready = (state.join(firsts, KEY, "left").groupBy("memory_id").agg(
-            F.bool_and(F.col("subject_id").isNotNull() | (F.col("position") == F.col("first"))).alias("ready"),
-            F.count_distinct("subject_id").alias("subjects"), F.min("subject_id").alias("known")).where("ready"))
-        settled = cut_lineage(ready.select("memory_id", F.when(F.col("subjects") == 0, new_subject_id(F.col("memory_id")))
-                                           .when(F.col("subjects") == 1, F.col("known")).alias("subject_id"), "subjects"))
+        state = rows.join(registered.withColumnRenamed("subject_id", "held"), KEY, "left")
+        firsts = state.where(F.col("held").isNull()).groupBy(*KEY).agg(F.min("position").alias("first"))
+        asked = cut_lineage(state.join(firsts, KEY, "left").withColumn("parent", F.when(F.col("first") != F.col("position"), F.col("first"))))
+        own = cut_lineage(asked.groupBy("memory_id").agg(F.max("position").alias("position"), F.min("parent").alias("pointer"), F.min("held").alias("known")))
+        roots, jumps = _roots(own.select("memory_id", F.coalesce("pointer.memory_id", "memory_id").alias("target")))
+        if rounds is not None:
+            rounds.append(jumps)
+        at_root = own.where(F.col("pointer").isNull()).select(F.col("memory_id").alias("root"), F.coalesce("known", new_subject_id(F.col("memory_id"))).alias("label"))
+        labels = cut_lineage(roots.join(at_root, "root").select("memory_id", "label"))
+        links = asked.where(F.col("parent").isNotNull()).select("memory_id", F.col("parent.memory_id").alias("parent")).distinct()
+        of_parents = links.join(labels.select(F.col("memory_id").alias("parent"), "label"), "parent")
+        reached = of_parents.select("memory_id", "label").unionByName(asked.where(F.col("held").isNotNull()).select("memory_id", F.col("held").alias("label")))
+        told = reached.groupBy("memory_id").agg(F.count_distinct("label").alias("subjects"))
+        judged = cut_lineage(own.join(labels, "memory_id").join(told, "memory_id", "left").withColumn("subjects", F.coalesce("subjects", F.lit(0).cast("long"))))
+        doubt = judged.where("subjects > 1").groupBy("label").agg(F.min("position").alias("doubtful"))
+        before = F.col("doubtful").isNull() | (F.col("position") < F.col("doubtful"))
+        right = cut_lineage(judged.where("subjects <= 1").join(doubt, "label", "left").where(F.col("pointer").isNull() | before).select("memory_id", F.col("label").alias("subject_id"), "subjects"))
+        waiting = links.join(right.select(F.col("memory_id").alias("parent")), "parent", "left_anti").select("memory_id").distinct()
+        unbound = judged.where("subjects > 1").join(waiting, "memory_id", "left_anti").select("memory_id", F.lit(None).cast("string").alias("subject_id"), "subjects")
+        settled = cut_lineage(right.unionByName(unbound))
         if settled.isEmpty():
             raise RuntimeError("no event can be settled")
         bound = cut_lineage(bound.unionByName(settled))
-        fresh = rows.join(settled.where(F.col("subject_id").isNotNull()).withColumnRenamed("subject_id", "new_id"), "memory_id")
-        added = fresh.join(registered, KEY, "left_anti").select(*KEY, F.col("new_id").alias("subject_id"))
+        added = (asked.where(F.col("held").isNull() & (F.col("first") == F.col("position"))).select("memory_id", *KEY)
+                 .join(right.select("memory_id", "subject_id"), "memory_id").select(*KEY, "subject_id"))
         registered = cut_lineage(registered.unionByName(added))
         rows = cut_lineage(rows.join(settled.select("memory_id"), "memory_id", "left_anti"))
     return bound, registered

@@ -376,6 +376,8 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views}, {body[5:]}"
     return f"WITH {views} {body}"

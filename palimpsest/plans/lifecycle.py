@@ -285,6 +285,34 @@ def _(t):
     return subjects.bind_once(t.records, t.subject_identifiers).select("memory_id", F.coalesce("subject_id", F.lit("")).alias("subject_id"))
 
 
+def given_subjects(t):
+    """Events that name their subject: their own, one of another place of their owner, or one that nobody knows yet."""
+    others = t.subject_identifiers.groupBy("owner_id", "scope").agg(F.min("subject_id").alias("other"))
+    own = t.records.where(c("kind") == "event").join(t.memory_subjects, "memory_id", "left").join(others, ["owner_id", "scope"], "left")
+    e = c("event_id")
+    return own.withColumn("subject_id", F.when(e % 10 == 0, F.concat(F.lit("fresh-"), e)).when(e % 7 == 0, c("other")).otherwise(c("subject_id")))
+
+
+@query("lif15_given_subjects", f"""WITH o AS (SELECT owner_id, scope, min(subject_id) AS other FROM fx_subject_identifiers GROUP BY 1, 2),
+    e AS (SELECT m.memory_id, m.created_at, m.owner_id, m.scope, {S.scope_key('m.')} AS sk, m.ev_refs, CASE WHEN m.event_id % 10 = 0 THEN concat('fresh-', m.event_id) WHEN m.event_id % 7 = 0 THEN o.other ELSE s.subject_id END AS subject_id
+      FROM fx_memories m LEFT JOIN fx_memory_subjects s USING (memory_id) LEFT JOIN o ON o.owner_id = m.owner_id AND o.scope = m.scope WHERE m.kind = 'event'),
+    k AS (SELECT DISTINCT subject_id, owner_id, scope, scope_key FROM fx_subject_identifiers),
+    h AS (SELECT DISTINCT x.memory_id FROM (SELECT *, unnest(ev_refs) AS r FROM e WHERE subject_id IS NOT NULL) x JOIN fx_subject_identifiers i ON i.owner_id = x.owner_id AND i.scope = x.scope AND i.scope_key = x.sk
+      AND i.scheme = x.r.scheme AND i.normalized_value = x.r.normalized_value AND i.subject_id <> x.subject_id),
+    d AS (SELECT e.*, k.subject_id IS NOT NULL AND k.owner_id = e.owner_id AND k.scope = e.scope AS home, k.subject_id IS NOT NULL AS known, k.scope_key <> e.sk AS away, h.memory_id IS NOT NULL AS taken
+      FROM e LEFT JOIN k USING (subject_id) LEFT JOIN h ON h.memory_id = e.memory_id WHERE e.subject_id IS NOT NULL),
+    j AS (SELECT *, home AND away AND scope = 'project' AS moves, CASE WHEN known AND NOT (home AND away AND scope = 'project') AND (NOT home OR away) THEN 'memory subject belongs to another visibility scope'
+      WHEN taken THEN 'event identifier already belongs to another subject' END AS reason FROM d)
+    SELECT 'bound' AS what, memory_id AS id, subject_id AS value FROM j WHERE reason IS NULL UNION ALL SELECT 'rejected', memory_id, reason FROM j WHERE reason IS NOT NULL
+    UNION ALL SELECT 'moved', subject_id, max_by(sk, struct_pack(a := created_at, b := memory_id)) FROM j WHERE reason IS NULL AND moves GROUP BY subject_id""")
+def _(t):
+    """Events with a given subject: bindings, rejects, and subjects that move to another place of their project."""
+    known = t.subject_identifiers.select("subject_id", *subjects.PLACE).distinct()
+    out = subjects.bind_given(given_subjects(t), known, t.subject_identifiers)
+    row = lambda df, what, key, value: df.select(F.lit(what).alias("what"), c(key).alias("id"), c(value).alias("value"))
+    return row(out["bindings"], "bound", "memory_id", "subject_id").unionByName(row(out["rejects"], "rejected", "memory_id", "reason")).unionByName(row(out["moved"], "moved", "subject_id", "scope_key"))
+
+
 @query("lif16_replace_references", """SELECT memory_id, x.scheme AS scheme, CASE WHEN event_id % 2 = 0 THEN x.normalized_value ELSE concat('old-', x.normalized_value) END AS value FROM (SELECT memory_id, event_id, unnest(ev_refs) AS x FROM fx_memories WHERE kind = 'event')""")
 def _(t):
     rows = ids.reference_rows(t.records)
@@ -361,7 +389,20 @@ def _(t):
     return t.memories.select("memory_id", F.array_join(merged, "|").alias("refs"))
 
 
-@query("lif22_backfill_subjects")
+BACKFILL = f"""WITH RECURSIVE e AS (SELECT memory_id, created_at, owner_id, scope, {S.scope_key()} AS sk, list_distinct(list_transform(ev_refs, lambda r: concat(r.scheme, ':', r.normalized_value))) AS ids
+      FROM fx_memories WHERE kind = 'event' AND {LIVE} AND len(ev_refs) > 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY owner_id, scope, sk ORDER BY created_at, memory_id) AS n FROM e),
+    k AS (SELECT owner_id, scope, scope_key AS sk, map_from_entries(list(struct_pack(k := concat(scheme, ':', normalized_value), v := subject_id))) AS reg FROM fx_subject_identifiers GROUP BY 1, 2, 3),
+    p AS (SELECT DISTINCT owner_id, scope, sk FROM o),
+    r AS (SELECT p.owner_id, p.scope, p.sk, CAST(0 AS BIGINT) AS n, coalesce(k.reg, map_from_entries(CAST([] AS STRUCT(k VARCHAR, v VARCHAR)[]))) AS reg, '' AS memory_id, '' AS subject_id FROM p LEFT JOIN k ON k.owner_id = p.owner_id AND k.scope = p.scope AND k.sk = p.sk
+      UNION ALL SELECT x.owner_id, x.scope, x.sk, x.n, CASE WHEN x.s = '' THEN x.reg ELSE map_concat(map_from_entries(list_transform(x.ids, lambda i: struct_pack(k := i, v := x.s))), x.reg) END, x.memory_id, x.s FROM (
+        SELECT y.*, CASE len(y.found) WHEN 0 THEN {S.uuid5("concat('subject:', y.memory_id)")} WHEN 1 THEN y.found[1] ELSE '' END AS s FROM (
+          SELECT o.owner_id, o.scope, o.sk, o.n, o.memory_id, o.ids, r.reg, list_distinct(list_filter(list_transform(o.ids, lambda i: r.reg[i]), lambda v: v IS NOT NULL)) AS found
+          FROM r JOIN o ON o.owner_id = r.owner_id AND o.scope = r.scope AND o.sk = r.sk AND o.n = r.n + 1) y) x)
+    SELECT memory_id, subject_id FROM r WHERE n > 0"""
+
+
+@query("lif22_backfill_subjects", BACKFILL)
 def _(t):
     """Arrival-order binding of all live events that have no subject yet."""
     live = subjects.unbound_live_events(snapshot(t))

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from palimpsest import ext
 from palimpsest.functions import scope as sc
-from palimpsest.operators import context as cx, evidence as ev, graph, jobs, keyed
+from palimpsest.operators import context as cx, evidence as ev, graph, jobs, keyed, lifecycle as lc
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
 from palimpsest.plans.lifecycle import CAPTURE, events_split
 from palimpsest.plans.registry import query
 from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS, NOW_SQL, PROJ
 from palimpsest.session import shared_folder
-from palimpsest.streaming import outbox as ob
+from palimpsest.streaming import outbox as ob, state
 
 c = F.col
 QUEUE_NOW = "2000-01-01 00:00:00"
@@ -135,6 +135,17 @@ def _(t):
     return ext.parse_files(files, make).select("path", c("seq").cast("long").alias("seq"), "content")
 
 
+@query("ext1_paged_parser", """SELECT concat('/in/', g) AS path, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY g ORDER BY page, n) - 1 AS INT) AS seq, content FROM (SELECT *, generate_subscripts(parts, 1) AS n, unnest(parts) AS raw FROM (
+    SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, string_split(coalesce(text, ''), chr(10) || chr(10)) AS parts FROM conversations)), LATERAL (SELECT trim(raw, concat(' ', chr(9), chr(10), chr(13))) AS content) WHERE content <> ''""")
+def _(t):
+    """Paged files, one a conversation with a page a turn, through a table function beside their own columns."""
+    pages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\f")
+    files = t.conversations.groupBy("conv_id").agg(F.encode(pages, "UTF-8").alias("content")).select(F.concat(F.lit("/in/"), "conv_id").alias("path"), "content")
+    parse = ext.parser_table(lambda: ext.form_feed_pages)
+    blocks = files.withColumnRenamed("content", "bytes").lateralJoin(parse(c("path").outer(), c("bytes").outer()))
+    return blocks.select("path", "page", "seq", "content")
+
+
 @query("ext2_encoder", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS first, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS second FROM documents")
 def _(t):
     encode = ext.encoder(lambda: lambda texts: np.array([[len(x), x.count("e"), 0.0] for x in texts]), 2)
@@ -178,11 +189,15 @@ def stream_of(t, name):
 
 
 def files_of(t, df, number):
-    """``df`` as a stream of several files, one a batch, in the order of ``number`` (0, 1, ...)."""
-    path = folder(t)
+    """``df`` as a stream of files in the order of ``number`` (0, 1, ...; null counts as 0), a number's files at once.
+
+    Each number is written by as many tasks as there are cores.
+    """
+    path, number = folder(t), F.coalesce(number, F.lit(0))
+    width = t.spark.sparkContext.defaultParallelism
     for part in range(FILES):
-        df.where(number == part).coalesce(1).write.mode("append").parquet(path)
-    return ob.read_changes(t.spark, path, df.schema, files_per_trigger=1)
+        df.where(number == part).repartition(width).write.mode("append").parquet(path)
+    return ob.read_changes(t.spark, path, df.schema, files_per_trigger=width)
 
 
 FILES = 4
@@ -193,9 +208,9 @@ def finished(t, started, path):
     return t.spark.read.parquet(path)
 
 
-@query("str1_outbox_drain", "SELECT concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) AS memory_id, CASE WHEN l_linestatus = 'F' THEN 'graph' ELSE 'vector' END AS target, CASE WHEN bool_and(m.memory_id IS NULL) THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bool_and(m.memory_id IS NULL) THEN 'no record' ELSE '' END AS error, 1 AS attempts FROM lineitem LEFT JOIN fx_memories m ON m.memory_id = concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) GROUP BY 1, 2")
+@query("str1_outbox_drain", "SELECT concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) AS memory_id, CASE WHEN l_linestatus = 'F' THEN 'graph' ELSE 'vector' END AS target, CASE WHEN bool_and(m.memory_id IS NULL) THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bool_and(m.memory_id IS NULL) THEN 'no record' ELSE '' END AS error, CAST(count(DISTINCT coalesce(l_linenumber % 4, 0)) AS INT) AS attempts FROM lineitem LEFT JOIN fx_memories m ON m.memory_id = concat('mem-', lpad(CAST(l_orderkey AS STRING), 9, '0')) GROUP BY 1, 2")
 def _(t):
-    """Requests for one key come in several batches; the result has one finished job a key."""
+    """Requests for one key come in several batches; the result has one finished job a key, with an attempt for each batch."""
     requests = t.lineitem.select(
         F.concat(F.lit("mem-"), F.lpad(c("l_orderkey").cast("string"), 9, "0")).alias("memory_id"),
         F.when(c("l_linestatus") == "F", "graph").otherwise("vector").alias("target"), c("l_shipdate").cast("timestamp").alias("updated_at"), "l_linenumber")
@@ -204,7 +219,7 @@ def _(t):
     project = lambda taken: taken.join(known, "memory_id", "left").select("job_id", F.when(c("known").isNull(), "no record").alias("failure"))
     out = folder(t)
     ob.drain_jobs(stream, project, out, out + "-checkpoint", "w1", NOW).awaitTermination()
-    return ob.current(t.spark, out, jobs.JOB_KEY).select("memory_id", "target", "status", F.coalesce("error", F.lit("")).alias("error"), c("attempts").cast("int").alias("attempts"))
+    return ob.drained_jobs(t.spark, out).select("memory_id", "target", "status", F.coalesce("error", F.lit("")).alias("error"), "attempts")
 
 
 @query("str2_once_per_turn", "SELECT DISTINCT concat('turn', event_id % 997) AS source_turn_id FROM events")
@@ -217,11 +232,40 @@ def _(t):
 
 @query("str3_expiry", f"SELECT event_id, 'expired' AS status FROM events WHERE event_id % 6 IN (1, 2, 3) AND event_id % 3 = 0 AND ts + INTERVAL 168 HOUR <= {NOW_SQL}")
 def _(t):
+    """Timers at the end of validity fire as the clock of arriving rows moves on; the last tick is NOW."""
     e = c("event_id")
-    rows = stream_of(t, "events").select("event_id", e.cast("string").alias("memory_id"), F.when((e % 6).isin(1, 2, 3), "active").otherwise("candidate").alias("status"),
-                                         F.when(e % 3 == 0, c("ts") + F.make_dt_interval(hours=F.lit(168))).alias("valid_to"))
+    rows = t.events.where(c("ts") <= F.lit(NOW).cast("timestamp")).select(
+        e.cast("string").alias("memory_id"), F.when((e % 6).isin(1, 2, 3), "active").otherwise("candidate").alias("status"),
+        F.when(e % 3 == 0, c("ts") + F.make_dt_interval(hours=F.lit(168))).alias("valid_to"), c("ts").cast("timestamp").alias("at"))
+    tick = t.spark.range(1).select(F.lit(None).cast("string").alias("memory_id"), F.lit("tick").alias("status"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit(NOW).cast("timestamp").alias("at"))
+    begin, end = (f"TIMESTAMP '{when}'" for when in ("2024-01-01 00:00:00", NOW))
+    number = F.least(F.lit(FILES - 1), F.greatest(F.lit(0), F.floor((F.unix_timestamp("at") - F.unix_timestamp(F.expr(begin))) * (FILES - 1) / (F.unix_timestamp(F.expr(end)) - F.unix_timestamp(F.expr(begin))))))
     out = folder(t)
-    return finished(t, ob.run(rows, ob.expire_batches(NOW, out), out + "-checkpoint"), out).select("event_id", "status")
+    stream = files_of(t, rows.unionByName(tick), number)
+    fired = finished(t, ob.run(state.expire_on_time(stream), ob.into_folder(out), out + "-checkpoint"), out)
+    return fired.select(c("memory_id").cast("long").alias("event_id"), "status")
+
+
+@query("str3_expiry_loop", f"SELECT event_id, CAST(tick AS INT) AS tick FROM (SELECT event_id, min(CASE WHEN tick = 1 THEN 2 ELSE tick END) AS tick FROM events JOIN (SELECT unnest([0, 1, 2, 3]) AS tick) ON ts + INTERVAL 168 HOUR <= {NOW_SQL} + to_days(2 * tick) GROUP BY 1)")
+def _(t):
+    """Four ticks of the periodic sweep; the second sweep fails, and what it would have expired is expired by the third."""
+    out, done = folder(t), []
+    ticks = t.spark.range(FILES).select("id", (F.lit(NOW).cast("timestamp") + F.make_dt_interval(days=(c("id") * 2).cast("int"))).alias("timestamp"))
+    rows = t.events.select(c("event_id"), c("event_id").cast("string").alias("memory_id"), F.lit("active").alias("status"), (c("ts") + F.make_dt_interval(hours=F.lit(168))).alias("valid_to"))
+
+    def sweep(now):
+        done.append(now)
+        number = len(done) - 1
+        if number == 1:
+            raise RuntimeError("the projection store is away")
+        earlier = t.spark.read.parquet(*[f"{out}/tick={n}" for n in range(number) if n != 1]).select("event_id") if number else rows.select("event_id").limit(0)
+        lc.expire_due(rows.join(earlier, "event_id", "left_anti"), now).records.select("event_id").write.mode("overwrite").parquet(f"{out}/tick={number}")
+
+    path = folder(t)
+    for n in range(FILES):
+        ticks.where(c("id") == n).drop("id").coalesce(1).write.mode("append").parquet(path)
+    ob.expiry_loop(ob.read_changes(t.spark, path, ticks.drop("id").schema, files_per_trigger=1), sweep, out + "-checkpoint", seconds=None).awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", c("tick").cast("int").alias("tick"))
 
 
 @query("str4_capture", f"WITH {CAPTURE} SELECT memory_id, outcome, existing FROM cap")

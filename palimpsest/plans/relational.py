@@ -16,6 +16,8 @@ from palimpsest.plans.fixtures import NOW
 from palimpsest.plans.registry import query
 from palimpsest.session import shared_folder
 from palimpsest.sources import readers
+from palimpsest.sources.partitioned import KeyedTable
+from palimpsest.streaming import outbox as ob
 
 c = F.col
 NOW_SQL = f"TIMESTAMP '{NOW}'"
@@ -62,6 +64,27 @@ def _(t):
         rejects.select("path", F.lit("").alias("asset_id"), c("extension").alias("kind")))
 
 
+@query("src3_file_arrival", """WITH g AS (SELECT doc_id // 16 AS g, concat(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), chr(10)) AS content FROM documents GROUP BY 1),
+    a AS (SELECT sha256(content) AS asset_id, octet_length(encode(content)) AS bytes, count(*) AS files FROM g GROUP BY 1, 2)
+    SELECT asset_id, CAST(bytes AS BIGINT) AS bytes FROM a""")
+def _(t):
+    """Files that arrive in two batches, half of them again under another name in the second; each content is one asset."""
+    path = f"{shared_folder(t.spark)}/uploads-{uuid.uuid4().hex}"
+    lines = t.documents.select(F.floor(c("doc_id") / 16).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+
+    def put(rows, batch):
+        dealt = rows.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id")
+        dealt.write.partitionBy("file").text(f"{path}/in/batch={batch}")
+
+    put(lines.where(c("file") % 2 == 0), 0)
+    put(lines, 1)
+    # Spark names its text files .txt, an extension that uploads do not have
+    files = readers.read_arrivals(t.spark, f"{path}/in", 1000).where(c("path").endswith(".txt"))
+    named = files.withColumn("path", F.concat("path", F.lit(".pdf")))
+    ob.run(readers.arriving_assets(named).select("asset_id", "length"), ob.into_folder(f"{path}/out"), f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select("asset_id", c("length").alias("bytes"))
+
+
 @query("src4_delimited_rows", """SELECT c_custkey, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 7 <> 0""")
 def _(t):
     """Delimited files with a header and some rows without any value, written and read back."""
@@ -134,11 +157,14 @@ def memory_delta(t):
                                 "kind": F.lit("event"), "valid_to": F.lit(None).cast("timestamp")})
 
 
-@query("snk1_upsert_memories", f"""WITH d AS (SELECT CASE WHEN event_id % 2 = 0 THEN memory_id ELSE concat('new-', memory_id) END AS memory_id
+UPSERTED = f"""WITH d AS (SELECT CASE WHEN event_id % 2 = 0 THEN memory_id ELSE concat('new-', memory_id) END AS memory_id
       FROM fx_memories WHERE event_id % 3 = 0)
     SELECT coalesce(m.memory_id, d.memory_id) AS memory_id, CASE WHEN d.memory_id IS NOT NULL THEN 'active' ELSE m.status END AS status,
       round(CASE WHEN d.memory_id IS NOT NULL THEN 1.0 ELSE m.confidence END, 6) AS confidence, coalesce(m.kind, 'event') AS kind,
-      d.memory_id IS NULL AND m.valid_to IS NOT NULL AS bounded FROM fx_memories m FULL JOIN d ON d.memory_id = m.memory_id""")
+      d.memory_id IS NULL AND m.valid_to IS NOT NULL AS bounded FROM fx_memories m FULL JOIN d ON d.memory_id = m.memory_id"""
+
+
+@query("snk1_upsert_memories", UPSERTED)
 def _(t):
     delta = memory_delta(t)
     # older rows for some of the same keys, which the newer ones override
@@ -148,6 +174,15 @@ def _(t):
                       c("valid_to").isNotNull().alias("bounded"))
 
 
+@query("snk1_partitioned_upsert", UPSERTED)
+def _(t):
+    """The same upsert into a snapshot dealt to folders by key; only the folders of the delta's keys are read and replaced."""
+    table = KeyedTable(t.spark, f"{shared_folder(t.spark)}/memories-{uuid.uuid4().hex}", ["memory_id"])
+    table.create(t.memories)
+    table.apply(memory_delta(t), keyed.upsert_memories)
+    return table.read().select("memory_id", "status", F.round("confidence", 6).alias("confidence"), "kind", c("valid_to").isNotNull().alias("bounded"))
+
+
 @query("snk2_audit_and_jobs", """WITH d AS (SELECT CASE WHEN event_id % 2 = 0 THEN memory_id ELSE concat('new-', memory_id) END AS memory_id FROM fx_memories WHERE event_id % 3 = 0)
     SELECT memory_id, 'audit' AS out, 'updated' AS what FROM d UNION ALL SELECT memory_id, 'job', unnest(['vector', 'graph']) FROM d""")
 def _(t):

@@ -48,10 +48,28 @@ def identify_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     allowed = F.col("extension").isin(C.UPLOAD_EXTENSIONS)
     assets = named.where(allowed).select(
         keys.content_id(F.col("content")).alias("asset_id"), "path", file_name(F.col("path")).alias("filename"),
-        F.col("extension").alias("modality"))
+        F.col("extension").alias("modality"), *[F.col(name) for name in ("length",) if name in files.columns])
     return assets, named.where(~allowed).select("path", "extension")
 
 
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_arrivals(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Uploaded files as they arrive in a folder, with their bytes."""
+    return (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("maxFilesPerTrigger", files_per_trigger)
+            .option("recursiveFileLookup", True).load(path))
+
+
+def arriving_assets(files: DataFrame) -> DataFrame:
+    """Assets of a stream of files, each content once however often and under whatever name it arrives.
+
+    The state keeps one row an asset, never a content.
+    """
+    lengths = files.select("path", "length", "content")
+    return identify_files(lengths)[0].dropDuplicates(["asset_id"])
+
+
 def dispatch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files with the parser that reads them, files nothing reads)."""
     parser = F.create_map(*[F.lit(x) for pair in C.PARSER_BY_EXTENSION.items() for x in pair])
