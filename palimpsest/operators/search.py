@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest import constants as C
 from palimpsest.functions import text as tx
-from palimpsest.operators.ordered import top_per
+from palimpsest.operators.ordered import explode_computed, top_per
+from palimpsest.session import spread
 
 # Bytes and rows of a bucket and queries of a part, about; rows of a block; results a task holds before it lets them go.
 BUCKET_BYTES = 4 << 20
@@ -80,10 +81,10 @@ class _DenseBucket:
     positive = False
 
     def __init__(self, queries: pd.DataFrame):
-        self.queries = _unit(queries["vector"])
+        self.names, self.queries = queries["query_id"].to_numpy(), _unit(queries["vector"])
 
     def load(self, rows: pd.DataFrame, most: int) -> list[np.ndarray]:
-        self.rows, self.most = _unit(rows["vector"]), most
+        self.ids, self.rows, self.most = rows["id"].to_numpy(), _unit(rows["vector"]), most
         count = -(-len(rows) // self.most)
         pivots = self.rows[np.linspace(0, len(rows) - 1, count).astype(np.int64)]
         near = self.rows @ pivots.T
@@ -109,33 +110,28 @@ class _SparseBucket:
     positive = True
 
     def __init__(self, queries: pd.DataFrame):
-        terms, owners, weights = self._postings(queries)
-        self.terms, column = np.unique(terms, return_inverse=True)
-        self.queries = np.zeros((len(queries), len(self.terms)))
-        self.queries[owners, column] = weights
-
-    @staticmethod
-    def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = [len(t) for t in rows["terms"]]
-        join = lambda name, kind: np.concatenate([np.asarray(x, dtype=kind) for x in rows[name]]) if sum(sizes) else np.zeros(0, kind)
-        return join("terms", np.int64), np.repeat(np.arange(len(sizes)), sizes), join("weights", np.float64)
+        self.names, owners = np.unique(queries["query_id"].to_numpy(), return_inverse=True)
+        self.terms, column = np.unique(queries["term"].to_numpy(), return_inverse=True)
+        self.queries = np.zeros((len(self.names), len(self.terms)))
+        self.queries[owners, column] = queries["weight"].to_numpy()
 
     def load(self, rows: pd.DataFrame, most: int) -> list[np.ndarray]:
         self.most = most
-        terms, owners, weights = self._postings(rows)
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        self.column, self.owner, self.weight = at[hit], owners[hit], weights[hit]
+        self.ids, owner = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        weight, count = rows["weight"].to_numpy(), len(self.ids)
+        column = np.searchsorted(self.terms, rows["term"].to_numpy())
+        hit = (column < len(self.terms)) & (self.terms[np.minimum(column, len(self.terms) - 1)] == rows["term"].to_numpy())
+        owner, weight, column = owner[hit], weight[hit], column[hit]
         # the heaviest documents first: they set the floor that the others have to reach
-        order = np.argsort(-np.bincount(self.owner, self.weight, len(rows)), kind="stable")
-        place = np.empty(len(rows), np.int64)
-        place[order] = np.arange(len(rows))
-        by_place = np.argsort(place[self.owner], kind="stable")
-        self.column, self.place, self.weight = self.column[by_place], place[self.owner][by_place], self.weight[by_place]
-        blocks = np.split(order, range(self.most, len(order), self.most))
-        self.cuts = np.searchsorted(self.place, np.arange(len(blocks) + 1) * self.most)
+        order = np.argsort(-np.bincount(owner, weight, count), kind="stable")
+        place = np.empty(count, np.int64)
+        place[order] = np.arange(count)
+        by_place = np.argsort(place[owner], kind="stable")
+        self.column, self.place, self.weight = column[by_place], place[owner][by_place], weight[by_place]
+        blocks = np.split(order, range(most, count, most))
+        self.cuts = np.searchsorted(self.place, np.arange(len(blocks) + 1) * most)
         peaks = np.zeros((len(blocks), len(self.terms)))
-        np.maximum.at(peaks, (self.place // self.most, self.column), self.weight)
+        np.maximum.at(peaks, (self.place // most, self.column), self.weight)
         self.bounds = self.queries @ peaks.T
         self.number = {int(b[0]): n for n, b in enumerate(blocks)}
         return blocks
@@ -151,7 +147,8 @@ class _SparseBucket:
 
 def _bucket_best(bucket, rows: pd.DataFrame, k: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
     """(query, row, score) of the best ``k`` rows of each query, and the pairs of a query and a block that were read, and all."""
-    blocks, ids = bucket.load(rows, block_rows), rows["id"].to_numpy()
+    blocks = bucket.load(rows, block_rows)
+    ids = bucket.ids
     rank = np.empty(len(ids), np.int64)
     rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
     count = len(bucket.queries)
@@ -222,11 +219,15 @@ def _runs(values: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(changed)]))
 
 
-def _met(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column) -> DataFrame:
+def _sizes(corpus: DataFrame, width: Column) -> DataFrame:
+    """Buckets of each place, from the bytes of what is stored there."""
+    return corpus.groupBy("place").agg(F.greatest(F.ceil(F.sum(width) / BUCKET_BYTES), F.ceil(F.count("*") / BUCKET_ROWS), F.lit(1)).cast("int").alias("buckets"))
+
+
+def _met(queries: DataFrame, corpus: DataFrame, vector: list[str], sizes: DataFrame) -> DataFrame:
     """Both sides in one stream: for each (place, part, bucket) its queries, then its documents by collection."""
     id_type = corpus.schema["id"].dataType
-    sizes = corpus.groupBy("place").agg(F.greatest(F.ceil(F.sum(width) / BUCKET_BYTES), F.ceil(F.count("*") / BUCKET_ROWS), F.lit(1)).cast("int").alias("buckets"))
-    parts = queries.groupBy("place").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
+    parts = queries.groupBy("place").agg(F.ceil(F.count_distinct("query_id") / QUERY_ROWS).cast("int").alias("parts"))
     met = sizes.join(parts, "place")
     upto = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     q = queries.select("place", "query_id", *vector).join(met, "place").withColumns({"part": F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"), "bucket": upto("buckets")})
@@ -238,7 +239,7 @@ def _met(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column
 
 
 def _buckets(batches: Iterator[pd.DataFrame], kind) -> Iterator[tuple]:
-    """``(query ids, bucket, collection, its rows)`` of a stream of :func:`_met`; a bucket's rows are bounded."""
+    """``(bucket, collection, its rows)`` of a stream of :func:`_met`; a bucket's rows are bounded."""
     columns = ("place", "part", "bucket", "side", "collection")
     here, asked, ready, held, collection = None, [], None, [], None
 
@@ -247,8 +248,8 @@ def _buckets(batches: Iterator[pd.DataFrame], kind) -> Iterator[tuple]:
         if held and asked:
             if ready is None:
                 rows = pd.concat(asked, ignore_index=True)
-                ready = (rows["query_id"].to_numpy(), kind(rows))
-            yield ready[0], ready[1], collection, pd.concat(held, ignore_index=True)
+                ready = kind(rows)
+            yield ready, collection, pd.concat(held, ignore_index=True)
         held = []
 
     for batch in batches:
@@ -266,16 +267,16 @@ def _buckets(batches: Iterator[pd.DataFrame], kind) -> Iterator[tuple]:
     yield from flush()
 
 
-def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column, kind, k: int, order_name: str) -> DataFrame:
+def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], sizes: DataFrame, kind, k: int, order_name: str) -> DataFrame:
     id_type, block_rows, most_held = corpus.schema["id"].dataType, BLOCK_ROWS, HELD_RESULTS
     schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("collection", T.StringType()),
                            T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
 
     def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(k)
-        for names, bucket, collection, rows in _buckets(batches, kind):
+        for bucket, collection, rows in _buckets(batches, kind):
             query, row, score, _, _ = _bucket_best(bucket, rows, k, block_rows)
-            ids = rows["id"].to_numpy()
+            names, ids = bucket.names, bucket.ids
             ids = ids if id_type == T.StringType() else ids.astype(np.int64)
             cuts = np.flatnonzero(np.diff(query)) + 1
             for part in np.split(np.arange(len(query)), cuts):
@@ -285,28 +286,28 @@ def _top(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column
                 yield from best.frames()
         yield from best.frames()
 
-    found = _met(queries, corpus, vector, width).mapInPandas(best_of_task, schema)
+    found = _met(queries, corpus, vector, sizes).mapInPandas(best_of_task, schema)
     # The same row can be visible from two places of one query.
     once = found.groupBy("query_id", "collection", "id").agg(F.max("score").alias("score"))
     return top_per(once, ["query_id", "collection"], [F.col("score").desc(), F.col("id")], k, order_name)
 
 
-def _shares(queries: DataFrame, corpus: DataFrame, vector: list[str], width: Column, kind, k: int) -> DataFrame:
+def _shares(queries: DataFrame, corpus: DataFrame, vector: list[str], sizes: DataFrame, kind, k: int) -> DataFrame:
     block_rows = BLOCK_ROWS
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = every = 0
-        for _, bucket, _, rows in _buckets(batches, kind):
+        for bucket, _, rows in _buckets(batches, kind):
             own = _bucket_best(bucket, rows, k, block_rows)
             read, every = read + own[3], every + own[4]
         yield pd.DataFrame({"blocks_read": [read], "blocks": [every]})
 
-    return _met(queries, corpus, vector, width).mapInPandas(counted, "blocks_read bigint, blocks bigint").agg(F.sum("blocks_read").alias("blocks_read"), F.sum("blocks").alias("blocks"))
+    return _met(queries, corpus, vector, sizes).mapInPandas(counted, "blocks_read bigint, blocks bigint").agg(F.sum("blocks_read").alias("blocks_read"), F.sum("blocks").alias("blocks"))
 
 
 def _dense(queries: DataFrame, corpus: DataFrame) -> tuple:
     has = F.col("vector").isNotNull()
-    return queries.where(has), corpus.where(has), ["vector"], F.size("vector") * 4, _DenseBucket
+    return queries.where(has), corpus.where(has), ["vector"], _sizes(corpus.where(has), F.size("vector") * 4), _DenseBucket
 
 
 def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -318,22 +319,23 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 def _sparse(queries: DataFrame, corpus: DataFrame, k1: float | None, b: float, mean_terms: float | None) -> tuple:
-    """Both sides with the terms of their place's queries only, as 64-bit hashes.
+    """Postings of both sides, only those of terms that the place's queries have, as 64-bit hashes.
 
     The join that drops all other terms compares the terms themselves; two terms of
     one place's queries would have to share a hash to be taken for each other.
     """
-    number = lambda df: df.withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
-    asked = encode_terms(queries, "text", k1, b, mean_terms)
-    wanted = asked.select("place", F.explode("terms").alias("term")).distinct()
-    postings = (encode_terms(corpus, "text", k1, b, mean_terms).select("place", "collection", "id", F.explode(F.arrays_zip("terms", "weights")).alias("p"))
-                .select("place", "collection", "id", F.col("p.terms").alias("term"), F.col("p.weights").alias("weight")))
+    def postings(df: DataFrame, key: list[str]) -> DataFrame:
+        encoded = encode_terms(df, "text", k1, b, mean_terms)
+        return explode_computed(encoded, key, F.arrays_zip("terms", "weights"), "n", "p").select(*key, F.col("p.terms").alias("term"), F.col("p.weights").alias("weight"))
+
+    asked = postings(queries, ["place", "query_id"])
+    wanted = asked.select("place", "term").distinct()
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    kept = postings.join(wanted, ["place", "term"], "left_semi")
-    packed = (kept.groupBy("place", "collection", "id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight")).alias("p"))
-              .select("place", "collection", "id", F.col("p.t").alias("terms"), F.col("p.weight").alias("weights")))
-    return number(asked), packed, ["terms", "weights"], F.size("terms") * 16, _SparseBucket
+    hashed = lambda df, key: df.select(*key, F.xxhash64("term").alias("term"), "weight")
+    own = ["place", "collection", "id"]
+    kept = hashed(postings(spread(corpus), own).join(wanted, ["place", "term"], "left_semi"), own)
+    return hashed(asked, ["place", "query_id"]), kept, ["term", "weight"], _sizes(corpus, F.octet_length("text")), _SparseBucket
 
 
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float | None = None, b: float = 0.75, mean_terms: float | None = None) -> DataFrame:
