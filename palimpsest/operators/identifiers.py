@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.functions import keys, payload as pl, scope as sc, text as tx
 from palimpsest.operators.ordered import top_per
 from palimpsest.operators.skew import salted_join
+from palimpsest.session import cut_lineage
 
 STAGE_DIRECT, STAGE_ALIAS, STAGE_LEGACY = 1, 2, 3
 
@@ -68,7 +69,8 @@ def matches(asked: DataFrame, index: DataFrame) -> DataFrame:
 
     An identifier that a large share of the memories holds is split over several tasks.
     """
-    hit = salted_join(asked.distinct(), index, ["place", "scheme", "normalized_value"], "memory_id")
+    # the sketch of the identifiers and the join both read the index, which is made once
+    hit = salted_join(asked.distinct(), cut_lineage(index), ["place", "scheme", "normalized_value"], "memory_id")
     return hit.groupBy("query_id", "memory_id", "stage").agg(
         F.count_distinct("normalized_value").alias("match_count"), F.max("updated_at").alias("updated_at"))
 

