@@ -9,40 +9,48 @@ into sequences whose lengths are powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_text, dealt, grouped, prepare, text_buffer
+from palimpsest.llm.common import as_text, grouped, pieces, prepare, text_buffer
 
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a shard, about; the number of shards follows from the bytes of the whole table.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 24 << 20
+#: Tasks at most; with more shards a task packs several, one after another.
+MOST_TASKS = 1 << 16
 #: Terms a seed asks with, the rarest first; None: all that another document holds.
 QUERY_TERMS = None
 #: Terms that more than one in so many documents hold have a dense row of weights.
 DENSE = 4
+#: Best neighbours that are sorted first; more are sorted when these do not fill the window.
+FIRST = 64
 K1, B = 1.2, 0.75
-#: Words whose ids a worker keeps; more are forgotten and encoded again.
-KEPT_WORDS = 350_000
-# printable ASCII and the bytes of the letters from U+00C0 to U+023F, which are their own composed form
-_PLAIN_BYTES = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
-_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 1 << 20
+# white space, printable ASCII and the bytes of the letters from U+00C0 to U+023F, which are their own composed form
+_PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+# runs of such texts in lower case (letters reach to U+02AF then, and two lie beyond), and the line feeds between texts
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u02af\u2c65\u2c66]+|[0-9]|(?:[^\\w\\s]|_)+|\n")
+_END_OF_RUN = "</w>"
 
 
-def _byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others are numbered on from 256."""
+def _byte_letters() -> dict[str, int]:
+    """The byte of each letter of the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others are numbered on from 256."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = (b for b in range(256) if b not in plain)
-    return {b: 256 + n for n, b in enumerate(others)}
+    return {**{chr(b): b for b in plain}, **{chr(256 + n): b for n, b in enumerate(others)}}
 
 
-_BYTE_LETTERS = _byte_letters()
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -55,64 +63,78 @@ class WordEncoder:
     """Ids of a text by the public word tokenizer, exactly as ``tokenizers`` gives them for the whole text.
 
     That tokenizer drops white space, lower-cases, splits words into runs of letters, single digits and runs of other signs, and
-    encodes each alone, so ids are kept by word and by run.  It is asked for a run when the run is first seen.  Words beyond
-    plain Latin letters go to the whole tokenizer, and so do texts that hold a special token's string and, with another tokenizer
-    that does not work like this, all texts.
+    encodes each alone.  Runs of plain Latin texts are encoded by ranks of byte strings, many texts at once: a run ends in a space, and last byte and space form the first merge, as the end-of-word mark does.  Merging
+    by the rank of the joined string equals merging by listed pairs if a token's own string encodes to it, since merges inside a token's span
+    depend on that span only; tokens that do not encode to themselves are never made and have no rank.  In other texts the words beyond
+    plain Latin letters go to the whole tokenizer.  Texts that hold a special token's string go there whole and, with another tokenizer
+    that does not work like this, all texts do.  Nothing is kept from one call to the next.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            self.ranked = self._ranks(json.load(file)["model"])
         probe = "One two's, three.\n\té ÀSS ß1_2! don't 42% ñ***x".encode()
-        self.by_word = self.whole(probe) == self.split(probe)
+        self.by_word = self.ranked is not None and self.whole(probe) == self.ranked_ids([probe])[0]
+
+    def _ranks(self, model: dict):
+        """(ranked encoder, id of each rank, rank of a line feed's run), or None where the model is of another kind."""
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != _END_OF_RUN or model.get("continuing_subword_prefix"):
+            return None
+        from tokenizers.models import BPE
+        letters, vocabulary = _byte_letters(), model["vocab"]
+
+        def raw(token: str) -> bytes:
+            ends = token.endswith(_END_OF_RUN)
+            return bytes([letters[c] for c in (token[:-len(_END_OF_RUN)] if ends else token)]) + (b" " if ends else b"")
+
+        firsts = [c + end for end in ("", _END_OF_RUN) for c in letters]
+        if any(token not in vocabulary for token in firsts):
+            return None
+        ids = {raw(token): vocabulary[token] for token in firsts}
+        pairs = [tuple(pair if isinstance(pair, list) else pair.split(" ")) for pair in model["merges"]]
+        open_ended = BPE(vocab=vocabulary, merges=pairs)  # without an end mark
+        for token in map("".join, pairs):
+            ends = token.endswith(_END_OF_RUN)
+            own = self.tokenizer.model.tokenize(token.removesuffix(_END_OF_RUN)) if ends else open_ended.tokenize(token)
+            if [t.id for t in own] == [vocabulary[token]]:
+                ids.setdefault(raw(token), vocabulary[token])
+        ranks = {token: rank for rank, token in enumerate(ids)}
+        core = tiktoken.Encoding("runs", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        return core, np.fromiter(ids.values(), "<u4", len(ids)), ranks[b"\n "]
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def run(self, text: str) -> bytes:
-        # the byte-level alphabet writes the bytes of other than ASCII characters as letters of its own
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text)])
-
-    def word(self, word: bytes) -> bytes:
-        if word.translate(None, _PLAIN_BYTES):
-            return self.whole(word)
-        low, runs, out = word.decode().lower(), self.runs, []
-        if low.isalpha():
-            parts = (low,)
-        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-            parts = (low[:-1], low[-1])
-        else:
-            parts = _RUNS.findall(low)
-        for run in parts:
-            if (found := runs.get(run)) is None:
-                if len(runs) >= KEPT_WORDS:
-                    runs.clear()
-                found = runs[run] = self.run(run)
-            out.append(found)
-        return b"".join(out)
-
-    def split(self, text: bytes) -> bytes:
+    def ranked_ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of plain Latin texts."""
+        core, ids, line = self.ranked
+        blob = b"\n".join([t.replace(b"\n", b" ") for t in texts] + [b""]).decode().lower()
+        found = np.array(core.encode_ordinary(" ".join(_RUNS.findall(blob)) + " "), np.int64)
+        ends = np.flatnonzero(found == line) * 4
+        data = ids[found].tobytes()
+        return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+
+    def mixed(self, text: bytes) -> bytes:
+        """Ids of a text with other characters, each distinct word encoded once."""
         words = text.split()  # of bytes: at 0x20 and 0x09-0x0D only
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                        return b"".join([self.word(w) for w in words])
-                    known[word] = self.word(word)
-            return b"".join(map(known.__getitem__, words))
+        distinct = set(words)
+        plain = [w for w in distinct if not w.translate(None, _PLAIN_BYTES)]
+        own = dict(zip(plain, self.ranked_ids(plain))) if plain else {}
+        own.update((w, self.whole(w)) for w in distinct if w not in own)
+        return b"".join(map(own.__getitem__, words))
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        cut = [self.by_word and not any(s in t for s in self.special) for t in texts]
+        plain = [n for n, t in enumerate(texts) if cut[n] and not t.translate(None, _PLAIN_BYTES)]
+        ranked = dict(zip(plain, self.ranked_ids([texts[n] for n in plain]))) if plain else {}
+        return [ranked[n] if n in ranked else self.mixed(t) if cut[n] else self.whole(t) for n, t in enumerate(texts)]
 
     def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        return self.split(text) if self.by_word and not any(s in text for s in self.special) else self.whole(text)
+        return self.many([text])[0]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -143,48 +165,82 @@ class Index:
         self.held = held
         count = count[order].astype(np.float32)
         norm = (K1 * (1 - B + B * sizes / average)).astype(np.float32)
-        self.weight = count * np.float32(K1 + 1) / (count + norm[self.owner])
+        self.weight = count * np.float32(K1 + 1) / (count + norm[self.owner]) * np.repeat(self.rarity, held)
         common = np.flatnonzero(held * DENSE > max(len(docs), 64))
         self.row = np.full(len(held), -1, np.int64)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), len(docs)), np.float32)
         for row, t in zip(self.dense, common):
             span = slice(self.starts[t], self.starts[t + 1])
-            row[self.owner[span]] = self.weight[span] * self.rarity[t]
+            row[self.owner[span]] = self.weight[span]
 
-    def neighbours(self, number: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best score over all of its terms first, then by position."""
+    def scores(self, number: int, size: int) -> np.ndarray | None:
+        """BM25 of all documents for all terms of the seed that another document holds."""
         terms = self.own[number]
         terms = terms[self.held[terms] > 1]  # the others are the seed's alone
         if QUERY_TERMS is not None and len(terms) > QUERY_TERMS:
             terms = terms[np.lexsort((terms, self.held[terms]))[:QUERY_TERMS]]
         if not len(terms):
-            return np.zeros(0, np.int64)
+            return None
         rows = self.row[terms]
-        total = self.dense.take(rows[rows >= 0], 0).sum(0, dtype=np.float64)
-        spans = [(slice(self.starts[t], self.starts[t + 1]), self.rarity[t]) for t in terms[rows < 0]]
-        if spans:
-            total += np.bincount(np.concatenate([self.owner[s] for s, _ in spans]), np.concatenate([self.weight[s] * r for s, r in spans]), len(used))
+        asked = np.zeros(len(self.dense), np.float32)
+        asked[rows[rows >= 0]] = 1
+        total = (asked @ self.dense).astype(np.float64)
+        terms = terms[rows < 0]
+        if len(terms):
+            held = self.held[terms]
+            shift = np.cumsum(held) - held
+            place = np.repeat(self.starts[terms] - shift, held) + np.arange(int(held.sum()))
+            total += np.bincount(self.owner[place], self.weight[place], size)
+        return total
+
+    def neighbours(self, number: int, used: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best score over all of its terms first, then by position."""
+        total = self.scores(number, len(used))
+        if total is None:
+            return
         found = np.flatnonzero((total > 0) & ~used)
-        return found[np.argsort(-total[found], kind="stable")]
+        value = total[found]
+        if len(found) > FIRST:
+            least = np.partition(value, len(found) - FIRST)[len(found) - FIRST]
+            best = np.flatnonzero(value >= least)
+            yield from found[best[np.argsort(-value[best], kind="stable")]].tolist()
+            found, value = found[value < least], value[value < least]
+        yield from found[np.argsort(-value, kind="stable")].tolist()
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` that hold every id of ``docs`` once.
 
-    All sequences have ``window`` ids but the last ones, whose lengths are powers of two.
+    All sequences have ``window`` ids but the last ones, whose lengths are powers of two.  Documents with equal ids come into different
+    sequences while others are left.
     """
     index, used = Index(docs), np.zeros(len(docs), bool)
     left, sequence, filled = int(sum(len(d) for d in docs)), 0, 0
     room = min(window, 1 << (left.bit_length() - 1)) if left else 0
     queue: list[tuple[int, int]] = []
-    next_seed = 0
+    content = [hashlib.blake2b(d.tobytes(), digest_size=16).digest() for d in docs]
+    waiting: dict[bytes, list[int]] = {}
+    for number in range(len(docs) - 1, -1, -1):
+        waiting.setdefault(content[number], []).append(number)
+    waiting = dict(reversed(waiting.items()))  # groups of equal documents, each in its order from the end
+    inside: set[bytes] = set()
+
+    def take(number: int) -> tuple[int, int]:
+        key = content[number]
+        used[number] = True
+        inside.add(key)
+        own = waiting[key]
+        while own and used[own[-1]]:
+            own.pop()
+        if not own:
+            del waiting[key]
+        return number, 0
+
     while left:
         if not queue:
-            while used[next_seed]:
-                next_seed += 1
-            queue = [(next_seed, 0)]
-            used[next_seed] = True
+            key = next((k for k in waiting if k not in inside), None) or next(iter(waiting))
+            queue = [take(waiting[key][-1])]
         number, start = queue.pop()
         taken = min(len(docs[number]) - start, room - filled)
         yield number, start, taken, sequence, filled
@@ -194,11 +250,13 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, in
         if filled == room:
             sequence, filled = sequence + 1, 0
             room = min(window, 1 << (left.bit_length() - 1)) if left else 0
+            inside = {content[n] for n, _ in queue}
         elif not queue:
             need, chosen = room - filled, []
             for other in index.neighbours(seed, used):
-                chosen.append((int(other), 0))
-                used[other] = True
+                if content[other] in inside:
+                    continue
+                chosen.append(take(other))
                 need -= len(docs[other])
                 if need <= 0:
                     break
@@ -215,10 +273,11 @@ def _pack_task(path: str, window: int, end_id: int):
             ids, docs, kind = [], [], None
             for batch in stream:
                 kind = batch.schema.field("id").type
-                ids += batch.column("id").to_pylist()
-                data, bounds = text_buffer(batch.column("text"))
-                data, bounds = data.tobytes(), bounds.tolist()
-                docs += [np.frombuffer(encode.ids(data[a:b]) + end, "<u4") for a, b in zip(bounds, bounds[1:])]
+                for part in pieces(iter([batch]), "text", ENCODED_BYTES):
+                    ids += part.column("id").to_pylist()
+                    data, bounds = text_buffer(part.column("text"))
+                    data, bounds = data.tobytes(), bounds.tolist()
+                    docs += [np.frombuffer(x + end, "<u4") for x in encode.many([data[a:b] for a, b in zip(bounds, bounds[1:])])]
             rows = list(pack(docs, window))
             for first in range(0, len(rows), 10_000):
                 part = rows[first:first + 10_000]
@@ -248,7 +307,10 @@ def retrieval_packs(df: DataFrame, id_column: str = "doc_id", text_column: str =
     shards = max(1, -(-size // shard_bytes))
     place = F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards))
     order = F.xxhash64("id", "text")
-    return (dealt(rows.withColumns({"shard": place, "order": order}), shards, "shard", order=("order", "id")).drop("order")
+    shard = rows.withColumns({"shard": place, "order": order})
+    # a task takes whole shards, and all tasks alike many
+    tasks = min(shards, MOST_TASKS)
+    return (shard.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "order", "id").drop("order")
             .mapInArrow(_pack_task(tokenizer or default_tokenizer(), window, end_id), _PIECE.format(kind=kind)))
 
 

@@ -20,11 +20,24 @@ def test_ids_are_the_tokenizers_own(encoder):
         assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-def test_forgetting_words_changes_nothing(encoder, monkeypatch):
-    monkeypatch.setattr(P, "KEPT_WORDS", 3)
-    small = P.WordEncoder(P.default_tokenizer())
-    for text in TEXTS * 2:
-        assert small.ids(text.encode()) == encoder.ids(text.encode())
+def test_texts_encoded_together_and_alone_are_the_same(encoder):
+    texts = [t.encode() for t in TEXTS * 2]
+    assert encoder.many(texts) == [encoder.whole(t) for t in texts]
+    assert encoder.many([]) == []
+
+
+def test_every_plain_letter_has_its_own_ids(encoder):
+    letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0x240)]]
+    texts = [f"x{c}y {c}1{c}{c} '{c} a" for c in letters]
+    assert encoder.many([t.encode() for t in texts]) == [encoder.whole(t.encode()) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_runs_have_the_tokenizers_ids(encoder, seed):
+    random = np.random.default_rng(seed)
+    signs = np.array(list("etaoinshrdlucmfwyp" * 3 + "'.,!#*-_0189éßñçÀŁ" + "  \n"))
+    texts = ["".join(random.choice(signs, 3000)) for _ in range(20)]
+    assert encoder.many([t.encode() for t in texts]) == [encoder.whole(t.encode()) for t in texts]
 
 
 def test_neighbours_follow_plain_bm25():
@@ -41,7 +54,7 @@ def test_neighbours_follow_plain_bm25():
             count = [int((d[:-1] == t).sum()) for t in terms]
             if any(count) and not used[n]:
                 scores[n] = sum(np.log(1 + (80 - held[t] + .5) / (held[t] + .5)) * c * (P.K1 + 1) / (c + P.K1 * (1 - P.B + P.B * len(d) / average)) for t, c in zip(terms, count))
-        got = index.neighbours(seed, used).tolist()
+        got = list(index.neighbours(seed, used))
         assert sorted(got) == sorted(scores)
         assert all(scores[a] >= scores[b] - 1e-4 for a, b in zip(got, got[1:]))
 
@@ -74,10 +87,35 @@ def test_all_terms_of_a_long_seed_count():
     docs = [np.concatenate([rare, shared, [2]])] + [np.array([t, 3000 + t, 2]) for t in rare] + [np.append(shared, 2)] * 2
     docs = [d.astype("<u4") for d in docs]
     used = np.arange(len(docs)) == 0
-    assert P.Index(docs).neighbours(0, used)[:2].tolist() == [41, 42]
+    assert list(P.Index(docs).neighbours(0, used))[:2] == [41, 42]
     held = {t: sum(t in d[:-1] for d in docs) for t in docs[0][:-1].tolist()}
     average, plain = np.mean([len(d) for d in docs]), []
     for d in docs[1:]:
         terms = set(d[:-1].tolist()) & held.keys()
         plain.append(sum(np.log(1 + (len(docs) - held[t] + .5) / (held[t] + .5)) * (P.K1 + 1) / (1 + P.K1 * (1 - P.B + P.B * len(d) / average)) for t in terms))
-    assert P.Index(docs).neighbours(0, used).tolist() == (1 + np.argsort(-np.array(plain).round(6), kind="stable")).tolist()
+    assert list(P.Index(docs).neighbours(0, used)) == (1 + np.argsort(-np.array(plain).round(6), kind="stable")).tolist()
+
+
+def test_all_neighbours_in_order_beyond_the_first():
+    random = np.random.default_rng(5)
+    docs = [np.append(random.integers(3, 40, random.integers(1, 12)), 2).astype("<u4") for _ in range(400)]
+    index, used = P.Index(docs), random.random(400) < 0.2
+    for seed in range(0, 400, 7):
+        total = index.scores(seed, 400)
+        found = [] if total is None else np.flatnonzero((total > 0) & ~used)
+        assert list(index.neighbours(seed, used)) == sorted((int(n) for n in found), key=lambda n: (-total[n], n))
+
+
+def test_copies_are_in_different_sequences_while_others_are_left():
+    random = np.random.default_rng(3)
+    docs = [np.append(random.integers(3, 300, random.integers(10, 40)), 2).astype("<u4") for _ in range(60)] * 3
+    docs += [np.array([2], "<u4")] * 5
+    held = {}
+    for number, start, length, sequence, _ in P.pack(docs, 128):
+        if start == 0:
+            held.setdefault(sequence, []).append(docs[number].tobytes())
+    last = max(held)
+    assert sum(len(v) for v in held.values()) == len(docs)
+    for sequence, starts in held.items():
+        if sequence < last - 8:
+            assert len(starts) == len(set(starts))
