@@ -31,7 +31,7 @@ MOST_TASKS = 1 << 16
 #: Terms a seed asks with, the rarest first; None: all that another document holds.
 QUERY_TERMS = None
 #: Terms that more than one in so many documents hold have a dense row of weights.
-DENSE = 4
+DENSE = 8
 #: Best neighbours that are sorted first; more are sorted when these do not fill the window.
 FIRST = 64
 K1, B = 1.2, 0.75
@@ -39,8 +39,42 @@ K1, B = 1.2, 0.75
 ENCODED_BYTES = 1 << 20
 # white space, printable ASCII and the bytes of the letters from U+00C0 to U+023F, which are their own composed form
 _PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
-# runs of such texts in lower case (letters reach to U+02AF then, and two lie beyond), and the line feeds between texts
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u02af\u2c65\u2c66]+|[0-9]|(?:[^\\w\\s]|_)+|\n")
+# runs of such texts in lower case; letters reach to U+02AF then, and two lie beyond
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u02af\u2c65\u2c66]+|[0-9]|(?:[^\\w\\s\0]|_)+|\0")
+_SPACE, _LETTER, _DIGIT, _SIGN, _BETWEEN = range(5)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[[*range(0x09, 0x0E), 0x20]] = _SPACE
+_CLASS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = _LETTER
+_CLASS[ord("0"):ord("9") + 1] = _DIGIT
+_CLASS[0] = _BETWEEN
+# characters of several bytes that are no letters
+_ODD = ("\u00d7".encode(), "\u00f7".encode(), "\u0307".encode())
+
+
+def runs_apart(text: bytes) -> str:
+    """A plain Latin text in lower case with a space after each run; zero bytes between texts are runs of their own."""
+    if any(odd in text for odd in _ODD):
+        return " ".join(_RUNS.findall(text.decode())) + " "
+    data = np.frombuffer(text, np.uint8)
+    kind = _CLASS[data]
+    start = np.zeros(len(data) + 3, bool)
+    last, this = kind[:-1], kind[1:]
+    start[1:len(data)] = ((this != last) & (this != _SPACE) & (last != _SPACE)) | ((this == last) & ((this == _DIGIT) | (this == _BETWEEN)))
+    # an apostrophe that begins a run of signs may begin a contraction instead
+    mark = np.flatnonzero(data == ord("'"))
+    mark = mark[(mark == 0) | (kind[mark - 1] != _SIGN)]
+    after = np.append(data, np.zeros(2, np.uint8))
+    first, second = after[mark + 1], after[mark + 2]
+    short = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    long = (((first == ord("r")) | (first == ord("v"))) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+    start[mark[short | long] + 1] = False
+    kinds = np.append(kind, np.zeros(3, np.uint8))
+    ends = np.concatenate([mark[short] + 2, mark[long] + 3])
+    start[ends[kinds[ends] == _LETTER]] = True
+    spaced = np.insert(np.where(kind == _SPACE, np.uint8(0x20), data), np.flatnonzero(start[:len(data)]), np.uint8(0x20))
+    return spaced.tobytes().decode() + " "
+
+
 _END_OF_RUN = "</w>"
 
 
@@ -80,7 +114,7 @@ class WordEncoder:
         self.by_word = self.ranked is not None and self.whole(probe) == self.ranked_ids([probe])[0]
 
     def _ranks(self, model: dict):
-        """(ranked encoder, id of each rank, rank of a line feed's run), or None where the model is of another kind."""
+        """(ranked encoder, id of each rank, rank of a zero byte's run), or None where the model is of another kind."""
         if model.get("type") != "BPE" or model.get("end_of_word_suffix") != _END_OF_RUN or model.get("continuing_subword_prefix"):
             return None
         from tokenizers.models import BPE
@@ -103,17 +137,17 @@ class WordEncoder:
                 ids.setdefault(raw(token), vocabulary[token])
         ranks = {token: rank for rank, token in enumerate(ids)}
         core = tiktoken.Encoding("runs", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-        return core, np.fromiter(ids.values(), "<u4", len(ids)), ranks[b"\n "]
+        return core, np.fromiter(ids.values(), "<u4", len(ids)), ranks[b"\0 "]
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def ranked_ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of plain Latin texts."""
-        core, ids, line = self.ranked
-        blob = b"\n".join([t.replace(b"\n", b" ") for t in texts] + [b""]).decode().lower()
-        found = np.array(core.encode_ordinary(" ".join(_RUNS.findall(blob)) + " "), np.int64)
-        ends = np.flatnonzero(found == line) * 4
+        core, ids, between = self.ranked
+        blob = b"\0".join([*texts, b""]).decode().lower().encode()
+        found = np.array(core.encode_ordinary(runs_apart(blob)), np.int64)
+        ends = np.flatnonzero(found == between) * 4
         data = ids[found].tobytes()
         return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
 

@@ -35,7 +35,7 @@ def test_every_plain_letter_has_its_own_ids(encoder):
 @pytest.mark.parametrize("seed", range(3))
 def test_random_runs_have_the_tokenizers_ids(encoder, seed):
     random = np.random.default_rng(seed)
-    signs = np.array(list("etaoinshrdlucmfwyp" * 3 + "'.,!#*-_0189éßñçÀŁ" + "  \n"))
+    signs = np.array(list("etaoinshrdlucmfwyp" * 3 + "'.,!#*-_0189éßñçÀŁ×÷İ" * (1 + seed) + "'vlx" + "   \n\t"))
     texts = ["".join(random.choice(signs, 3000)) for _ in range(20)]
     assert encoder.many([t.encode() for t in texts]) == [encoder.whole(t.encode()) for t in texts]
 
@@ -119,3 +119,12 @@ def test_copies_are_in_different_sequences_while_others_are_left():
     for sequence, starts in held.items():
         if sequence < last - 8:
             assert len(starts) == len(set(starts))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_apart_are_those_of_the_pattern(seed):
+    random = np.random.default_rng(seed)
+    signs = np.array(list("strevmld" * 2 + "'" * 4 + "..#_09é" + "  \t\0"))
+    for _ in range(200):
+        text = "".join(random.choice(signs, random.integers(1, 60)))
+        assert P.runs_apart(text.encode()).split() == P._RUNS.findall(text)
