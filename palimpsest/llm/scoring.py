@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
-from palimpsest.llm.common import as_text, pieces, prepare, text_buffer, written
+from palimpsest.llm.common import as_text, grouped, pieces, prepare, text_buffer, written
 
 #: Least size of the network's output; both grow with the vocabulary.
 CLASSES, MEMBERS = 32, 32
@@ -36,6 +36,10 @@ REACH, HIDDEN = 3, 32
 ROUNDS = 2
 #: Words whose counts every task holds.
 KNOWN = 1 << 20
+#: Words of a shard, about: what one local model of a round learns from.  Their number follows from the counted words.
+SHARD_WORDS = 5_000_000
+#: Tasks of a round at most; with more shards a task trains several, one after another.
+MOST_TASKS = 1 << 16
 BATCH, RATE = 2048, 5.0
 SCORED = 8192
 _SLICE = 16384
@@ -163,6 +167,7 @@ class Vocabulary:
         self.counts = written(counted, "words")
         levels = sorted(((r["held"], r["count"]) for r in self.counts.groupBy("held").count().collect()), reverse=True)
         distinct, self.least, reached = sum(n for _, n in levels), 0, 0
+        self.total = sum(held * number for held, number in levels)
         for held, number in levels:
             reached += number
             if reached > known:
@@ -216,22 +221,47 @@ def _turn(first: np.ndarray, number: int) -> np.ndarray:
     return np.flatnonzero((inside + number) % ROUNDS == 0)
 
 
-def _train_task(words, slots, flat: bytes, number: int, side: int = CLASSES):
+def _line_task(words, slots):
+    """Tokens of each text, without borders, as little-endian 32-bit slots."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, trained = Network(np.frombuffer(flat, np.float32).copy(), side, side), 0
         for batch in pieces(batches, "text"):
             line, place, first = _tokens(batch, words, slots)
-            chosen = place[_turn(first, number)]
-            # neighbours in a batch come from all over the block of texts
-            chosen = np.random.default_rng(len(line)).permutation(chosen)
-            for first in range(0, len(chosen), BATCH):
-                part = chosen[first:first + BATCH]
-                network.train(_around(line, part), line[part], RATE * (1 if len(part) == BATCH else len(part) / BATCH))
-            trained += len(chosen)
-        if trained:
-            for at in range(0, len(network.flat), _SLICE):
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([at // _SLICE], pa.int32()), "weight": pa.array([trained], pa.int64()),
-                                                  "values": pa.array([network.flat[at:at + _SLICE].tobytes()], pa.binary())})
+            data, bounds = line[place].astype("<i4").tobytes(), (first * 4).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key"), pa.array([data[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())],
+                                             names=["shard", "key", "line"])
+
+    return work
+
+
+def _bordered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the texts of a batch of lines with borders around every text, places of the real ones, and each text's first."""
+    data, bounds = text_buffer(batch.column("line"))
+    first, found = bounds // 4, np.frombuffer(data.tobytes(), "<i4")
+    place = np.arange(len(found)) + (np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1) * REACH
+    line = np.zeros(len(found) + len(first) * REACH, np.int32)
+    line[place] = found
+    return line, place, first
+
+
+def _train_task(flat: bytes, number: int, side: int = CLASSES):
+    """A local model of each shard, in slices."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, stream in grouped(batches, "shard"):
+            network, trained = Network(np.frombuffer(flat, np.float32).copy(), side, side), 0
+            for batch in pieces(stream, "line"):
+                line, place, first = _bordered(batch)
+                chosen = place[_turn(first, number)]
+                # neighbours in a batch come from all over the block of texts
+                chosen = np.random.default_rng(len(line)).permutation(chosen)
+                for first in range(0, len(chosen), BATCH):
+                    part = chosen[first:first + BATCH]
+                    network.train(_around(line, part), line[part], RATE * (1 if len(part) == BATCH else len(part) / BATCH))
+                trained += len(chosen)
+            if trained:
+                for at in range(0, len(network.flat), _SLICE):
+                    yield pa.RecordBatch.from_pydict({
+                        "slice": pa.array([at // _SLICE], pa.int32()), "shard": pa.array([shard], pa.int64()), "weight": pa.array([trained], pa.int64()),
+                        "values": pa.array([network.flat[at:at + _SLICE].tobytes()], pa.binary())})
 
     return work
 
@@ -249,14 +279,25 @@ def _average_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                           "values": pa.array([(values / weight).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(rows: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, bytes]:
-    """Vocabulary and parameters learnt from all of ``rows`` (column ``text``)."""
-    found = Vocabulary(rows, known)
+def fit(rows: DataFrame, known: int = KNOWN, shard_words: int = SHARD_WORDS) -> tuple[Vocabulary, bytes]:
+    """Vocabulary and parameters learnt from all of ``rows`` (columns ``id`` and ``text``).
+
+    Texts are dealt to shards by hash of id and text and keep the order of that hash in them, so the model does not depend on how
+    the table is split.  Each round trains a local model a shard and averages them.
+    """
+    found = Vocabulary(rows.select("text"), known)
+    shards = max(1, -(-found.total // shard_words))
+    tasks = min(shards, MOST_TASKS)
+    keyed = rows.withColumn("key", F.xxhash64("id", "text"))
+    lines = written(keyed.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "text")
+                    .mapInArrow(_line_task(found.words, found.slots), "shard bigint, key bigint, line binary"), "lines")
+    dealt_lines = (lines.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "key", "line"))
     flat = Network(None, found.side, found.side).flat.tobytes()
     for number in range(ROUNDS):
-        parts = rows.mapInArrow(_train_task(found.words, found.slots, flat, number, found.side), "slice int, weight bigint, values binary")
-        # the network's size does not depend on the number of tasks, so what comes back does not either
-        merged = parts.repartition("slice").mapInArrow(_average_task, "slice int, weight bigint, values binary").collect()
+        parts = dealt_lines.mapInArrow(_train_task(flat, number, found.side), "slice int, shard bigint, weight bigint, values binary")
+        # a slice is added up in the order of shards; the network's size does not depend on their number, so what comes back does not either
+        merged = (parts.repartition("slice").sortWithinPartitions("slice", "shard")
+                  .mapInArrow(_average_task, "slice int, weight bigint, values binary").collect())
         if not merged:
             break
         flat = b"".join(bytes(r["values"]) for r in sorted(merged, key=lambda r: r["slice"]))
@@ -294,17 +335,18 @@ def _score_task(words, slots, flat: bytes, side: int, totals: np.ndarray, counts
     return work
 
 
-def pseudo_likelihoods(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: int = KNOWN) -> DataFrame:
+def pseudo_likelihoods(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: int = KNOWN,
+                       shard_words: int = SHARD_WORDS) -> DataFrame:
     """``id, n_tokens, score, mean_score`` of each row: the sum of its tokens' conditional log-probabilities, and that over their number.
 
     Null and empty texts and those of blanks alone have no token, score 0 and no mean.  Rows that repeat are scored each.  An
     empty table gives an empty result; other columns are ignored.  Counts of at most ``known`` words are held in a task; the
-    result does not depend on it.
+    result does not depend on it, nor on the partitions of ``df``.
     """
     spark = prepare(df.sparkSession)
     kind = dict(df.dtypes)[id_column]
     rows = df.select(F.col(id_column).alias("id"), as_text(F.col(text_column)).alias("text"))
-    found, flat = fit(rows.select("text"), known)
+    found, flat = fit(rows, known, shard_words)
     task = _score_task(found.words, found.slots, flat, found.side, found.totals, spark.sparkContext.broadcast((found.known, found.held)))
     scored = rows.mapInArrow(task, f"id {kind}, n_tokens bigint, score double, rare array<bigint>")
     if found.least:

@@ -63,8 +63,9 @@ def test_rounds_train_every_position_of_every_text_once():
 
 def test_tasks_walk_over_all_positions():
     batch = pa.RecordBatch.from_arrays([pa.array(["one two three", "four", "five six " * 20])], names=["text"])
+    batch = batch.append_column("shard", pa.array([0] * 3, pa.int64())).append_column("key", pa.array([1, 2, 3], pa.int64()))
     none, flat = (np.zeros(0, np.uint64), np.zeros(0, np.int32)), S.Network().flat.tobytes()
-    weights = [next(S._train_task(*none, flat, number)([batch])).column("weight")[0].as_py() for number in range(S.ROUNDS)]
+    weights = [next(S._train_task(flat, number)(S._line_task(*none)([batch]))).column("weight")[0].as_py() for number in range(S.ROUNDS)]
     assert sum(weights) == 44
 
 
@@ -81,3 +82,14 @@ def test_rare_words_have_their_share_of_their_slot(spark):
 
 def test_vocabulary_follows_the_distinct_words():
     assert [S.side_for(n) for n in (0, 10_000, 800_000, 1_000_000, 10_000_000)] == [32, 32, 32, 34, 58]
+
+
+def test_scores_do_not_depend_on_partitions_or_tasks(spark):
+    random = np.random.default_rng(11)
+    rows = [(n, " ".join(f"w{int(x)}" for x in random.zipf(1.5, random.integers(0, 60)) % 300)) for n in range(400)] + [(400, None), (None, "w1 w2"), (7, "w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted((r["id"] if r["id"] is not None else -1, r["n_tokens"], r["score"]) for r in S.pseudo_likelihoods(df.repartition(parts), shard_words=2000).collect())
+             for parts in (1, 4, 16)]
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert np.allclose([r[2] for r in other], [r[2] for r in found[0]], rtol=1e-6)
