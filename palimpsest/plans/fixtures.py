@@ -12,10 +12,12 @@ import re
 from palimpsest import schemas
 from palimpsest.plans.dialect import OracleDialect, SparkDialect
 from palimpsest.plans.records import FLAT_PREFIXES, with_payload
-from palimpsest.session import path_exists, shared_folder
+from palimpsest.session import dealt, path_exists, shared_folder
 
 NOW = "2024-01-20 00:00:00"
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
+# A task derives the records of about so many bytes of events.
+EVENT_BYTES = 1 << 20
 
 VIEWS = {}
 
@@ -411,11 +413,17 @@ class Tables:
         path = _WRITTEN.get(key)
         if path is None or not path_exists(self.spark, path + "/_SUCCESS"):
             path = f"{shared_folder(self.spark)}/memory-records-{hashlib.md5(self.folder.encode()).hexdigest()}"
-            flat = self.view("fx_memories")
-            with_payload(flat, keep_flat=True).write.mode("overwrite").parquet(path)
+            with_payload(self._derived_memories(), keep_flat=True).write.mode("overwrite").parquet(path)
             _WRITTEN[key] = path
         return path
 
+    def _derived_memories(self):
+        """``fx_memories`` over events dealt out first: a record takes far longer than its event, and few row groups hold all events."""
+        dialect = SparkDialect(self.folder)
+        name = f"dealt_events_{hashlib.md5(self.folder.encode()).hexdigest()}"
+        dealt(self.table("events"), EVENT_BYTES).createOrReplaceTempView(name)
+        return self.spark.sql(VIEWS["fx_memories"](dialect).replace(dialect.table("events"), name))
+
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)

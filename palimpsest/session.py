@@ -58,6 +58,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files or rows that ``df`` reads, as Spark estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, bytes_per_task: int) -> DataFrame:
+    """Deal rows out by their contents before work that is heavy per row, in as many tasks as the input's bytes ask for.
+
+    A file is read by row groups, and a compact table has few of these however many
+    rows it holds.  Unlike :func:`spread` this also deals large inputs, so the rows
+    of a task do not grow with the table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-input_bytes(df) // bytes_per_task)), *df.columns)
+
+
 def spread(df: DataFrame, *order: str) -> DataFrame:
     """Deal the rows of a small input out to all cores before work that is heavy per row.
 
@@ -70,7 +86,6 @@ def spread(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate >= cores * split_bytes:
+    if input_bytes(df) >= cores * split_bytes:
         return df
     return df.repartitionByRange(cores, *order) if order else df.repartition(cores)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W, functions as F
 
 import __spark_entry__ as entry
 from palimpsest.operators import evidence, graph, hybrid, keyed, lifecycle as lc, ordered, search, skew, subjects
+from palimpsest.plans import fixtures
 from palimpsest.sources import partitioned
 from palimpsest.streaming import outbox
 
@@ -285,3 +286,15 @@ def test_search_skips_blocks_and_stays_exact(spark, monkeypatch):
             assert values(top(queries, corpus, 10), "query_id", "id", "score", name) == got
     lone = spark.createDataFrame([(5000, "c", "p", None, "unrelated words")], corpus.schema)
     assert search.sparse_top(queries, lone, 10).count() == 0 and search.dense_top(queries, lone, 10).count() == 0
+
+
+def test_records_of_one_row_group_are_derived_by_many_tasks(spark, tmp_path, monkeypatch):
+    kinds = F.element_at(F.array(*[F.lit(kind) for kind in ("error", "click", "view", "signup", "buy")]), (F.col("id") % 5 + 1).cast("int"))
+    spark.range(3000).select(F.col("id").alias("event_id"), F.expr("timestamp_seconds(1704067200 + id * 600)").cast("timestamp_ntz").alias("ts"), (F.col("id") % 40).alias("user_id"), kinds.alias("event_type"),
+                             (F.col("id") % 90 / 3).alias("value"), F.format_string('{"k": %d}', F.col("id") % 100).alias("props")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    tables = fixtures.Tables(spark, str(tmp_path))
+    monkeypatch.setattr(fixtures, "EVENT_BYTES", 1 << 10)
+    derived = tables._derived_memories()
+    assert derived.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    columns = [column for column in derived.columns if column != "sol_environment"]
+    assert values(derived, *columns) == values(tables.view("fx_memories"), *columns)
