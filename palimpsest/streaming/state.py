@@ -7,6 +7,7 @@ map state, once a batch and distinct key, so neither many small keys nor one hot
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOTS = 64
+# A slot of timers keeps its pending ends as one value, so there are more of these.
+TIMER_SLOTS = 1024
 
 
 def with_state(spark: SparkSession) -> None:
@@ -123,35 +126,72 @@ def count_before(rows: DataFrame, key: Column) -> DataFrame:
 # --- timers ----------------------------------------------------------------------------------
 
 class ValidityTimers(StatefulProcessor):
-    """A timer at the end of each active memory's validity; it is moved or dropped when the memory changes."""
+    """The ends of validity that a slot of active memories still waits for, and a timer at the next of them.
+
+    A memory's end is moved or dropped when the memory changes.  The state holds pending ends only, so it does not grow with what
+    has expired.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "valid_to bigint")
+        self.pending = handle.getValueState("pending", "ends string, timer bigint")
+
+    @staticmethod
+    def _newest(part: pd.DataFrame) -> pd.DataFrame:
+        return part.sort_values(["changed", "status"]).drop_duplicates("memory_id", keep="last")
+
+    def _load(self) -> tuple[dict[str, int], int | None]:
+        found = self.pending.get()
+        return (json.loads(found[0]), int(found[1])) if found is not None else ({}, None)
+
+    def _store(self, ends: dict[str, int], timer: int | None) -> None:
+        """Keep ``ends``; ``timer`` is the one that is set."""
+        due = min(ends.values(), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if ends:
+            self.pending.update((json.dumps(ends), due))
+        elif timer is not None:
+            self.pending.clear()
+
+    @staticmethod
+    def _expired(due: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if due:
+            yield pd.DataFrame({"memory_id": [m for m, _ in due], "status": "expired", "valid_to": [end for _, end in due]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for part in rows:
-            last = part.sort_values(["changed", "status"]).iloc[-1]
-            if newest is None or (last["changed"], last["status"]) >= (newest["changed"], newest["status"]):
-                newest = last
-        if newest is None:
+        parts = [self._newest(part[part["memory_id"].notna()]) for part in rows]
+        newest = self._newest(pd.concat(parts, ignore_index=True)) if parts else None
+        if newest is None or not len(newest):
             return
-        before = self.until.get()
-        if before is not None:
-            self.handle.deleteTimer(int(before[0]))
-            self.until.clear()
-        if newest["status"] == "active" and not pd.isna(newest["valid_to"]):
-            due = int(newest["valid_to"])
-            if due <= timerValues.getCurrentWatermarkInMs():  # came when it was due already
-                yield pd.DataFrame({"memory_id": [key[0]], "status": ["expired"], "valid_to": [due]})
-            else:
-                self.until.update((due,))
-                self.handle.registerTimer(due)
+        ends, timer = self._load()
+        clock, due = timerValues.getCurrentWatermarkInMs(), []
+        for memory_id, status, valid_to in newest[["memory_id", "status", "valid_to"]].itertuples(index=False, name=None):
+            ends.pop(memory_id, None)
+            if status == "active" and not pd.isna(valid_to):
+                if int(valid_to) <= clock:  # came when it was due already
+                    due.append((memory_id, int(valid_to)))
+                else:
+                    ends[memory_id] = int(valid_to)
+        self._store(ends, timer)
+        yield from self._expired(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.until.clear()
-        yield pd.DataFrame({"memory_id": [key[0]], "status": ["expired"], "valid_to": [expiredTimerInfo.getExpiryTimeInMs()]})
+        ends, _ = self._load()
+        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        due = [(memory_id, end) for memory_id, end in ends.items() if end <= clock]
+        for memory_id, _ in due:
+            del ends[memory_id]
+        if ends:  # Spark drops the timer that fired
+            following = min(ends.values())
+            self.handle.registerTimer(following)
+            self.pending.update((json.dumps(ends), following))
+        else:
+            self.pending.clear()
+        yield from self._expired(due)
 
     def close(self) -> None:
         pass
@@ -167,5 +207,6 @@ def expire_on_time(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
     with_state(changes.sparkSession)
     millis = lambda column: F.ceil(F.unix_micros(column) / 1000)
     rows = changes.withWatermark("at", delay).select("memory_id", "status", millis(F.col("valid_to")).alias("valid_to"), F.unix_micros("at").alias("changed"), "at")
-    return (rows.groupBy("memory_id").transformWithStateInPandas(ValidityTimers(), "memory_id string, status string, valid_to bigint", "Append", "EventTime")
+    dealt = rows.withColumn("slot", slot(F.col("memory_id"), slots=TIMER_SLOTS))
+    return (dealt.groupBy("slot").transformWithStateInPandas(ValidityTimers(), "memory_id string, status string, valid_to bigint", "Append", "EventTime")
             .where(F.col("memory_id").isNotNull()))

@@ -94,3 +94,19 @@ def test_expiry_loop_without_an_interval_works_off_what_has_come(spark, tmp_path
     began = time.time()
     outbox.expiry_loop(in_batches(ticks, tmp_path / "in", "batch", 3), sweep, str(tmp_path / "cp"), seconds=None).awaitTermination()
     assert seen == [f"2024-01-01 0{i}:00:00" for i in range(3)] and time.time() - began < 30
+
+
+def test_timers_of_many_memories_share_a_slot(spark, tmp_path, monkeypatch):
+    """One group of state a memory would be 200 of them; ends that move or come at once stay with their memory."""
+    monkeypatch.setattr(state, "TIMER_SLOTS", 2)
+    at = lambda hours: START + timedelta(hours=hours)
+    sent = [(f"m{i:03}", "active", at(10 + i % 50), at(i % 5), 0) for i in range(200)]
+    sent += [(f"m{i:03}", "rejected" if i % 4 == 0 else "active", at(200 + i), at(6), 1) for i in range(0, 200, 2)]
+    sent += [(None, "tick", None, at(30), 1), (None, "tick", None, at(31), 2), ("past", "active", at(12), at(31), 2), (None, "tick", None, at(70), 3), (None, "tick", None, at(301), 4), (None, "tick", None, at(301), 5)]
+    rows = spark.createDataFrame(sent, "memory_id string, status string, valid_to timestamp, at timestamp, batch int")
+    query = outbox.run(state.expire_on_time(in_batches(rows, tmp_path / "in", "batch", 6)), outbox.into_folder(str(tmp_path / "out")), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 20
+    got = spark.read.parquet(str(tmp_path / "out")).select("memory_id", "status", F.timestamp_millis("valid_to").alias("valid_to"))
+    want = [(f"m{i:03}", "expired", at(10 + i % 50)) for i in range(1, 200, 2)] + [(f"m{i:03}", "expired", at(200 + i)) for i in range(2, 102, 4)] + [("past", "expired", at(12))]
+    assert values(got, "memory_id", "status", "valid_to") == sorted(want, key=repr)
