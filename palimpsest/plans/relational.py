@@ -79,7 +79,7 @@ def _(t):
     put(lines.where(c("file") % 2 == 0), 0)
     put(lines, 1)
     # Spark names its text files .txt, an extension that uploads do not have
-    files = readers.read_arrivals(t.spark, f"{path}/in", 1000).where(c("path").endswith(".txt"))
+    files = readers.read_arrivals(t.spark, f"{path}/in", bytes_per_trigger=1 << 30).where(c("path").endswith(".txt"))
     named = files.withColumn("path", F.concat("path", F.lit(".pdf")))
     ob.run(readers.arriving_assets(named).select("asset_id", "length"), ob.into_folder(f"{path}/out"), f"{path}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{path}/out").select("asset_id", c("length").alias("bytes"))

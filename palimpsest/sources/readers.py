@@ -55,9 +55,14 @@ def identify_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_arrivals(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Uploaded files as they arrive in a folder, with their bytes."""
-    return (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("maxFilesPerTrigger", files_per_trigger)
+def read_arrivals(spark: SparkSession, path: str, files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Uploaded files as they arrive in a folder, with their bytes.
+
+    A batch is bounded by its files or, if given, by their bytes: every batch has
+    its own state tasks, which for many small files outweigh the files.
+    """
+    bound = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return (spark.readStream.format("binaryFile").schema(BINARY_FILES).option(*bound)
             .option("recursiveFileLookup", True).load(path))
 
 

@@ -1,5 +1,6 @@
 """Streams on keyed state: many batches, replays, hot keys, timers."""
 
+import hashlib
 import time
 from datetime import datetime, timedelta
 
@@ -8,6 +9,7 @@ from helpers import claim, event, records, ref, values
 from pyspark.sql import functions as F
 
 from palimpsest.operators import jobs, lifecycle as lc
+from palimpsest.sources import readers
 from palimpsest.streaming import outbox, state
 
 NOW = "2024-01-20 00:00:00"
@@ -110,3 +112,16 @@ def test_timers_of_many_memories_share_a_slot(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(str(tmp_path / "out")).select("memory_id", "status", F.timestamp_millis("valid_to").alias("valid_to"))
     want = [(f"m{i:03}", "expired", at(10 + i % 50)) for i in range(1, 200, 2)] + [(f"m{i:03}", "expired", at(200 + i)) for i in range(2, 102, 4)] + [("past", "expired", at(12))]
     assert values(got, "memory_id", "status", "valid_to") == sorted(want, key=repr)
+
+
+def test_arrivals_bounded_by_bytes_take_few_batches(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / "in" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 3}" / f"f{i}.pdf").write_text(f"content {i % 20:03}")
+    files = readers.read_arrivals(spark, str(tmp_path / "in"), bytes_per_trigger=11 * 10)
+    query = outbox.run(readers.arriving_assets(files).select("asset_id", "length"), outbox.into_folder(str(tmp_path / "out")), str(tmp_path / "cp"))
+    query.awaitTermination()
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(read) == 30 and 3 <= len(read) <= 4
+    got = values(spark.read.parquet(str(tmp_path / "out")), "asset_id", "length")
+    assert got == sorted((hashlib.sha256(f"content {i:03}".encode()).hexdigest(), 11) for i in range(20))
