@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.functions import keys, payload as pl
+from palimpsest.functions import keys, payload as pl, text as tx
+from palimpsest.operators.ordered import explode_computed
 
 STORED_MODALITY = {"video_segment": "video", "audio_segment": "audio"}
 RETRIEVAL_MODALITY = {"video": "video_segment", "audio": "audio_segment"}
@@ -54,8 +55,15 @@ def split(df: DataFrame, failed: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Normalise JSON payloads; (valid with typed payload, invalid as received)."""
-    typed = candidates.withColumn("typed", pl.normalise(F.col("kind"), F.col("payload")))
-    typed = typed.withColumn("ok", F.coalesce(pl.payload_valid(F.col("kind"), F.col("typed")), F.lit(False)))
-    return (typed.where("ok").drop("payload", "ok").withColumnRenamed("typed", "payload"),
-            typed.where(~F.col("ok")).drop("typed", "ok"))
+    """Normalise JSON payloads; (valid with typed payload, invalid as received).
+
+    Payload and verdict are computed together, once per row: a filter on the
+    verdict would otherwise parse the payload again for every field it tests.
+    """
+    kind = F.col("kind")
+    verdict = tx.let(pl.normalise(kind, F.col("payload")), lambda typed: F.struct(
+        typed.alias("typed"), F.coalesce(pl.payload_valid(kind, typed), F.lit(False)).alias("ok")))
+    checked = explode_computed(candidates, candidates.columns, F.array(verdict), "checked_no", "checked")
+    others = [name for name in candidates.columns if name != "payload"]
+    return (checked.where("checked.ok").select(*others, F.col("checked.typed").alias("payload")),
+            checked.where(~F.col("checked.ok")).select(*candidates.columns))

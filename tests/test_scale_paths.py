@@ -9,7 +9,7 @@ from helpers import event, records, ref, values
 from pyspark.sql import Window as W, functions as F
 
 import __spark_entry__ as entry
-from palimpsest.operators import evidence, graph, hybrid, keyed, lifecycle as lc, ordered, search, skew, subjects
+from palimpsest.operators import evidence, graph, hybrid, keyed, lifecycle as lc, ordered, quality, search, skew, subjects
 from palimpsest.plans import fixtures
 from palimpsest.sources import partitioned
 from palimpsest.streaming import outbox
@@ -298,3 +298,16 @@ def test_records_of_one_row_group_are_derived_by_many_tasks(spark, tmp_path, mon
     assert derived.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     columns = [column for column in derived.columns if column != "sol_environment"]
     assert values(derived, *columns) == values(tables.view("fx_memories"), *columns)
+
+
+def test_payload_is_parsed_once_for_all_fields_it_is_tested_for(spark):
+    raw = [(1, "event", '{"event_type":"Shipment","summary":"s"}'), (2, "event", '{"event_type":"","summary":"s"}'),
+           (3, "preference", '{"phrase":"short"}'), (4, None, "{}"), (5, "entity", None), (5, "entity", None)]
+    good, bad = quality.validate_candidates(spark.createDataFrame(raw, "n int, kind string, payload string"))
+    assert good.columns == bad.columns == ["n", "kind", "payload"]
+    assert sorted(r["n"] for r in good.collect()) == [1, 3]
+    assert sorted((r["n"], r["payload"]) for r in bad.collect() if r["n"] < 5) == [(2, raw[1][2]), (4, "{}")]
+    assert [r["n"] for r in bad.where("n = 5").collect()] == [5, 5]
+    for side in (good, bad):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if re.match(r"\W*Filter\b", line) and "from_json" in line]
