@@ -2,12 +2,14 @@
 
 The processors keep only what a decision needs, in RocksDB state that Spark checkpoints with the stream, so the time of a batch
 depends on its own rows and never on how many batches came before.  Keys are dealt to ``SLOTS`` groups and looked up in
-map state, once a batch and distinct key, so neither many small keys nor one hot key makes a group expensive.
+map state, once a batch and distinct key, so neither many small keys nor one hot key makes a group expensive.  First holders
+are looked up by blocks of keys: a state call costs far more than the keys of a block, and a batch makes at most two a block.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +20,10 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 SLOTS = 64
 # A slot of timers keeps its pending ends as one value, so there are more of these.
 TIMER_SLOTS = 1024
+# A slot of first holders keeps them in so many blocks; a block is one value, read and written whole.
+BLOCKS = 1024
+# Holders that are handed on at once.
+ROWS_OUT = 10_000
 
 
 def with_state(spark: SparkSession) -> None:
@@ -44,40 +50,51 @@ class FirstHolders(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getMapState("first", "held string", "created bigint, memory_id string, domain string, identifier string, claims string")
+        self.first = handle.getMapState("first", "block int", "holders string")
 
     @staticmethod
-    def _earliest(part: pd.DataFrame) -> pd.DataFrame:
-        return part.sort_values(["created", "memory_id"]).drop_duplicates("held")
+    def _gather(part: pd.DataFrame, found: dict[int, dict[str, tuple]]) -> dict[int, dict[str, tuple]]:
+        """The earliest event of each key, by block, added to ``found``."""
+        earliest = part.sort_values(["created", "memory_id"]).drop_duplicates("held")
+        for held, created, *rest in earliest[[c.split()[0] for c in _HELD.split(", ")]].itertuples(index=False, name=None):
+            held, *rest = (None if pd.isna(v) else v for v in (held, *rest))
+            block, value = found.setdefault(zlib.crc32((held or "").encode("utf-8", "surrogatepass")) % BLOCKS, {}), (int(created), *rest)
+            block[held] = min(block[held], value, key=lambda v: v[:2]) if held in block else value
+        return found
+
+    def _holders(self, block: int) -> dict[str, tuple]:
+        stored = self.first.getValue((block,))
+        return {held: tuple(value) for held, *value in json.loads(stored[0])} if stored is not None else {}
+
+    def _keep(self, block: int, holders: dict[str, tuple]) -> None:
+        self.first.updateValue((block,), (json.dumps([(held, *value) for held, value in holders.items()]),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known: set = set()
-        new: dict[str, tuple] = {}
+        names = [c.split()[0] for c in HOLDER_ROWS.split(", ")]
+        asked: dict[int, dict[str, tuple]] = {}
         for part in rows:
             carriers = part[part["record"].notna()]
             if len(carriers):
-                yield carriers[[c.split()[0] for c in HOLDER_ROWS.split(", ")]]
-            holders = []
-            for held, created, *rest in self._earliest(part)[[c.split()[0] for c in _HELD.split(", ")]].itertuples(index=False, name=None):
-                if held in known:
-                    continue
-                if held in new:
-                    new[held] = min(new[held], (int(created), *rest), key=lambda v: v[:2])
-                elif (before := self.first.getValue((held,))) is not None:
-                    known.add(held)
-                    holders.append((held, *before, None))
-                else:
-                    new[held] = (int(created), *rest)
-            if holders:
-                yield pd.DataFrame(holders, columns=[c.split()[0] for c in HOLDER_ROWS.split(", ")])
-        for held, value in new.items():
-            self.first.updateValue((held,), tuple(None if pd.isna(v) else v for v in value))
+                yield carriers[names]
+            self._gather(part, asked)
+        met: list[tuple] = []
+        for block, own in asked.items():
+            known = self._holders(block)
+            met += [(held, *known[held], None) for held in own if held in known]
+            new = {held: value for held, value in own.items() if held not in known}
+            if new:
+                self._keep(block, known | new)
+            if len(met) >= ROWS_OUT:
+                yield pd.DataFrame(met, columns=names)
+                met = []
+        if met:
+            yield pd.DataFrame(met, columns=names)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for held, created, *rest in self._earliest(initialState)[[c.split()[0] for c in _HELD.split(", ")]].itertuples(index=False, name=None):
-            value, before = (int(created), *rest), self.first.getValue((held,))
-            if before is None or value[:2] < tuple(before)[:2]:
-                self.first.updateValue((held,), tuple(None if pd.isna(v) else v for v in value))
+        for block, own in self._gather(initialState, {}).items():
+            known = self._holders(block)
+            known.update({held: value for held, value in own.items() if held not in known or value[:2] < known[held][:2]})
+            self._keep(block, known)
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import hashlib
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from helpers import claim, event, records, ref, values
 from pyspark.sql import functions as F
@@ -125,3 +126,46 @@ def test_arrivals_bounded_by_bytes_take_few_batches(spark, tmp_path):
     assert sum(read) == 30 and 3 <= len(read) <= 4
     got = values(spark.read.parquet(str(tmp_path / "out")), "asset_id", "length")
     assert got == sorted((hashlib.sha256(f"content {i:03}".encode()).hexdigest(), 11) for i in range(20))
+
+
+class CountedMap:
+    """Map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_first_holders_ask_the_state_by_blocks_of_keys():
+    names = [column.split()[0] for column in state.HOLDER_ROWS.split(", ")]
+    row = lambda n, created, memory, record=None: (f"identifier\x1fé{n}", created, memory, None, f"i{n}", None, record)
+    frame = lambda rows: pd.DataFrame(rows, columns=names)
+    stored, first = CountedMap(), state.FirstHolders()
+    first.init(stored)
+    first.handleInitialState((0,), frame([row(n, 5, "old") for n in range(6000)] + [(None, 1, "none", None, None, None, None)]), None)
+    # a later chunk of the same group holds an earlier event of one key
+    first.handleInitialState((0,), frame([row(7, 4, "older"), row(8, 6, "newer")]), None)
+    assert stored.calls <= 2 * state.BLOCKS + 4
+
+    def batch(*chunks):
+        parts = list(first.handleInputRows((0,), iter([frame(chunk) for chunk in chunks]), None))
+        out = pd.concat(parts) if parts else frame([])
+        return sorted(out[out["record"].notna()]["record"]), {r.held: (r.created, r.memory_id, r.identifier) for r in out[out["record"].isna()].itertuples()}
+
+    carried, met = batch([row(n, 9, "a", f"r{n}") for n in range(5000, 9000)], [row(6000, 8, "b"), row(7, 9, "b", "seven"), row(8, 9, "b")], [(None, 9, "c", None, None, None, "null key")])
+    assert carried == sorted([f"r{n}" for n in range(5000, 9000)] + ["seven", "null key"])
+    assert met == {f"identifier\x1fé{n}": (5, "old", f"i{n}") for n in [8, *range(5000, 6000)]} | {"identifier\x1fé7": (4, "older", "i7"), None: (1, "none", None)}
+    carried, met = batch([row(6000, 1, "late"), row(8999, 1, "late"), row(9000, 1, "late", "new")])
+    assert carried == ["new"]
+    assert met == {"identifier\x1fé6000": (8, "b", "i6000"), "identifier\x1fé8999": (9, "a", "i8999")}
+    assert stored.calls <= 5 * state.BLOCKS
