@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from palimpsest import constants as C
 from palimpsest.functions import payload as pl, scope as sc
 from palimpsest.operators import graph, hybrid, identifiers as ids
-from palimpsest.operators.ordered import joined_in_order, last_before, top_per
+from palimpsest.operators.ordered import explode_computed, joined_in_order, last_before, top_per
+from palimpsest.operators.skew import among, wanted
 from palimpsest.session import cut_lineage
 
 
@@ -36,6 +37,17 @@ def rehydrate(hits: DataFrame, memories: DataFrame, chats: DataFrame, now) -> Da
     return hits.join(shown, "memory_id").join(places, ["query_id", "place"]).drop("place")
 
 
+def in_sight(memories: DataFrame, chats: DataFrame) -> DataFrame:
+    """Ids of the memories that the index finds in a place of some chat; the others cannot become a candidate of one.
+
+    Tables cut to these ids by :func:`among` give the chats the same candidates, so that texts, vectors and identifiers of
+    memories that no chat sees are not made.
+    """
+    places = wanted(chats.select(F.explode(sc.chat_keys()).alias("place")))
+    placed = explode_computed(memories, ["memory_id"], sc.index_keys(), "n", "place")
+    return wanted(among(placed, places, F.col("place")).select("memory_id"))
+
+
 def previous_answers(messages: DataFrame, span: int = 1000) -> DataFrame:
     """Messages with the trace of the last assistant answer before them."""
     answer = F.when(F.col("role") == "assistant", F.col("trace_id"))

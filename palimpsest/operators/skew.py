@@ -1,14 +1,19 @@
-"""Joins on keys of which a few hold a large share of the rows."""
+"""Joins on keys of which a few hold a large share of the rows, and cuts of a table to the keys that are asked for."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest import constants as C
+from palimpsest.session import cut_lineage
 
 # A key with more than this share of the rows is split; so many keys at most can have it, and the sketch tracks a multiple of them.
 SHARE = 1 / 64
 TRACKED = 4096
+# Up to so many keys, some 10 MB, go to the other side; more meet it in a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def packed_key(keys: list[str]) -> Column:
@@ -38,3 +43,23 @@ def salted_join(asked: DataFrame, index: DataFrame, keys: list[str], spread_by:
     dealt = tagged(index).withColumn("_part", part).drop("salts")
     every = tagged(asked).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return every.join(dealt, [*keys, "_part"]).drop("_part")
+
+
+def wanted(keys: DataFrame) -> DataFrame:
+    """The distinct rows of ``keys``, written once; few are sent to the tables that :func:`among` cuts, many meet them in a shuffle."""
+    made = cut_lineage(keys.distinct())
+    return F.broadcast(made) if made.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else made
+
+
+def among(df: DataFrame, keys: DataFrame, *columns: Column) -> DataFrame:
+    """Rows of ``df``, each as often as it is there, of which one of ``columns`` is among ``keys``, as :func:`wanted` makes them.
+
+    A null is among keys that hold one.
+    """
+    if len(columns) == 1:
+        return df.join(keys.toDF("_key"), columns[0].eqNullSafe(F.col("_key")), "left_semi")
+    found = df
+    for number, column in enumerate(columns):
+        found = found.join(keys.select(F.col(keys.columns[0]).alias(f"_key{number}"), F.lit(True).alias(f"_has{number}")), column.eqNullSafe(F.col(f"_key{number}")), "left")
+    has = [F.coalesce(F.col(f"_has{number}"), F.lit(False)) for number in range(len(columns))]
+    return found.where(reduce(Column.__or__, has)).select(*df.columns)

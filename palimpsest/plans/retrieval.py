@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from palimpsest import constants as C
 from palimpsest.functions import keys, numeric, payload as pl, scope as sc, text as tx
 from palimpsest.operators import context as cx, evidence as ev, graph, hybrid, identifiers as ids, jobs, lifecycle as lc, ordered, search, subjects
+from palimpsest.operators.skew import among
 from palimpsest.plans import sqlparts as S
 from palimpsest.plans.fixtures import NOW
 from palimpsest.plans.registry import query
 from palimpsest.plans.relational import EDGES_SQL, MEM_POINTS
-from palimpsest.session import spread
+from palimpsest.session import cut_lineage, spread
 
 c = F.col
 TERM = "'[\\p{L}\\p{N}]+'"
@@ -244,8 +245,11 @@ def turn_queries(t):
     return t.turns.join(t.turn_vectors.withColumnRenamed("embedding", "vector"), "query_id").withColumn("references", tx.identifier_mentions(c("text")))
 
 
-def memory_points(t):
-    return jobs.memory_points(t.records).join(t.memory_vectors.withColumnRenamed("embedding", "vector"), "memory_id")
+def memory_points(t, seen=None):
+    """Points of the memories that some turn sees, with their vectors; a search reads them several times, so they are written once."""
+    seen = seen or cx.in_sight(t.memories, t.turns)
+    vectors = among(t.memory_vectors, seen, c("memory_id")).withColumnRenamed("embedding", "vector")
+    return cut_lineage(jobs.memory_points(among(t.records, seen, c("memory_id"))).join(vectors, "memory_id"))
 
 
 @query("ret11_memory_search", f"WITH {MEM} SELECT query_id, memory_id, round(score, 9) AS score, rank FROM sem")
