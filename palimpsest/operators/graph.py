@@ -8,6 +8,8 @@ from palimpsest import constants as C
 from palimpsest.functions import scope as sc
 from palimpsest.operators.keyed import delete, upsert
 from palimpsest.operators.ordered import top_per
+from palimpsest.operators.skew import among, wanted
+from palimpsest.session import cut_lineage
 
 END_COLUMNS = ["owner_id", "scope", "session_id", "project_id", "project_scope", "status", "user_confirmed",
                "valid_from", "valid_to"]
@@ -83,6 +85,13 @@ def expand(seeds: DataFrame, edge_table: DataFrame, node_table: DataFrame, chats
     return top_per(once, ["query_id"], newest, limit, "graph_rank").drop("place")
 
 
+def around(seeds: DataFrame, relationships: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relationships, memories) that :func:`expand` can reach from ``seeds(memory_id)``: relationships with an end among them, and their ends."""
+    ends = [F.col("from_memory_id"), F.col("to_memory_id")]
+    near = cut_lineage(among(relationships, wanted(seeds.select("memory_id")), *ends))
+    return near, among(memories, wanted(near.select(F.explode(F.array(*ends)).alias("memory_id"))), F.col("memory_id"))
+
+
 def sync_nodes(node_table: DataFrame, edge_table: DataFrame, changed: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after projecting changed memories; inactive nodes lose their edges."""
     delta = nodes(changed, now)

@@ -289,9 +289,11 @@ def full_memories(t):
     return t.records.join(t.memory_subjects, "memory_id", "left")
 
 
-def exact_candidates(t, limit=C.EXACT_CANDIDATES):
-    memories = full_memories(t)
-    return ids.candidates(ids.query_references(t.turns), memories, ids.reference_rows(memories), t.subject_identifiers, NOW, limit)
+def exact_candidates(t, seen=None):
+    seen = seen or cx.in_sight(t.memories, t.turns)
+    records, subjects_of = (among(df, seen, c("memory_id")) for df in (t.records, t.memory_subjects))
+    memories = records.join(subjects_of, "memory_id", "left")
+    return ids.candidates(ids.query_references(t.turns), memories, ids.reference_rows(records), t.subject_identifiers, NOW, C.EXACT_CANDIDATES)
 
 
 @query("ret13_identifier_candidates", f"WITH {STAGES} SELECT query_id, memory_id, stage, rank FROM ex")
@@ -371,8 +373,9 @@ CONT = f"""prev AS (SELECT * FROM (SELECT message_id, session_id, last(CASE WHEN
       JOIN fx_memories r ON r.memory_id = i.memory_id AND {S.visible('r', 'q')} WHERE r.kind = 'event' AND {S.current('r.')})"""
 
 
-def continuity(t):
-    return cx.continuity(t.turns, t.messages, t.turn_access, t.memories, NOW)
+def continuity(t, seen=None):
+    memories = t.memories if seen is None else among(t.memories, seen, c("memory_id"))
+    return cx.continuity(t.turns, t.messages, t.turn_access, memories, NOW)
 
 
 @query("ret18_continuity", f"WITH {CONT} SELECT query_id, memory_id, rank, access_event_id FROM cont")
@@ -398,13 +401,15 @@ TURN_CANDS = f"""{MEM}, {STAGES}, {CONT}, naming AS (SELECT DISTINCT query_id FR
 
 
 def turn_candidates(t):
-    memories = full_memories(t)
-    semantic = cx.search_memories(turn_queries(t), memory_points(t), NOW)
-    return cx.assemble(turn_queries(t), exact_candidates(t), continuity(t), semantic, memories, NOW)
+    seen = cx.in_sight(t.memories, t.turns)
+    semantic = cx.search_memories(turn_queries(t), memory_points(t, seen), NOW)
+    return cx.assemble(turn_queries(t), exact_candidates(t, seen), continuity(t, seen), semantic, among(t.memories, seen, c("memory_id")), NOW)
 
 
 def turn_context(t):
-    return cx.with_graph(turn_candidates(t), t.turns, t.memories, graph.nodes(t.memories, NOW), graph.edges(t.relationships, t.memories, NOW), NOW)
+    candidates = cut_lineage(turn_candidates(t))
+    relationships, memories = graph.around(candidates, t.relationships, t.memories)
+    return cx.with_graph(candidates, t.turns, memories, graph.nodes(memories, NOW), graph.edges(relationships, memories, NOW), NOW)
 
 
 @query("set3_precedence_union", f"WITH {TURN_CANDS} SELECT query_id, memory_id, stage, candidate_rank FROM cands")

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 from helpers import NOW, event, records, ref, values
 from pyspark.sql import functions as F
 
-from palimpsest.operators import context as cx, jobs, skew
+from palimpsest.operators import context as cx, graph, identifiers as ids, jobs, skew
 from palimpsest.plans import retrieval
 
 
@@ -48,6 +48,14 @@ def test_seen_memories_give_the_hits_of_all(spark):
     assert values(cx.place_hits(asked, retrieval.memory_points(t), 10), *columns) == plain and len(plain) > 3
 
 
+def test_seen_memories_give_the_exact_candidates_of_all(spark):
+    t = tables(spark)
+    full = t.records.join(t.memory_subjects, "memory_id", "left")
+    columns = ["query_id", "memory_id", "stage", "rank"]
+    plain = ids.candidates(ids.query_references(t.turns), full, ids.reference_rows(full), t.subject_identifiers, NOW, 5)
+    assert values(retrieval.exact_candidates(t), *columns) == values(plain, *columns) != []
+
+
 def test_keys_are_met_in_a_shuffle_when_many(spark, monkeypatch):
     df = spark.createDataFrame([(1, 2), (1, 2), (3, 4), (None, 5), (6, None)], "a int, b int")
     for most in (100, 0):
@@ -57,3 +65,15 @@ def test_keys_are_met_in_a_shuffle_when_many(spark, monkeypatch):
         assert values(skew.among(df, keys, F.col("a"), F.col("b")), "a", "b") == [(1, 2), (1, 2), (3, 4)]
     none = skew.wanted(spark.createDataFrame([(None,)], "k int"))
     assert values(skew.among(df, none, F.col("a")), "a", "b") == [(None, 5)]
+
+
+def test_expansion_reads_only_edges_around_the_seeds(spark):
+    found = records(spark, [{"memory_id": m} for m in "abcdef"])
+    edge = lambda n, a, b: (n, a, b, "related", found.first()["created_at"])
+    links = spark.createDataFrame([edge(1, "a", "b"), edge(2, "c", "a"), edge(3, "d", "e"), edge(4, "e", "f"), edge(1, "a", "b")],
+                                  "relationship_id int, from_memory_id string, to_memory_id string, relationship_type string, created_at timestamp")
+    seeds = spark.createDataFrame([("q1", "a", 1)], "query_id string, memory_id string, position int")
+    near, ends = graph.around(seeds, links, found)
+    assert [r[0] for r in values(near, "relationship_id")] == [1, 1, 2] and [r[0] for r in values(ends, "memory_id")] == ["a", "b", "c"]
+    expanded = lambda r, m: values(graph.expand(seeds, graph.edges(r, m, NOW), graph.nodes(m, NOW), chats(spark)), "query_id", "memory_id", "graph_rank")
+    assert expanded(near, ends) == expanded(links, found) != []
