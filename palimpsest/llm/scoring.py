@@ -65,55 +65,74 @@ class Network:
                 "member": (classes, HIDDEN, members), "member_bias": (classes, members)}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = np.repeat(self.bias[None, :], len(around), 0)
-        for j in range(2 * REACH):
-            total += self.near[j].take(around[:, j], 0)
-        return np.tanh(total, out=total)
+        total, part = np.repeat(self.bias[None, :], len(around), 0), np.empty((len(around), HIDDEN), np.float32)
+        for near, token in zip(self.near, np.ascontiguousarray(around.T)):
+            total += near.take(token, 0, out=part, mode="clip")
+        # the hyperbolic tangent, 1 - 2 / (exp(2x) + 1), which is 1 in single precision long before 40
+        np.minimum(total, 40, out=total)
+        total *= 2
+        np.exp(total, out=total)
+        total += 1
+        np.divide(-2, total, out=total)
+        total += 1
+        return total
+
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of the positions by the class of their token, and the places of each class that occurs in it."""
+        group = target // self.members
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # a radix sort
+        bounds = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
+
+    def _outputs(self, hidden: np.ndarray, held: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs of the class layer and of the member layers, a column for each position in the order of :meth:`_by_class`."""
+        across = hidden.T
+        groups, own = self.group.T @ across, np.empty((self.members, len(hidden)), np.float32)
+        groups += self.group_bias[:, None]
+        for c, rows in held:
+            np.matmul(self.member[c].T, across[:, rows], out=own[:, rows])
+        own += np.repeat(self.member_bias[[c for c, _ in held]].T, [rows.stop - rows.start for _, rows in held], 1)
+        return groups, own
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden = self.hidden(around)
-        group, member = target // self.members, target % self.members
-        out = _log_softmax(hidden @ self.group + self.group_bias, group)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[bounds[c]:bounds[c + 1]]
-            if len(rows):
-                out[rows] += _log_softmax(hidden[rows] @ self.member[c] + self.member_bias[c], member[rows])
+        order, held = self._by_class(target)
+        target, out = target[order], np.empty(len(target))
+        groups, own = self._outputs(self.hidden(around[order]), held)
+        out[order] = _log_softmax(groups, target // self.members) + _log_softmax(own, target % self.members)
         return out
 
     def train(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability of a batch."""
-        hidden = self.hidden(around)
+        order, held = self._by_class(target)
+        around, target = around[order], target[order]
+        hidden, every = self.hidden(around), np.arange(len(target))
         rate = np.float32(rate / len(target))
-        group, member = target // self.members, target % self.members
-        wrong = _softmax(hidden @ self.group + self.group_bias)
-        wrong[np.arange(len(target)), group] -= 1
-        back = wrong @ self.group.T
-        steps = [(self.group, hidden.T @ wrong), (self.group_bias, wrong.sum(0))]
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
-        sorted_hidden, own = hidden.take(order, 0), np.empty((len(target), self.members), np.float32)
-        held = [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
-        for c, rows in held:
-            np.matmul(sorted_hidden[rows], self.member[c], out=own[rows])
-            own[rows] += self.member_bias[c]
+        wrong, own = self._outputs(hidden, held)
+        _softmax(wrong)
+        wrong[target // self.members, every] -= 1
         _softmax(own)
-        own[np.arange(len(target)), member[order]] -= 1
-        sorted_back = np.empty_like(hidden)
+        own[target % self.members, every] -= 1
+        back, step = np.empty_like(hidden), np.zeros_like(self.member)
         for c, rows in held:
-            np.matmul(own[rows], self.member[c].T, out=sorted_back[rows])
-            steps += [(self.member[c], sorted_hidden[rows].T @ own[rows]), (self.member_bias[c], own[rows].sum(0))]
-        back[order] += sorted_back
-        back *= 1 - hidden * hidden
-        for layer, step in steps:
-            layer -= rate * step
-        self.bias -= rate * back.sum(0)
-        for j in range(2 * REACH):
-            order = np.argsort(around[:, j].astype(np.uint16), kind="stable")  # a radix sort
-            token = around[:, j].take(order)
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            self.near[j][token[first]] -= rate * np.add.reduceat(back.take(order, 0), first, 0)
+            np.matmul(hidden[rows].T, own[:, rows].T, out=step[c])
+            np.matmul(own[:, rows].T, self.member[c].T, out=back[rows])
+        back += wrong.T @ self.group.T
+        self.group -= rate * (hidden.T @ wrong.T)
+        self.group_bias -= rate * wrong.sum(1)
+        step *= rate
+        self.member -= step
+        self.member_bias[[c for c, _ in held]] -= rate * np.add.reduceat(own, [rows.start for _, rows in held], 1).T
+        hidden *= hidden
+        np.subtract(1, hidden, out=hidden)
+        hidden *= rate
+        back *= hidden
+        self.bias -= back.sum(0)
+        pairs = back.view(np.complex64)  # sums of pairs of floats take half as many additions
+        for near, token in zip(self.near, np.ascontiguousarray(around.T)):
+            order = np.argsort(token.astype(np.uint16), kind="stable")  # a radix sort
+            token = token.take(order)
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            near[token[first]] -= np.add.reduceat(pairs.take(order, 0), first, 0).view(np.float32)
 
 
 Network.SIZE = sum(map(math.prod, Network.shapes(CLASSES, MEMBERS).values()))
@@ -125,17 +144,18 @@ def side_for(distinct: int) -> int:
 
 
 def _softmax(values: np.ndarray) -> np.ndarray:
-    values -= values.max(1, keepdims=True)
+    """Of each column; sums and maxima over rows are whole-row operations."""
+    values -= values.max(0)
     np.exp(values, out=values)
-    values /= values.sum(1, keepdims=True)
+    values /= values.sum(0)
     return values
 
 
 def _log_softmax(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    values -= values.max(1, keepdims=True)
-    picked = values[np.arange(len(values)), chosen].astype(np.float64)
+    values -= values.max(0)
+    picked = values[chosen, np.arange(values.shape[1])].astype(np.float64)
     np.exp(values, out=values)
-    return picked - np.log(values.sum(1, dtype=np.float64))
+    return picked - np.log(values.sum(0, dtype=np.float64))
 
 
 def _rare_slot(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -93,3 +93,37 @@ def test_scores_do_not_depend_on_partitions_or_tasks(spark):
     for other in found[1:]:
         assert [r[:2] for r in other] == [r[:2] for r in found[0]]
         assert np.allclose([r[2] for r in other], [r[2] for r in found[0]], rtol=1e-6)
+
+
+def test_a_step_equals_its_definition_position_by_position():
+    random = np.random.default_rng(3)
+    flat = random.standard_normal(S.Network.SIZE).astype(np.float32) * np.float32(0.3)
+    # classes without a token, a token that occurs often, and every class of a wider network
+    for target in (np.array([5, 5, 5, 40, 1023, 70]), random.integers(0, 1024, 60)):
+        around = random.integers(0, 9, (len(target), 2 * S.REACH)).astype(np.int32)
+        network, old, new = S.Network(flat.copy()), S.Network(flat.astype(np.float64)), S.Network(flat.astype(np.float64))
+        before = network.log_probabilities(around, target)
+        network.train(around, target, 0.5)
+        rate = 0.5 / len(target)
+        for n, (near, token) in enumerate(zip(around, target)):
+            group, member = divmod(int(token), S.MEMBERS)
+            hidden = np.tanh(old.bias + sum(old.near[j][near[j]] for j in range(2 * S.REACH)))
+            parts = [np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in (hidden @ old.group + old.group_bias, hidden @ old.member[group] + old.member_bias[group])]
+            assert abs(before[n] - np.log(parts[0][group] * parts[1][member])) < 1e-5
+            parts[0][group] -= 1
+            parts[1][member] -= 1
+            back = (old.group @ parts[0] + old.member[group] @ parts[1]) * (1 - hidden ** 2)
+            new.group -= rate * np.outer(hidden, parts[0])
+            new.group_bias -= rate * parts[0]
+            new.member[group] -= rate * np.outer(hidden, parts[1])
+            new.member_bias[group] -= rate * parts[1]
+            new.bias -= rate * back
+            for j in range(2 * S.REACH):
+                new.near[j][near[j]] -= rate * back
+        assert np.abs(network.flat - new.flat).max() < 1e-6
+
+
+def test_hidden_units_stay_within_one_for_any_input():
+    network = S.Network(np.full(S.Network.SIZE, 1e30, np.float32))
+    assert (network.hidden(np.zeros((2, 2 * S.REACH), np.int32)) == 1).all()
+    assert (S.Network(-network.flat).hidden(np.zeros((2, 2 * S.REACH), np.int32)) == -1).all()
