@@ -46,93 +46,77 @@ _SLICE = 16384
 
 
 class Network:
-    """Parameters in one flat array: neighbour embeddings, class layer, member layers, with biases."""
+    """Parameters in one flat array: neighbour embeddings, class layer, member layers; the last row of a layer is its bias."""
 
     def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES, members: int = MEMBERS):
         self.classes, self.members = classes, members
         shapes = self.shapes(classes, members)
         if flat is None:
             flat = np.random.default_rng(5).standard_normal(sum(map(math.prod, shapes.values()))).astype(np.float32) * np.float32(0.1)
+            layers = flat[-math.prod(shapes["inner"]):]  # drawn before all their biases
+            weights, biases = np.split(layers, [-classes * members])
+            layers[:] = np.concatenate([weights.reshape(classes, HIDDEN, members), biases.reshape(classes, 1, members)], 1).ravel()
         self.flat, at = flat, 0
         for name, shape in shapes.items():
             size = math.prod(shape)
             setattr(self, name, flat[at:at + size].reshape(shape))
             at += size
+        self.group, self.group_bias, self.member, self.member_bias = self.outer[:-1], self.outer[-1], self.inner[:, :-1], self.inner[:, -1]
 
     @staticmethod
     def shapes(classes: int, members: int) -> dict[str, tuple[int, ...]]:
-        return {"near": (2 * REACH, classes * members, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, classes), "group_bias": (classes,),
-                "member": (classes, HIDDEN, members), "member_bias": (classes, members)}
+        return {"near": (2 * REACH, classes * members, HIDDEN), "bias": (HIDDEN,), "outer": (HIDDEN + 1, classes), "inner": (classes, HIDDEN + 1, members)}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         total, part = np.repeat(self.bias[None, :], len(around), 0), np.empty((len(around), HIDDEN), np.float32)
-        for near, token in zip(self.near, np.ascontiguousarray(around.T)):
+        for near, token in zip(self.near, around.T):
             total += near.take(token, 0, out=part, mode="clip")
-        # the hyperbolic tangent, 1 - 2 / (exp(2x) + 1), which is 1 in single precision long before 40
-        np.minimum(total, 40, out=total)
-        total *= 2
-        np.exp(total, out=total)
-        total += 1
-        np.divide(-2, total, out=total)
-        total += 1
-        return total
+        return np.tanh(total, out=total)
 
     def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
         """An order of the positions by the class of their token, and the places of each class that occurs in it."""
-        group = target // self.members
-        order = np.argsort(group.astype(np.uint16), kind="stable")  # a radix sort
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
-        return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
-
-    def _outputs(self, hidden: np.ndarray, held: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
-        """Outputs of the class layer and of the member layers, a column for each position in the order of :meth:`_by_class`."""
-        across = hidden.T
-        groups, own = self.group.T @ across, np.empty((self.members, len(hidden)), np.float32)
-        groups += self.group_bias[:, None]
+        group = (target // self.members).astype(np.uint16)
+        bounds = [0, *np.cumsum(np.bincount(group, minlength=self.classes)).tolist()]
+        return np.argsort(group, kind="stable"), [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]  # a radix sort
+
+    def _own(self, input: np.ndarray, held: list[tuple[int, slice]]) -> np.ndarray:
+        """Outputs of the member layers for positions in the order of :meth:`_by_class`."""
+        own = np.empty((len(input), self.members), np.float32)
         for c, rows in held:
-            np.matmul(self.member[c].T, across[:, rows], out=own[:, rows])
-        own += np.repeat(self.member_bias[[c for c, _ in held]].T, [rows.stop - rows.start for _, rows in held], 1)
-        return groups, own
+            np.matmul(input[rows], self.inner[c], out=own[rows])
+        return own
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         order, held = self._by_class(target)
         target, out = target[order], np.empty(len(target))
-        groups, own = self._outputs(self.hidden(around[order]), held)
-        out[order] = _log_softmax(groups, target // self.members) + _log_softmax(own, target % self.members)
+        input = _with_one(self.hidden(around.T.take(order, 1).T))
+        out[order] = _log_softmax(input @ self.outer, target // self.members) + _log_softmax(self._own(input, held), target % self.members)
         return out
 
     def train(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability of a batch."""
         order, held = self._by_class(target)
-        around, target = around[order], target[order]
-        hidden, every = self.hidden(around), np.arange(len(target))
-        rate = np.float32(rate / len(target))
-        wrong, own = self._outputs(hidden, held)
-        _softmax(wrong)
-        wrong[target // self.members, every] -= 1
-        _softmax(own)
-        own[target % self.members, every] -= 1
-        back, step = np.empty_like(hidden), np.zeros_like(self.member)
+        around, target, rate = around.T.take(order, 1).T, target[order], np.float32(rate / len(target))
+        hidden = self.hidden(around)
+        input = _with_one(hidden)
+        wrong = _wrong(input @ self.outer, target // self.members, rate)
+        back = wrong @ self.group.T
+        self.outer -= input.T @ wrong
+        own, part = _wrong(self._own(input, held), target % self.members, rate), np.empty_like(back)
         for c, rows in held:
-            np.matmul(hidden[rows].T, own[:, rows].T, out=step[c])
-            np.matmul(own[:, rows].T, self.member[c].T, out=back[rows])
-        back += wrong.T @ self.group.T
-        self.group -= rate * (hidden.T @ wrong.T)
-        self.group_bias -= rate * wrong.sum(1)
-        step *= rate
-        self.member -= step
-        self.member_bias[[c for c, _ in held]] -= rate * np.add.reduceat(own, [rows.start for _, rows in held], 1).T
+            layer, mine = self.inner[c], own[rows]
+            np.matmul(mine, layer[:-1].T, out=part[rows])
+            layer -= input[rows].T @ mine
+        back += part
         hidden *= hidden
         np.subtract(1, hidden, out=hidden)
-        hidden *= rate
         back *= hidden
-        self.bias -= back.sum(0)
-        pairs = back.view(np.complex64)  # sums of pairs of floats take half as many additions
-        for near, token in zip(self.near, np.ascontiguousarray(around.T)):
-            order = np.argsort(token.astype(np.uint16), kind="stable")  # a radix sort
-            token = token.take(order)
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            near[token[first]] -= np.add.reduceat(pairs.take(order, 0), first, 0).view(np.float32)
+        self.bias -= np.ones(len(back), np.float32) @ back
+        # pairs of floats, added up as complex numbers, take half as many additions
+        pairs, width = back.view(np.complex64).ravel(), HIDDEN // 2
+        places = np.arange(self.near.shape[1] * width).reshape(-1, width)
+        for near, token in zip(self.near, around.T):
+            np.subtract.at(near.reshape(-1).view(np.complex64), places.take(token, 0).ravel(), pairs)
 
 
 Network.SIZE = sum(map(math.prod, Network.shapes(CLASSES, MEMBERS).values()))
@@ -143,19 +127,41 @@ def side_for(distinct: int) -> int:
     return max(CLASSES, MEMBERS, math.isqrt(RARE + math.isqrt(distinct) - 1) + 1)
 
 
-def _softmax(values: np.ndarray) -> np.ndarray:
-    """Of each column; sums and maxima over rows are whole-row operations."""
-    values -= values.max(0)
-    np.exp(values, out=values)
-    values /= values.sum(0)
+def _with_one(hidden: np.ndarray) -> np.ndarray:
+    """Hidden units and, for the biases, a one."""
+    out = np.empty((len(hidden), HIDDEN + 1), np.float32)
+    out[:, :-1], out[:, -1] = hidden, 1
+    return out
+
+
+def _near_zero(values: np.ndarray) -> np.ndarray:
+    """The values, if some are far from zero less the greatest of their row."""
+    if len(values) and not (values.max() < 40 and values.min() > -40):
+        values -= values.max(1, keepdims=True)
+    return values
+
+
+def _exp(values: np.ndarray) -> np.ndarray:
+    """In place, the exponentials; returned are the sums of rows.  Arithmetic on numbers too small for a normal float takes many times as long."""
+    np.exp(np.maximum(values, -40, out=values), out=values)
+    return values @ np.ones(values.shape[1], np.float32)
+
+
+def _flat(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of the chosen value of each row."""
+    return np.arange(0, values.size, values.shape[1]) + chosen
+
+
+def _wrong(values: np.ndarray, chosen: np.ndarray, rate: np.float32) -> np.ndarray:
+    """In place, ``rate`` times the softmax of each row less one at the chosen value."""
+    values *= (rate / _exp(_near_zero(values)))[:, None]
+    values.reshape(-1)[_flat(values, chosen)] -= rate
     return values
 
 
 def _log_softmax(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    values -= values.max(0)
-    picked = values[chosen, np.arange(values.shape[1])].astype(np.float64)
-    np.exp(values, out=values)
-    return picked - np.log(values.sum(0, dtype=np.float64))
+    picked = _near_zero(values).take(_flat(values, chosen)).astype(np.float64)
+    return picked - np.log(_exp(values).astype(np.float64))
 
 
 def _rare_slot(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -232,7 +238,8 @@ def _lines(batch: pa.RecordBatch, words: np.ndarray, slots: np.ndarray) -> tuple
 
 
 def _around(line: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.stack([line[place + by] for by in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
+    """Neighbours of the tokens at ``place``, a row each; each neighbour's column lies together in memory."""
+    return line.take(place + np.array([*range(-REACH, 0), *range(1, REACH + 1)])[:, None]).T
 
 
 def _turn(first: np.ndarray, number: int) -> np.ndarray:
