@@ -41,6 +41,8 @@ SHARD_WORDS = 5_000_000
 #: Tasks of a round at most; with more shards a task trains several, one after another.
 MOST_TASKS = 1 << 16
 BATCH, RATE = 2048, 5.0
+#: Longest step of a batch in the class layer, and in the bias of the hidden layer.  Longer ones come only before training runs away.
+LONGEST = 4.0
 SCORED = 8192
 _SLICE = 16384
 
@@ -101,7 +103,8 @@ class Network:
         input = _with_one(hidden)
         wrong = _wrong(input @ self.outer, target // self.members, rate)
         back = wrong @ self.group.T
-        self.outer -= input.T @ wrong
+        step = input.T @ wrong
+        self.outer -= step * _shrink(step)
         own, part = _wrong(self._own(input, held), target % self.members, rate), np.empty_like(back)
         for c, rows in held:
             layer, mine = self.inner[c], own[rows]
@@ -111,7 +114,10 @@ class Network:
         hidden *= hidden
         np.subtract(1, hidden, out=hidden)
         back *= hidden
-        self.bias -= np.ones(len(back), np.float32) @ back
+        step = np.ones(len(back), np.float32) @ back
+        if (shrink := _shrink(step)) < 1:
+            back *= shrink
+        self.bias -= step * shrink
         # pairs of floats, added up as complex numbers, take half as many additions
         pairs, width = back.view(np.complex64).ravel(), HIDDEN // 2
         places = np.arange(self.near.shape[1] * width).reshape(-1, width)
@@ -127,6 +133,11 @@ def side_for(distinct: int) -> int:
     return max(CLASSES, MEMBERS, math.isqrt(RARE + math.isqrt(distinct) - 1) + 1)
 
 
+def _shrink(step: np.ndarray) -> np.float32:
+    """What a step is multiplied by, so that it is no longer than allowed; 1 for all others."""
+    return np.float32(min(1.0, LONGEST / max(float(np.linalg.norm(step)), 1e-30)))
+
+
 def _with_one(hidden: np.ndarray) -> np.ndarray:
     """Hidden units and, for the biases, a one."""
     out = np.empty((len(hidden), HIDDEN + 1), np.float32)

@@ -127,3 +127,35 @@ def test_hidden_units_stay_within_one_for_any_input():
     network = S.Network(np.full(S.Network.SIZE, 1e30, np.float32))
     assert (network.hidden(np.zeros((2, 2 * S.REACH), np.int32)) == 1).all()
     assert (S.Network(-network.flat).hidden(np.zeros((2, 2 * S.REACH), np.int32)) == -1).all()
+
+
+def test_training_with_many_classes_does_not_run_away():
+    random, side = np.random.default_rng(4), 47
+    frequency = np.r_[np.full(S.RARE, 0.3 / S.RARE), 0.9 ** np.arange(side ** 2 - S.RARE) * 0.07]
+    line = random.choice(side ** 2, 1 << 16, p=frequency / frequency.sum()).astype(np.int32)
+    network = S.Network(None, side, side)
+    for _ in range(40):
+        part = random.integers(S.REACH, len(line) - S.REACH, S.BATCH)
+        bias, outer = network.bias.copy(), network.outer.copy()
+        network.train(S._around(line, part), line[part], S.RATE)
+        assert np.linalg.norm(network.bias - bias) < S.LONGEST * 1.01 and np.linalg.norm(network.outer - outer) < S.LONGEST * 1.01
+    # no worse than not knowing neighbours or counts
+    assert network.log_probabilities(S._around(line, part), line[part]).mean() > -np.log(side ** 2)
+    assert (np.abs(network.hidden(S._around(line, part))) > 0.999).mean() < 0.1
+
+
+def test_far_values_leave_no_subnormal_numbers_and_the_same_probabilities():
+    values = np.array([[0, -95, -300, 30], [100, 99, 12, 0], [-1, 0, 1, 2]], np.float32)
+    true = np.exp(values.astype(float) - values.max(1, keepdims=True))
+    true /= true.sum(1, keepdims=True)
+    wrong = S._wrong(values.copy(), np.array([1, 0, 3]), np.float32(1))
+    assert (np.abs(wrong) > np.finfo(np.float32).tiny).all()
+    assert np.abs(wrong + np.eye(4)[[1, 0, 3]] - true).max() < 1e-6
+    assert np.allclose(S._log_softmax(values.copy(), np.array([1, 0, 3])), [-125, np.log(true[1, 0]), np.log(true[2, 3])], rtol=1e-5)
+
+
+def test_a_new_network_has_the_drawn_parameters_in_their_layers():
+    drawn = np.random.default_rng(5).standard_normal(S.Network.SIZE).astype(np.float32) * np.float32(0.1)
+    network = S.Network()
+    parts = (network.near, network.bias, network.group, network.group_bias, network.member, network.member_bias)
+    assert (np.concatenate([part.ravel() for part in parts]) == drawn).all()
