@@ -145,16 +145,19 @@ def _with_one(hidden: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near_zero(values: np.ndarray) -> np.ndarray:
-    """The values, if some are far from zero less the greatest of their row."""
-    if len(values) and not (values.max() < 40 and values.min() > -40):
+def _near_zero(values: np.ndarray) -> bool:
+    """Whether all values are near zero; if not, the greatest of its row is taken off each."""
+    near = not len(values) or bool(values.max() < 40 and values.min() > -40)
+    if not near:
         values -= values.max(1, keepdims=True)
-    return values
+    return near
 
 
-def _exp(values: np.ndarray) -> np.ndarray:
+def _exp(values: np.ndarray, near: bool) -> np.ndarray:
     """In place, the exponentials; returned are the sums of rows.  Arithmetic on numbers too small for a normal float takes many times as long."""
-    np.exp(np.maximum(values, -40, out=values), out=values)
+    if not near:
+        np.maximum(values, -40, out=values)
+    np.exp(values, out=values)
     return values @ np.ones(values.shape[1], np.float32)
 
 
@@ -165,14 +168,15 @@ def _flat(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 def _wrong(values: np.ndarray, chosen: np.ndarray, rate: np.float32) -> np.ndarray:
     """In place, ``rate`` times the softmax of each row less one at the chosen value."""
-    values *= (rate / _exp(_near_zero(values)))[:, None]
+    values *= (rate / _exp(values, _near_zero(values)))[:, None]
     values.reshape(-1)[_flat(values, chosen)] -= rate
     return values
 
 
 def _log_softmax(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    picked = _near_zero(values).take(_flat(values, chosen)).astype(np.float64)
-    return picked - np.log(_exp(values).astype(np.float64))
+    near = _near_zero(values)
+    picked = values.take(_flat(values, chosen)).astype(np.float64)
+    return picked - np.log(_exp(values, near).astype(np.float64))
 
 
 def _rare_slot(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
