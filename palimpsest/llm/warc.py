@@ -162,22 +162,31 @@ def _contract_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                           "low": low, "high": low + sizes})
 
 
+def _by_merge(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which both sides can have a row for each record.
+
+    Spark's estimate goes by the bytes of the written tables.  They are compressed to a fiftieth or so, mostly by the paths of
+    files, and one below the broadcast threshold can be more than the driver holds.
+    """
+    return df.hint("merge")
+
+
 def reachable(linked: DataFrame) -> DataFrame:
     """Pointer jumping from offset 0 of every file: ``file, at`` of the candidates where a kept chain enters a split."""
     entered = linked.select("file", F.col("leaves").alias("at")).distinct()
     links = linked.select("file", "at", "leaves")
-    steps = cut_lineage(links.where("at = 0").unionByName(links.where("at > 0").join(entered, ["file", "at"], "left_semi")))
+    steps = cut_lineage(links.where("at = 0").unionByName(links.where("at > 0").join(_by_merge(entered), ["file", "at"], "left_semi")))
     nodes = steps.select("file", F.col("at").alias("leaves"))
     reached = cut_lineage(steps.where("at = 0").select("file", "at"))
     while True:
         # steps lead 2**k chain links on; those that end in a node reach it from reached nodes
-        landed = cut_lineage(steps.join(nodes, ["file", "leaves"], "left_semi").select("file", "at", "leaves"))
+        landed = cut_lineage(steps.join(_by_merge(nodes), ["file", "leaves"], "left_semi").select("file", "at", "leaves"))
         if landed.isEmpty():
             return reached
-        more = reached.join(landed, ["file", "at"]).select("file", F.col("leaves").alias("at"))
+        more = reached.join(_by_merge(landed), ["file", "at"]).select("file", F.col("leaves").alias("at"))
         reached = cut_lineage(reached.unionByName(more).distinct())
         far = steps.select("file", F.col("at").alias("leaves"), F.col("leaves").alias("further"))
-        steps = cut_lineage(landed.join(far, ["file", "leaves"]).select("file", "at", F.col("further").alias("leaves")))
+        steps = cut_lineage(landed.join(_by_merge(far), ["file", "leaves"]).select("file", "at", F.col("further").alias("leaves")))
 
 
 def read_archives(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
@@ -194,15 +203,15 @@ def read_archives(spark: SparkSession, path: str, with_content: bool = False) ->
     blocks = blocks.select("file", "split", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
     inner = Window.partitionBy("file", "split").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     placed = (found.select("file", "split", "number", "size", "length", "head")
-              .withColumn("own", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(blocks, ["file", "split"])
+              .withColumn("own", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(_by_merge(blocks), ["file", "split"])
               .select("file", "split", "number", "size", "length", "head", (F.col("base") + F.col("own")).alias("begin")))
     placed = written(placed, "warc-offsets")
     candidates = placed.where("length is not null").select(
         "file", "split", "number", (F.col("begin") - len(MAGIC)).alias("at"),
         (F.col("begin") + F.col("head") + F.col("length") + len(RECORD_END)).alias("next"), F.concat_ws("#", "split", "file").alias("group"))
     linked = cut_lineage(dealt(candidates, None, "group", order=("number",)).mapInArrow(_contract_task, _LINKED))
-    entry = linked.join(reachable(linked), ["file", "at"]).select("file", "split", F.col("low").alias("entry"))
-    kept = (linked.join(entry, ["file", "split"]).where("entry >= low and entry < high")
+    entry = linked.join(_by_merge(reachable(linked)), ["file", "at"]).select("file", "split", F.col("low").alias("entry"))
+    kept = (linked.join(_by_merge(entry), ["file", "split"]).where("entry >= low and entry < high")
             .select("file", "split", "number", F.col("at").alias("offset")))
     columns = ["file", "offset", *_HEAD, "length", "sha256"]
     if with_content:
@@ -210,16 +219,16 @@ def read_archives(spark: SparkSession, path: str, with_content: bool = False) ->
         columns.append("content")
     else:
         source = found
-    records = source.join(kept, ["file", "split", "number"])
-    scattered = cut_lineage(found.where("length is not null and sha256 is null").join(kept, ["file", "split", "number"])
-                            .join(placed.select("file", "split", "number", "begin"), ["file", "split", "number"])
+    records = source.join(_by_merge(kept), ["file", "split", "number"])
+    scattered = cut_lineage(found.where("length is not null and sha256 is null").join(_by_merge(kept), ["file", "split", "number"])
+                            .join(_by_merge(placed.select("file", "split", "number", "begin")), ["file", "split", "number"])
                             .select("file", "offset", (F.col("begin") + F.col("head")).alias("from"), (F.col("begin") + F.col("head") + F.col("length")).alias("to")))
     whole = records.where("sha256 is not null").select(*columns)
     if scattered.isEmpty():
         return whole
     # pieces of a record lie one after another, so their number is bounded by its length
     parts = (pieces.mapInArrow(_raw_task, "file string, split bigint, number bigint, value binary")
-             .join(placed.select("file", "split", "number", "begin"), ["file", "split", "number"]).join(scattered, "file")
+             .join(_by_merge(placed.select("file", "split", "number", "begin")), ["file", "split", "number"]).join(scattered, "file")
              .where("begin < to and begin + octet_length(value) >= from"))
     joined = dealt(parts.select(F.concat_ws("#", "offset", "file").alias("group"), "file", "offset", "from", "to", "begin", "value"), None, "group", order=("begin",))
     mended = joined.mapInArrow(_mend_task, "file string, offset bigint, sha256 string, content binary")

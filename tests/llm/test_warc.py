@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from palimpsest.llm import warc
 from palimpsest.llm.warc import MAGIC, read_archives, write_archives
 
 
@@ -63,3 +64,19 @@ def test_damaged_file_keeps_the_chain_from_its_start(spark, tmp_path):
     (tmp_path / "d" / "y.warc").write_bytes(("junk" + one).encode())
     got = read_archives(spark, f"{tmp_path}/d", with_content=True).collect()
     assert [(r["offset"], bytes(r["content"])) for r in got] == [(0, b"ok")]
+
+
+def test_no_join_plans_to_send_a_table_of_records_to_the_driver(spark, tmp_path, small_splits, monkeypatch):
+    plans = []
+
+    def kept_plan(make):
+        return lambda df, *label: plans.append(df) or make(df, *label)
+
+    for name in ("cut_lineage", "written"):
+        monkeypatch.setattr(warc, name, kept_plan(getattr(warc, name)))
+    rows = [(i, "u", f"{i} " + "x" * 2000 + fake(3) * (i % 3)) for i in range(30)]
+    write_archives(pages(spark, rows).coalesce(2), f"{tmp_path}/e", compression="none")
+    got = read_archives(spark, f"{tmp_path}/e")
+    joins = [p for p in (df._jdf.queryExecution().sparkPlan().toString() for df in (*plans, got)) if "Join" in p]
+    assert len(joins) > 5 and not [p for p in joins if "Broadcast" in p]
+    assert sorted((int(r["record_id"][9:-1]), r["sha256"]) for r in got.collect()) == [(i, hashlib.sha256(html.encode()).hexdigest()) for i, _, html in rows]
